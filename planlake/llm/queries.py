@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, simhash, urlfilter
+from public_tokenizers import path
+
+from . import chat, decontaminate, langid, licenses, mixing, repeats, simhash, tokenfiles, topk, urlfilter
 from ._io import table
 
 
@@ -14,6 +16,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts look like the template's own marks."""
+    known = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.windows(known.unionByName(more), path("byte_bpe_50k.json")))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -22,15 +32,54 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rules_frame(spark))
 
 
+def op5_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_exact_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id 50 divides is a query against all vectors."""
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_source_mix, op4_url_filter, op7_simhash_groups, op9_benchmark_leaks)}
-
-SQL = {"op4_url_filter": urlfilter.ORACLE_SQL}
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_chat_windows, op3_source_mix, op4_url_filter, op5_repeated_spans,
+    op6_license_scan, op7_simhash_groups, op8_exact_top5, op9_benchmark_leaks, op10_token_ids,
+)}
+
+SQL = {
+    "op4_url_filter": urlfilter.ORACLE_SQL,
+    "op8_exact_top5": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id as vec_id,
+    cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id
+  where q.vec_id % 50 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from s
+qualify rank <= 5
+""",
+}
