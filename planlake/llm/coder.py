@@ -1,11 +1,12 @@
 """Adaptive context-mixing range coder for token ids.
 
 A block is coded on its own: its models start empty. Three models predict the next id: order 2 (what
-followed the last two ids), order 1 (what followed the last id) and order 0 (the id seen last in the
-block's most rewarded slot of recent ids). Which of them is right, or none, is one symbol, coded with
-frequencies adapted in the context of how often the order-2 and order-1 predictions held so far. An id
-that none predicts is coded in base-16 digits by an adaptive order-0 tree. All symbols go through one
-64-bit range coder with carries and 32-bit output words.
+followed the last two ids), order 1 (what followed the last id) and order 0 (the block's majority id so
+far). Which of them is right, or else the top digit of the id, is one symbol; its frequencies adapt in
+the context of how well the order-2 and order-1 predictions held before, which mixes the models. An id
+that none predicts is completed by its second digit, adapted in the context of the first, and its low
+byte, which is left even: ids of a vocabulary are in order of frequency, so their low bits say little.
+All go through one 64-bit range coder with carries and 32-bit output words.
 
 Many blocks are coded side by side, one numpy lane each; a lane's output does not depend on the others.
 """
@@ -20,82 +21,65 @@ import numpy as np
 MAGIC = b"PLB1"
 BLOCK = 2048
 BITS = 16
-_CTX2, _CTX1 = 4096, 4096
-_NODES = 1 + 16 + 256 + 1024  # of the digits of an unpredicted id: by the digits before it (the last: hashed)
+#: Contexts of the order-2 and order-1 tables of a block.
+SLOTS = 2048
 _HEAD = struct.Struct("<4sIII")  # magic, ids, coded bytes, crc32 of the ids
+_U = np.uint64
+_FULL, _WORD, _32 = _U(0xFFFFFFFFFFFFFFFF), _U(1 << 32), _U(32)
+_HITS, _KINDS, _DIGITS = 3, 19, 16
 
 
-def _targets(n: int) -> np.ndarray:
-    """Row s: cumulative starts that model n symbols drift to when s occurs; every symbol keeps some room."""
-    k = np.arange(n)
-    room = 24
-    return np.where(k[None] > k[:, None], (1 << BITS) - room * (n - k[None]), room * k[None]).astype(np.int32)
+#: Row length of the frequency tables: the symbols' starts, then the end, repeated.
+_ROW = 20
+
 
+def _even(n: int) -> np.ndarray:
+    return np.minimum(np.arange(_ROW) * (1 << BITS) // n, 1 << BITS).astype(np.int32)
 
-_T16, _T4 = _targets(16), _targets(4)
+
+def _targets(n: int) -> np.ndarray:
+    """Row s: cumulative starts that n symbols drift to when s occurs (and the end); every symbol keeps some room."""
+    k, room = np.minimum(np.arange(_ROW), n), 24
+    t = np.where(k[None] > np.arange(n)[:, None], (1 << BITS) - room * (n - k[None]), room * k[None])
+    return t.astype(np.int32)
 
 
 class _Lanes:
-    """Models of the lanes, all at the same step."""
+    """Models of the lanes, all at the same step. Table entries are an id and, in the two low bits, how often it held."""
 
     def __init__(self, n: int):
-        self.n = n
-        self.digits = np.tile((np.arange(16) << (BITS - 4)).astype(np.int32), (n * _NODES, 1))
-        self.kind = np.tile((np.arange(4) << (BITS - 2)).astype(np.int32), (n * 16, 1))
-        self.two = np.zeros(n * _CTX2, np.int32)
-        self.one = np.zeros(n * _CTX1, np.int32)
-        self.held2 = np.zeros(n * _CTX2, np.int8)
-        self.held1 = np.zeros(n * _CTX1, np.int8)
-        self.recent = np.zeros((n, 4), np.int32)
-        self.reward = np.zeros((n, 4), np.int32)
-        self.a = np.zeros(n, np.int64)
-        self.b = np.zeros(n, np.int64)
-        self.lane = np.arange(n)
-
-    def predict(self, m: int) -> None:
-        """Predictions of the first m lanes."""
-        a, b, lane = self.a[:m], self.b[:m], self.lane[:m]
-        self.i2 = lane * _CTX2 + (((a * 40503 + b * 30011) >> 3) & (_CTX2 - 1))
-        self.i1 = lane * _CTX1 + ((b * 40503 >> 4) & (_CTX1 - 1))
-        self.p2, self.p1 = self.two[self.i2], self.one[self.i1]
-        self.slot = self.reward[:m].argmax(1)
-        self.p0 = self.recent[lane, self.slot]
-        self.context = lane * 16 + np.minimum(self.held2[self.i2], 3) * 4 + np.minimum(self.held1[self.i1], 3)
+        self.kinds = np.tile(_even(_KINDS), (n * 16, 1))
+        self.digits = np.tile(_even(_DIGITS), (n * _DIGITS, 1))
+        self.kind_targets, self.digit_targets = _targets(_KINDS), _targets(_DIGITS)
+        self.two, self.one = np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32)
+        self.major, self.count = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.a, self.b = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.base, self.context = np.arange(n) * SLOTS, np.arange(n) * 16
+
+    def predict(self, m: int) -> np.ndarray:
+        """Predictions of the first m lanes; returns the rows of their symbol frequencies."""
+        b = self.b[:m] * np.int32(40503)
+        self.i2 = self.base[:m] + ((((self.a[:m] * np.int32(30011)) ^ b) >> 6) & (SLOTS - 1))
+        self.i1 = self.base[:m] + ((b >> 5) & (SLOTS - 1))
+        self.e2, self.e1 = self.two[self.i2], self.one[self.i1]
+        self.p2, self.p1, self.p0 = self.e2 >> 2, self.e1 >> 2, self.major[:m]
+        return self.context[:m] + ((self.e2 & 3) << 2 | (self.e1 & 3))
 
     def kind_of(self, x: np.ndarray) -> np.ndarray:
-        return np.where(x == self.p2, 0, np.where(x == self.p1, 1, np.where(x == self.p0, 2, 3)))
+        return np.where(x == self.p2, 0, np.where(x == self.p1, 1, np.where(x == self.p0, 2, _HITS + (x >> 12))))
 
     def learn(self, m: int, x: np.ndarray) -> None:
-        for table, held, at, p in ((self.two, self.held2, self.i2, self.p2), (self.one, self.held1, self.i1, self.p1)):
-            h = held[at]
-            right = p == x
-            table[at] = np.where(right | (h > 1), p, x)  # a prediction that held before survives one miss
-            held[at] = np.where(right, np.minimum(h + 1, 7), np.where(h > 1, h >> 1, 0))
-        lane = self.lane[:m]
-        known = self.recent[:m] == x[:, None]
-        at = np.where(known.any(1), known.argmax(1), self.reward[:m].argmin(1))
-        self.reward[:m] -= self.reward[:m] >> 4
-        self.recent[lane, at] = x
-        self.reward[lane, at] += 64
+        for table, at, e, p in ((self.two, self.i2, self.e2, self.p2), (self.one, self.i1, self.e1, self.p1)):
+            # a right prediction gains, one that held before loses its standing, any other is replaced
+            table[at] = np.where(p == x, np.minimum(e + 1, e | 3), np.where((e & 3) > 1, e & ~3, x << 2))
+        count, same = self.count[:m], self.p0 == x
+        fresh = ~same & (count == 0)
+        self.count[:m] = np.where(same | fresh, count + 1, count - 1)
+        self.major[:m] = np.where(fresh, x, self.p0)
         self.a[:m] = self.b[:m]
         self.b[:m] = x
 
 
-def _drift(rows: np.ndarray, at: np.ndarray, cum: np.ndarray, symbol: np.ndarray, targets: np.ndarray, rate: int) -> None:
-    rows[at] = cum + ((targets[symbol] - cum) >> rate)
-
-
-def _digit_node(place: int, value: np.ndarray) -> np.ndarray:
-    """Node of the tree for the digit at place, given the digits before it as one number."""
-    if place == 0:
-        return np.zeros(len(value), np.int64)
-    if place == 1:
-        return 1 + value
-    if place == 2:
-        return 17 + value
-    return 273 + ((value * 2531) >> 2 & 1023)
-
-
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Coded form, with header, of every block of ids below 65536."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
@@ -104,59 +88,57 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     if not n:
         return out
     sizes = np.array([len(blocks[i]) for i in order])
-    ids = np.zeros((n, int(sizes[0])), np.int32)
+    ids = np.zeros((int(sizes[0]), n), np.int32)
     for r, i in enumerate(order):
         if len(blocks[i]) and int(blocks[i].max()) >= 1 << 16:
             raise ValueError("ids must be below 65536")
-        ids[r, : sizes[r]] = blocks[i]
-    words = np.zeros((n, int(sizes[0]) * 3 + 4), np.uint32)
-    filled = np.zeros(n, np.int64)
-    low, span = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    lanes = _Lanes(n)
-
-    def put(at: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        r = span[at] >> np.uint64(BITS)
-        before = low[at]
-        now = before + r * start.astype(np.uint64)
-        for lane in at[now < before]:  # a carry; it rarely runs on
-            k = filled[lane] - 1
-            while words[lane, k] == 0xFFFFFFFF:
-                words[lane, k] = 0
+        ids[: sizes[r], r] = blocks[i]
+    words, filled = np.zeros((n, int(sizes[0]) * 2 + 3), np.uint32), np.zeros(n, np.int64)
+    low, span = np.zeros(n, np.uint64), np.full(n, _FULL)
+    lanes, lane = _Lanes(n), np.arange(n)
+
+    def put(at, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
+        """Narrow the lanes at (a slice or indexes) to start, freq of 1 << bits."""
+        r = span[at] >> _U(bits)
+        step = r * start.astype(np.uint64)
+        now, size = low[at] + step, r * freq.astype(np.uint64)
+        which = lane[at]
+        for i in which[now < step]:  # a carry; it rarely runs on
+            k = filled[i] - 1
+            while words[i, k] == 0xFFFFFFFF:
+                words[i, k] = 0
                 k -= 1
-            words[lane, k] += np.uint32(1)
-        s = r * freq.astype(np.uint64)
-        out = s < np.uint64(1 << 32)
-        low[at], span[at] = now, s
-        if out.any():
-            which = at[out]
-            words[which, filled[which]] = (now[out] >> np.uint64(32)).astype(np.uint32)
+            words[i, k] += np.uint32(1)
+        full = np.flatnonzero(size < _WORD)
+        if len(full):
+            which = which[full]
+            words[which, filled[which]] = now[full] >> _32
             filled[which] += 1
-            low[which] = now[out] << np.uint64(32)
-            span[which] = s[out] << np.uint64(32)
-
-    def code(rows: np.ndarray, at: np.ndarray, lane: np.ndarray, symbol: np.ndarray, targets: np.ndarray, rate: int) -> None:
-        cum = rows[at]
-        k = np.arange(len(at))
-        start = cum[k, symbol]
-        n_symbols = rows.shape[1]
-        end = np.where(symbol == n_symbols - 1, 1 << BITS, cum[k, np.minimum(symbol + 1, n_symbols - 1)])
-        put(lane, start, end - start)
-        _drift(rows, at, cum, symbol, targets, rate)
-
-    for t in range(ids.shape[1]):
+            now[full] <<= _32
+            size[full] <<= _32
+        low[at], span[at] = now, size
+
+    for t in range(ids.shape[0]):
         m = int(np.searchsorted(-sizes, -t, "left"))  # lanes with more than t ids
-        x = ids[:m, t]
-        lanes.predict(m)
-        kind = lanes.kind_of(x)
-        code(lanes.kind, lanes.context, lanes.lane[:m], kind, _T4, 5)
-        odd = np.flatnonzero(kind == 3)
+        x = ids[t, :m]
+        rows = lanes.predict(m)
+        kind, k = lanes.kind_of(x), lane[:m]
+        cum = lanes.kinds[rows]
+        start = cum[k, kind]
+        put(slice(0, m), start, cum[k, kind + 1] - start, BITS)
+        lanes.kinds[rows] = cum + ((lanes.kind_targets[kind] - cum) >> 5)
+        odd = np.flatnonzero(kind >= _HITS)
         if len(odd):
-            v = x[odd].astype(np.int64)
-            for place in range(4):
-                code(lanes.digits, odd * _NODES + _digit_node(place, v >> (16 - 4 * place)), odd, (v >> (12 - 4 * place)) & 15, _T16, 4)
+            v = x[odd]
+            rows, digit, k = odd * _DIGITS + (v >> 12), (v >> 8) & 15, lane[: len(odd)]
+            cum = lanes.digits[rows]
+            start = cum[k, digit]
+            freq = cum[k, digit + 1] - start
+            put(odd, (start << 8) + (v & 255) * freq, freq, BITS + 8)
+            lanes.digits[rows] = cum + ((lanes.digit_targets[digit] - cum) >> 5)
         lanes.learn(m, x)
     for half in (32, 0):
-        words[lanes.lane, filled] = (low >> np.uint64(half)).astype(np.uint32)
+        words[lane, filled] = (low >> _U(half)).astype(np.uint32)
         filled += 1
     for r, i in enumerate(order):
         body = words[r, : filled[r]].astype("<u4").tobytes() if sizes[r] else b""
@@ -168,63 +150,69 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
     """The blocks' ids; raises ValueError where the header, the length or the checksum is wrong."""
     heads = []
     for c in coded:
-        if len(c) < _HEAD.size or _HEAD.unpack_from(c)[0] != MAGIC or _HEAD.unpack_from(c)[2] != len(c) - _HEAD.size or _HEAD.unpack_from(c)[2] % 4:
+        head = _HEAD.unpack_from(c) if len(c) >= _HEAD.size else (b"", 0, 0, 0)
+        if head[0] != MAGIC or head[2] != len(c) - _HEAD.size or head[2] % 4:
             raise ValueError("not a coded block")
-        heads.append(_HEAD.unpack_from(c))
+        heads.append(head)
     order = sorted(range(len(coded)), key=lambda i: -heads[i][1])
     n = len(order)
     if not n:
         return []
     sizes = np.array([heads[i][1] for i in order])
-    longest = max(h[2] // 4 for h in heads) + 4
-    words = np.zeros((n, longest), np.uint64)
+    longest = max(h[2] // 4 for h in heads) + 3
+    words = np.zeros((n, longest), np.uint32)
     for r, i in enumerate(order):
         w = np.frombuffer(coded[i], "<u4", offset=_HEAD.size)
         words[r, : len(w)] = w
     taken = np.full(n, 2, np.int64)
-    value = words[:, 0] << np.uint64(32) | words[:, 1]
-    span = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    lanes = _Lanes(n)
-    ids = np.zeros((n, int(sizes[0])), np.int32)
-
-    def code(rows: np.ndarray, at: np.ndarray, lane: np.ndarray, targets: np.ndarray, rate: int) -> np.ndarray:
-        cum = rows[at]
-        v = value[lane]
-        r = span[lane] >> np.uint64(BITS)
-        q = np.minimum(v // r, np.uint64((1 << BITS) - 1)).astype(np.int32)
-        symbol = (cum <= q[:, None]).sum(1) - 1
-        k = np.arange(len(at))
-        n_symbols = rows.shape[1]
-        start = cum[k, symbol]
-        end = np.where(symbol == n_symbols - 1, 1 << BITS, cum[k, np.minimum(symbol + 1, n_symbols - 1)])
-        v = v - r * start.astype(np.uint64)
-        s = r * (end - start).astype(np.uint64)
-        more = s < np.uint64(1 << 32)
-        if more.any():
-            which = lane[more]
-            v[more] = v[more] << np.uint64(32) | words[which, np.minimum(taken[which], longest - 1)]
-            s[more] = s[more] << np.uint64(32)
+    value = words[:, 0].astype(np.uint64) << _32 | words[:, 1]
+    span = np.full(n, _FULL)
+    lanes, lane = _Lanes(n), np.arange(n)
+    ids = np.zeros((int(sizes[0]), n), np.int32)
+
+    def narrow(at, v: np.ndarray, r: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
+        v, size = v - r * start.astype(np.uint64), r * freq.astype(np.uint64)
+        more = np.flatnonzero(size < _WORD)
+        if len(more):
+            which = lane[at][more]
+            v[more] = v[more] << _32 | words[which, np.minimum(taken[which], longest - 1)]
+            size[more] <<= _32
             taken[which] += 1
-        value[lane], span[lane] = v, s
-        _drift(rows, at, cum, symbol, targets, rate)
-        return symbol
+        value[at], span[at] = v, size
+
+    def symbol_of(cum: np.ndarray, q: np.ndarray) -> np.ndarray:
+        below = (cum <= q[:, None]).view(np.uint32)  # four answers of one bit each at a time
+        return np.bitwise_count(below).sum(1, dtype=np.int64) - 1
 
-    for t in range(ids.shape[1]):
+    for t in range(ids.shape[0]):
         m = int(np.searchsorted(-sizes, -t, "left"))
-        lanes.predict(m)
-        kind = code(lanes.kind, lanes.context, lanes.lane[:m], _T4, 5)
+        rows = lanes.predict(m)
+        cum, k, v = lanes.kinds[rows], lane[:m], value[:m]
+        r = span[:m] >> _U(BITS)
+        kind = symbol_of(cum, np.minimum(v // r, _U((1 << BITS) - 1)).astype(np.int32))
+        start = cum[k, kind]
+        narrow(slice(0, m), v, r, start, cum[k, kind + 1] - start)
+        lanes.kinds[rows] = cum + ((lanes.kind_targets[kind] - cum) >> 5)
         x = np.where(kind == 0, lanes.p2, np.where(kind == 1, lanes.p1, lanes.p0))
-        odd = np.flatnonzero(kind == 3)
+        odd = np.flatnonzero(kind >= _HITS)
         if len(odd):
-            v = np.zeros(len(odd), np.int64)
-            for place in range(4):
-                v = v << 4 | code(lanes.digits, odd * _NODES + _digit_node(place, v), odd, _T16, 4)
-            x[odd] = v
-        ids[:m, t] = x
+            top, k, v = kind[odd] - _HITS, lane[: len(odd)], value[odd]
+            rows = odd * _DIGITS + top
+            cum = lanes.digits[rows]
+            r = span[odd] >> _U(BITS + 8)
+            q = np.minimum(v // r, _U((1 << (BITS + 8)) - 1)).astype(np.int32)
+            digit = symbol_of(cum, q >> 8)
+            start = cum[k, digit]
+            freq = cum[k, digit + 1] - start
+            low = np.clip((q - (start << 8)) // freq, 0, 255)
+            narrow(odd, v, r, (start << 8) + low * freq, freq)
+            lanes.digits[rows] = cum + ((lanes.digit_targets[digit] - cum) >> 5)
+            x[odd] = top << 12 | digit << 8 | low
+        ids[t, :m] = x
         lanes.learn(m, x)
     out: list[np.ndarray] = [np.empty(0, np.int32)] * n
     for r, i in enumerate(order):
-        out[i] = ids[r, : sizes[r]]
+        out[i] = np.ascontiguousarray(ids[: sizes[r], r])
         if zlib.crc32(out[i].astype("<u4").tobytes()) != heads[i][3]:
             raise ValueError("a block's checksum is wrong")
     return out

@@ -26,7 +26,7 @@ from ._io import written
 
 SEGMENT = 1 << 20
 #: Segments whose blocks are coded side by side.
-TOGETHER = 3
+TOGETHER = 6
 END = 2
 _CACHE = 200_000
 #: The split that the vocabulary's pre-tokenizer makes.
