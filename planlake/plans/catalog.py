@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import texts  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
