@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import texts  # noqa: F401
+from . import joins, texts  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
