@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import joins, texts, windows  # noqa: F401
+from . import joins, shapes, texts, windows  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
