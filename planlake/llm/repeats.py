@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,9 @@ from ._io import written
 
 SPAN = 50
 #: Entries of a hash range that one task holds, words at the most that a map task folds together.
-BUCKET, UNIT = 3_000_000, 600_000
+BUCKET, UNIT = 2_000_000, 400_000
+#: Hash ranges whose replies one task gathers by document.
+REPLIES = 8
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _U = np.uint64
@@ -60,6 +63,13 @@ class _Powers:
 _BYTES, _WORDS = _Powers(_R), _Powers(_Q)
 
 
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every values[start:end]."""
+    up, down = _BYTES.get(len(values) + 1)
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((values.astype(np.uint64) + _U(1)) * up[: len(values)])])
+    return _mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64) * _U(0xA24BAED4963EE407))
+
+
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the texts data[bounds[i]:bounds[i + 1]], one after the other, and the words of each text."""
     if not len(data):
@@ -71,10 +81,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     after = np.concatenate([word[1:], [False]])
     start = np.flatnonzero(word & (~before | edge[:-1]))
     end = np.flatnonzero(word & (~after | edge[1:])) + 1
-    up, down = _BYTES.get(len(data) + 1)
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + _U(1)) * up[: len(data)])])
-    h = _mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64) * _U(0xA24BAED4963EE407))
-    return h, np.diff(np.searchsorted(start, bounds - bounds[0]))
+    return span_hashes(data, start, end), np.diff(np.searchsorted(start, bounds - bounds[0]))
 
 
 def rolling(h: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +138,7 @@ def _pack(part: np.ndarray, kind: int, ids: np.ndarray, variants: np.ndarray, do
 def _unpack(t: pa.Table, kind: int, low=np.uint32, high=None):
     """Documents (ids, variants) of all rows of a kind, and of every entry its document's number, place and hash words."""
     ids, variants, docs, places, lows, highs, n = [], [], [], [], [], [], 0
-    for r in t.filter(pa.compute.equal(t["kind"], kind)).to_pylist():
+    for r in t.filter(pc.equal(t["kind"], kind)).to_pylist():
         i = _unplanes(r["docs"], np.int64)
         c = _unplanes(r["counts"], np.uint32).astype(np.int64)
         run = np.cumsum(_unplanes(r["gaps"], np.uint32).astype(np.int64))
@@ -214,14 +221,38 @@ def _probe(parts: int, block: int):
                 first = order[np.flatnonzero(np.diff(group, prepend=-1))]
                 first = first[shared[first]]
                 rows += _pack(part[first], _SHARED, ids, variants, doc[first], place[first], key[first], none)
-                home = (_mix(ids.view(np.uint64) + _U(1)) % _U(parts)).astype(np.int64)
+                home = _home(ids, parts)
                 rows += _pack(home[doc[shared]], _KNOWN, ids, variants, doc[shared], place[shared], none, none)
             yield pa.RecordBatch.from_pylist(rows, _PACKED)
 
     return run
 
 
-def _meet_anchors(block: int):
+def _home(ids: np.ndarray, homes: int) -> np.ndarray:
+    """The part that gathers what is found of a document."""
+    return (_mix(ids.view(np.uint64) + _U(1)) % _U(homes)).astype(np.int64)
+
+
+def _replies(ids: np.ndarray, variants: np.ndarray, doc: np.ndarray, place: np.ndarray, homes: int) -> pa.Table:
+    """The places found, packed by the part that gathers them."""
+    none = np.empty(0, np.uint32)
+    return pa.Table.from_pylist(_pack(_home(ids, homes)[doc], _KNOWN, ids, variants, doc, place, none, none), _PACKED)
+
+
+def _gather(t):
+    """doc_id, variant, places of every document of one part of packed replies, each place once."""
+    ids, variants, doc, place, _, _ = _unpack(t, _KNOWN)
+    if not len(doc):
+        return pa.Table.from_batches([_by_document(ids, variants, doc, place)])
+    order, owner = _groups(ids, variants)
+    number = np.empty(len(ids), np.int64)
+    number[order] = owner
+    first = order[np.flatnonzero(np.diff(owner, prepend=-1))]
+    pairs = np.unique(np.stack([number[doc], place], 1), axis=0)
+    return pa.Table.from_batches([_by_document(ids[first], variants[first], pairs[:, 0], pairs[:, 1])])
+
+
+def _meet_anchors(block: int, homes: int):
     """Of one hash range: places whose hash is an aligned block of some document and stands in another one too."""
 
     def run(t):
@@ -244,16 +275,15 @@ def _meet_anchors(block: int):
             hit = np.zeros(n + len(s_key), bool)
             hit[order] = (indexed & several)[group]
             hit = hit[:n]
-            yield_ids, yield_doc, yield_place, yield_var = np.concatenate([ids, k_ids]), np.concatenate([doc[hit], k_doc + len(ids)]), np.concatenate([place[hit], k_place]), np.concatenate([variants, k_variants])
         else:
-            yield_ids, yield_doc, yield_place, yield_var = k_ids, k_doc, k_place, k_variants
-        return pa.Table.from_batches([_by_document(yield_ids, yield_var, yield_doc, yield_place)])
+            hit = np.zeros(0, bool)
+        return _replies(np.concatenate([ids, k_ids]), np.concatenate([variants, k_variants]), np.concatenate([doc[hit], k_doc + len(ids)]), np.concatenate([place[hit], k_place]), homes)
 
     return run
 
 
-def _places(lists: pa.Array) -> list[np.ndarray]:
-    return [np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in r or []] or [np.empty(0, np.uint32)])).astype(np.int64) for r in lists.to_pylist()]
+def _places(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x or b"", np.uint32).astype(np.int64) for x in column.to_pylist()]
 
 
 def _windows(parts: int, span: int, block: int):
@@ -285,7 +315,7 @@ def _windows(parts: int, span: int, block: int):
             one = ~late
             rows = _pack(part[one].astype(np.int64), _ENTRY, ids, variants, doc[one], place[one], g2[one].astype(np.uint32), g[one])
             if late.any():
-                home = (_mix(ids.view(np.uint64) + _U(1)) % _U(parts)).astype(np.int64)
+                home = _home(ids, parts)
                 none = np.empty(0, np.uint32)
                 rows += _pack(home[doc[late]], _KNOWN, ids, variants, doc[late], place[late], none, none)
             yield pa.RecordBatch.from_pylist(rows, _PACKED)
@@ -293,18 +323,22 @@ def _windows(parts: int, span: int, block: int):
     return run
 
 
-def _meet_windows(t):
+def _meet_windows(homes: int):
     """Of one hash range: places of windows that a document with a smaller id holds too."""
-    ids, variants, doc, place, low, high = _unpack(t, _ENTRY, high=np.uint64)
-    k_ids, k_variants, k_doc, k_place, _, _ = _unpack(t, _KNOWN)
-    late = np.zeros(len(low), bool)
-    if len(low):
-        order, group = _groups(high, low)
-        owner = ids[doc[order]]
-        least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, owner)
-        late[order] = owner > least[group]
-    return pa.Table.from_batches([_by_document(np.concatenate([ids, k_ids]), np.concatenate([variants, k_variants]), np.concatenate([doc[late], k_doc + len(ids)]), np.concatenate([place[late], k_place]))])
+
+    def run(t):
+        ids, variants, doc, place, low, high = _unpack(t, _ENTRY, high=np.uint64)
+        k_ids, k_variants, k_doc, k_place, _, _ = _unpack(t, _KNOWN)
+        late = np.zeros(len(low), bool)
+        if len(low):
+            order, group = _groups(high, low)
+            owner = ids[doc[order]]
+            least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, group, owner)
+            late[order] = owner > least[group]
+        return _replies(np.concatenate([ids, k_ids]), np.concatenate([variants, k_variants]), np.concatenate([doc[late], k_doc + len(ids)]), np.concatenate([place[late], k_place]), homes)
+
+    return run
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -315,18 +349,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _repeated(keyed: DataFrame, span: int) -> DataFrame:
-    """doc_id, variant, places: lists of first words of the windows to remove."""
+    """doc_id, variant, places: first words of the windows to remove (uint32 bytes)."""
     block = span // 2
     texts = keyed.where("doc_id is not null and text is not null")
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-total // (6 * BUCKET)))
+    homes = -(-parts // REPLIES)
     probes = texts.mapInArrow(_probe(parts, block), _PACKED_SQL)
-    hits = probes.groupBy("part").applyInArrow(_meet_anchors(block), _FOUND_SQL)
-    hits = written(hits.groupBy("doc_id", "variant").agg(F.collect_list("places").alias("places")), "anchors")
-    near = texts.join(hits.df.hint("merge"), ["doc_id", "variant"]).select("doc_id", "variant", "text", "places")
-    late = near.mapInArrow(_windows(parts, span, block), _PACKED_SQL).groupBy("part").applyInArrow(_meet_windows, _FOUND_SQL)
-    out = written(late.groupBy("doc_id", "variant").agg(F.collect_list("places").alias("places")), "repeats")
-    hits.drop()
+    hits = probes.groupBy("part").applyInArrow(_meet_anchors(block, homes), _PACKED_SQL)
+    anchors = written(hits.groupBy("part").applyInArrow(_gather, _FOUND_SQL), "anchors")
+    near = texts.join(anchors.df.hint("merge"), ["doc_id", "variant"]).select("doc_id", "variant", "text", "places")
+    late = near.mapInArrow(_windows(parts, span, block), _PACKED_SQL).groupBy("part").applyInArrow(_meet_windows(homes), _PACKED_SQL)
+    out = written(late.groupBy("part").applyInArrow(_gather, _FOUND_SQL), "repeats")
+    anchors.drop()
     return out.df
 
 
