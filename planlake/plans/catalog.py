@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import aggregates, joins, shapes, texts, windows  # noqa: F401
+from . import aggregates, jobs, joins, shapes, texts, windows  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
