@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokenfiles import Encoder
+from .tokenfiles import encoder
 
 #: Tokens of a window, of them for repeated turns, and of a turn's marks.
 BUDGET, HISTORY, MARKS = 1024, 256, 8
@@ -129,11 +129,11 @@ def windows(conversations: DataFrame, count: Callable[[list[str]], list[int]] |
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(count) if isinstance(count, str) else None
+        encode = encoder(count).encode if isinstance(count, str) else None
         now, out, held = None, [], 0
         for b in batches:
             texts = [t or "" for t in b.column(2).to_pylist()]
-            tokens = [len(x) for x in encoder.encode([escape(t) for t in texts])] if encoder else count(texts)
+            tokens = [len(x) for x in encode([escape(t) for t in texts])] if encode else count(texts)
             for conv_id, role, text, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, tokens):
                 if now is None or now.conv_id != conv_id:
                     if now:

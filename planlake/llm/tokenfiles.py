@@ -8,8 +8,11 @@ files never count, and any split of it can be read alone.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -23,23 +26,50 @@ from tokenizers import Tokenizer
 
 from . import coder
 from ._io import written
+from .repeats import span_hashes
 
 SEGMENT = 1 << 20
 #: Segments whose blocks are coded side by side.
 TOGETHER = 6
 END = 2
 _CACHE = 200_000
-#: The split that the vocabulary's pre-tokenizer makes.
-_PIECE = regex.compile(public_tokenizers.PATTERN)
-_PLAIN = regex.compile("[\x00-ɏ]*")
+#: Texts that split_pieces can split: characters below U+0250 but the apostrophe.
+_PLAIN = re.compile("[\x00-&(-ɏ]*")
+
+
+_LETTER, _NUMBER, _SPACE, _OTHER = range(4)
+_CLASS = np.array([_LETTER if regex.match(r"\p{L}", chr(c)) else _NUMBER if regex.match(r"\p{N}", chr(c)) else _SPACE if regex.match(r"\s", chr(c)) else _OTHER for c in range(0x250)], np.uint8)
+
+
+def split_pieces(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the pieces of texts laid end to end, and each piece's text. For code points below U+0250 without apostrophes.
+
+    A piece is a run of letters, numbers or other signs, with one blank before it if there is one. Of a
+    run of white space before something else, all but the last sign are a piece, and the last is one
+    unless it is that blank; at the end of a text the run is one piece.
+    """
+    n = len(codes)
+    kind = _CLASS[codes]
+    ends = np.cumsum(sizes)
+    first = np.zeros(n + 1, bool)
+    first[ends - sizes] = True
+    start = first[:-1].copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    last = np.zeros(n, bool)
+    last[:-1] = (kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & ~first[1:-1]
+    at = np.flatnonzero(last)
+    start[at] = True
+    start[at[codes[at] == 0x20] + 1] = False
+    starts = np.flatnonzero(start)
+    return starts, np.searchsorted(ends, starts, "right")
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    The vocabulary encodes each piece of the pre-tokenizer's split by itself, so pieces of a batch that
-    are not known yet are encoded once, all together, and kept. Texts with characters beyond U+024F or
-    that hold a special token's string go through the library whole.
+    The vocabulary encodes each piece of the pre-tokenizer's split by itself, so distinct pieces are
+    encoded once and kept, told apart by a 64-bit hash. Texts with characters beyond U+024F, with an
+    apostrophe (which has rules of its own) or with a special token's string go through the library whole.
     """
 
     def __init__(self, path: str):
@@ -48,41 +78,71 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool, self.ends, self.n = np.empty(1 << 20, np.int32), np.zeros(1 << 16, np.int64), 0
-
-    def _learn(self, pieces: list[str]) -> None:
-        for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
-            at = int(self.ends[self.n])
-            ids = e.ids
-            while at + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-            if self.n + 2 > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.pool[at : at + len(ids)] = ids
-            self.n += 1
-            self.ends[self.n] = at + len(ids)
-        self.known.update(zip(pieces, range(self.n - len(pieces), self.n)))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.n > _CACHE:
+        self.keys, self.entry = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.pool, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        entry = np.arange(len(self.ends) - 1, len(self.ends) - 1 + len(ids))
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+        keys, entry = np.concatenate([self.keys, keys]), np.concatenate([self.entry, entry])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.entry = keys[order], entry[order]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Of texts that split_pieces can split."""
+        joined = "".join(texts)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        if not joined:
+            return [np.empty(0, np.int32)] * len(texts)
+        if len(self.keys) > _CACHE:
             self.clear()
-        split = [_PIECE.findall(t) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        fresh = dict.fromkeys(p for x in split if x for p in x if p not in self.known)
-        if fresh:
-            self._learn(list(fresh))
-        out = []
-        for t, x in zip(texts, split):
-            if x is None:
-                out.append(np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.int32))
-                continue
-            at = np.fromiter(map(self.known.__getitem__, x), np.int64, len(x))
-            start, size = self.ends[at], self.ends[at + 1] - self.ends[at]
-            flat = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-            out.append(self.pool[flat])
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        start, text = split_pieces(codes, sizes)
+        end = np.append(start[1:], len(codes))
+        key, at, back = np.unique(span_hashes(codes, start, end), return_index=True, return_inverse=True)
+        found = np.searchsorted(self.keys, key)
+        known = found < len(self.keys)
+        known[known] = self.keys[found[known]] == key[known]
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            self._learn(key[fresh], [joined[a:z] for a, z in zip(start[at[fresh]].tolist(), end[at[fresh]].tolist())])
+            found = np.searchsorted(self.keys, key)
+        entry = self.entry[found][back]
+        begin, size = self.ends[entry], self.ends[entry + 1] - self.ends[entry]
+        done = np.cumsum(size)
+        flat = self.pool[np.repeat(begin - done + size, size) + np.arange(done[-1])]
+        pieces = np.bincount(text, minlength=len(texts))
+        cut = np.concatenate([[0], done])[np.cumsum(pieces)]
+        return np.split(flat, cut[:-1])
+
+    def encode(self, texts: list[str], chunk: int = 1 << 20) -> list[np.ndarray]:
+        """Ids of every text; about chunk characters are split at a time."""
+        plain = [bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
+        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(texts)
+        part: list[int] = []
+        held = 0
+        for i, t in enumerate(texts):
+            if plain[i]:
+                part.append(i)
+                held += len(t)
+            else:
+                out[i] = np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.int32)
+            if part and (held >= chunk or i == len(texts) - 1):
+                for k, ids in zip(part, self._ids([texts[k] for k in part])):
+                    out[k] = ids
+                part, held = [], 0
         return out
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: what it knows lasts from task to task."""
+    return Encoder(path)
+
+
 def _schema(kind: str) -> str:
     return f"part int, segment int, doc_ids array<{kind}>, doc_sizes array<int>, n_ids long, block_ids int, blocks array<binary>"
 
@@ -95,8 +155,16 @@ def write_ids(docs: DataFrame, tokenizer: str, block: int = coder.BLOCK, segment
     """
     kind, id_type = docs.schema["doc_id"].dataType.simpleString(), pa.int64()
 
+    def encoded(batches):
+        """doc_id and ids of every row, some hundred rows at a time."""
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                for name, x in zip(some.column(0).to_pylist(), encoder(tokenizer).encode([t or "" for t in some.column(1).to_pylist()])):
+                    yield name, np.append(x, END).astype(np.int32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, n = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        part, n = TaskContext.get().partitionId(), 0
         ready: list[tuple[list, list[np.ndarray]]] = []
         ids, docs, held = [], [], 0
 
@@ -114,18 +182,16 @@ def write_ids(docs: DataFrame, tokenizer: str, block: int = coder.BLOCK, segment
             return rows
 
         out_type = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.list_(id_type)), ("doc_sizes", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("block_ids", pa.int32()), ("blocks", pa.list_(pa.binary()))])
-        for b in batches:
-            names = b.column(0).to_pylist()
-            for name, x in zip(names, encoder.encode([t or "" for t in b.column(1).to_pylist()])):
-                ids.append(name)
-                docs.append(np.append(x, END))
-                held += len(x) + 1
-                if held >= segment:
-                    ready.append((ids, docs))
-                    ids, docs, held = [], [], 0
-                    if len(ready) == TOGETHER:
-                        yield pa.RecordBatch.from_pylist(flush(ready), out_type)
-                        ready = []
+        for name, x in encoded(batches):
+            ids.append(name)
+            docs.append(x)
+            held += len(x)
+            if held >= segment:
+                ready.append((ids, docs))
+                ids, docs, held = [], [], 0
+                if len(ready) == TOGETHER:
+                    yield pa.RecordBatch.from_pylist(flush(ready), out_type)
+                    ready = []
         if ids:
             ready.append((ids, docs))
         if ready:
