@@ -10,6 +10,8 @@ from planlake.sources.proxies import view
 
 from .registry import query
 
+#: What tells outlines apart: ids repeat in the proxy.
+BOX = ["rect_id", "x0", "y0", "x1", "y1"]
 KINDS = {"column": 1, "beam": 2, "slab": 3, "footing": 4, "opening": 5, "region": 6, "wall": 7}
 
 
@@ -197,8 +199,8 @@ def _bands(spark, sf):
 def e12_not_in_legend(spark, sf):
     """Outlines of which less than half is in any legend band."""
     a = boxes(spark, sf)
-    hit = sp.overlaps(a, _bands(spark, sf), ["floor_id"], 5000).where(2 * F.col("overlap") >= sp.area()).select("rect_id", "x0", "y0").distinct()
-    return a.join(hit.hint("merge"), ["rect_id", "x0", "y0"], "left_anti").groupBy("floor_id").agg(F.count("*").alias("kept"))
+    hit = sp.overlaps(a, _bands(spark, sf), ["floor_id"], 5000).where(2 * F.col("overlap") >= sp.area()).select(*BOX).distinct()
+    return a.join(hit.hint("merge"), BOX, "left_anti").groupBy("floor_id").agg(F.count("*").alias("kept"))
 
 
 @query(f"""select t.tag_id, arg_min(b.rect_id, row((t.x - b.cx) * (t.x - b.cx) + (t.y - b.cy) * (t.y - b.cy), b.rect_id)) as swatch_id
@@ -237,8 +239,8 @@ def e15_stop_columns(spark, sf):
 def e16_own_columns(spark, sf):
     """Columns that no stopping outline covers by half of the smaller one."""
     a = boxes(spark, sf, "column")
-    hit = sp.overlaps(a, boxes(spark, sf, "wall", 4), ["floor_id"], 2000).where(2 * F.col("overlap") >= F.least(sp.area(), sp.area("b_"))).select("rect_id", "x0", "y0").distinct()
-    return a.join(hit.hint("merge"), ["rect_id", "x0", "y0"], "left_anti").groupBy("floor_id").agg(F.count("*").alias("kept"))
+    hit = sp.overlaps(a, boxes(spark, sf, "wall", 4), ["floor_id"], 2000).where(2 * F.col("overlap") >= F.least(sp.area(), sp.area("b_"))).select(*BOX).distinct()
+    return a.join(hit.hint("merge"), BOX, "left_anti").groupBy("floor_id").agg(F.count("*").alias("kept"))
 
 
 @query(f"""select coalesce(cast(b.rect_id as varchar), concat('tag', p.note_id)) as slab_id, count(*) as n_tags from {{vN}} p left join (select min(rect_id) as rect_id, floor_id, x0, y0, x1, y1 from {_b('slab', 10)} b group by floor_id, x0, y0, x1, y1) b on p.floor_id = b.floor_id and {IN} group by 1""")
@@ -263,11 +265,11 @@ def e19_opening_labels(spark, sf):
     return pairs.groupBy("rect_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["note_id"].cast("string")), " ").alias("label"))
 
 
-@query(f"select floor_id, count(*) as n_stairs, sum(n) as n_labels from (select b.floor_id, b.rect_id, b.x0, b.y0, count(p.note_id) as n from {_b('opening', 2)} b left join {{vN}} p on p.floor_id = b.floor_id and p.x > b.x0 - 1000 and p.x < b.x1 + 1000 and p.y > b.y0 - 1000 and p.y < b.y1 + 1000 group by 1, 2, 3, 4) t group by floor_id")
+@query(f"select floor_id, count(*) as n_stairs, sum(n) as n_labels from (select b.floor_id, b.rect_id, b.x0, b.y0, b.x1, b.y1, count(p.note_id) as n from (select distinct * from {_b('opening', 2)} b) b left join {{vN}} p on p.floor_id = b.floor_id and p.x > b.x0 - 1000 and p.x < b.x1 + 1000 and p.y > b.y0 - 1000 and p.y < b.y1 + 1000 group by 1, 2, 3, 4, 5, 6) t group by floor_id")
 def e20_stair_labels(spark, sf):
     stairs = boxes(spark, sf, "opening", 2).distinct()
-    n = sp.points_in_boxes(notes(spark, sf), stairs, ["floor_id"], 2500, 1000).groupBy("rect_id", "x0", "y0").agg(F.count("*").alias("n"))
-    return stairs.join(n.hint("merge"), ["rect_id", "x0", "y0"], "left").groupBy("floor_id").agg(F.count("*").alias("n_stairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_labels"))
+    n = sp.points_in_boxes(notes(spark, sf), stairs, ["floor_id"], 2500, 1000).groupBy(*BOX).agg(F.count("*").alias("n"))
+    return stairs.join(n.hint("merge"), BOX, "left").groupBy("floor_id").agg(F.count("*").alias("n_stairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_labels"))
 
 
 @query(f"""with d as (select rect_id, floor_id, x0, y0, x1, y1, rect_id % 2 as up from {_b('opening')} b union all select rect_id + 1000000000, floor_id, x0, y0, x1, y1, 1 - rect_id % 2 from {_b('opening')} b where rect_id % 3 = 0)
@@ -316,11 +318,11 @@ def e26_cantilever_thickness(spark, sf):
     return a.select("rect_id").distinct().join(pairs.hint("merge"), "rect_id", "left").select("rect_id", F.coalesce("t", F.lit(150)).alias("thickness"))
 
 
-@query(f"select b.rect_id, count(p.note_id) as n_stacks, coalesce(string_agg(cast(p.note_id as varchar), ',' order by p.note_id), '') as stacks from (select distinct * from {_b('footing', 8)} b) b left join {{vN}} p on p.floor_id = b.floor_id and {IN} group by b.rect_id, b.x0, b.y0")
+@query(f"select b.rect_id, count(p.note_id) as n_stacks, coalesce(string_agg(cast(p.note_id as varchar), ',' order by p.note_id), '') as stacks from (select distinct * from {_b('footing', 8)} b) b left join {{vN}} p on p.floor_id = b.floor_id and {IN} group by b.rect_id, b.x0, b.y0, b.x1, b.y1")
 def e27_footing_stacks(spark, sf):
     f = boxes(spark, sf, "footing", 8).distinct()
-    n = sp.points_in_boxes(notes(spark, sf), f, ["floor_id"], 5000).groupBy("rect_id", "x0", "y0").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("note_id")), lambda i: i.cast("string")), ",").alias("s"))
-    return f.join(n.hint("merge"), ["rect_id", "x0", "y0"], "left").select("rect_id", F.coalesce("n", F.lit(0)).alias("n_stacks"), F.coalesce("s", F.lit("")).alias("stacks"))
+    n = sp.points_in_boxes(notes(spark, sf), f, ["floor_id"], 5000).groupBy(*BOX).agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("note_id")), lambda i: i.cast("string")), ",").alias("s"))
+    return f.join(n.hint("merge"), BOX, "left").select("rect_id", F.coalesce("n", F.lit(0)).alias("n_stacks"), F.coalesce("s", F.lit("")).alias("stacks"))
 
 
 @query(f"select b.rect_id, count(*) as n_piles, concat(count(*), ' PILES ', max(300 + 50 * (p.note_id % 5)), 'DIA') as line from {{vN}} p join {_b('footing', 10)} b on p.floor_id = b.floor_id and {IN} group by b.rect_id")

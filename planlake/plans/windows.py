@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from planlake.operators import intervals as iv, numbering as nb, spatial as sp
 from planlake.sources.proxies import view
 
-from .joins import boxes, _b, _OV, _AREA
+from .joins import BOX, boxes, _b, _OV, _AREA
 from .registry import query
 
 
@@ -290,8 +290,8 @@ def i03_enclosures(spark, sf):
 def i04_confirmed(spark, sf):
     """Outlines that a hatch confirms; hatches alone make no rows."""
     a = boxes(spark, sf, "column")
-    hit = sp.overlaps(a, boxes(spark, sf, "region", 3), ["floor_id"], 2000).select("rect_id", "x0", "y0").distinct()
-    return a.join(hit.hint("merge"), ["rect_id", "x0", "y0"], "left_semi").groupBy("floor_id").agg(F.count("*").alias("confirmed"))
+    hit = sp.overlaps(a, boxes(spark, sf, "region", 3), ["floor_id"], 2000).select(*BOX).distinct()
+    return a.join(hit.hint("merge"), BOX, "left_semi").groupBy("floor_id").agg(F.count("*").alias("confirmed"))
 
 
 @query("select floor_id, upper(text) as note, min(note_id) as first_id from {vN} n where note_id % 12 in (2, 5, 11) group by floor_id, upper(text)")
