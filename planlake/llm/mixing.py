@@ -5,7 +5,8 @@ is; the fractional part is a probability that pivotal rounding settles: two open
 words of expected mass, in a random direction, until one of them is in or out, which leaves the
 source's expected words as they are. Leaves of the reduction tree are buckets of about LEAF documents
 of one source (a hot source only has more buckets); each sends on at most one open document, and
-levels of FAN buckets are combined until each source has one open document, which is rounded.
+levels of FAN buckets are combined until each source has one open document, which is rounded; of TRIES
+draws of that last level the one whose rounding moves fewest words is taken.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from ._io import BROADCAST_BYTES, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEAF, FAN = 2048, 1024
+#: Draws of the last level; the one whose rounding moves fewest words stands.
+TRIES = 32
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -89,7 +92,8 @@ def _combine(rows: DataFrame, kind: str, seed: int, last: bool) -> DataFrame:
         tie = t.column("doc_id").cast(pa.string()).fill_null("").to_numpy(zero_copy_only=False).astype(str)
         order = np.lexsort((tie, -size))  # large ones first: what stays open at the end is small
         rng = np.random.default_rng([seed, zlib.crc32(repr((source, bucket)).encode()), len(size)])
-        p, at = settle(size[order], t.column("p").to_numpy()[order], rng)
+        draws = [settle(size[order], t.column("p").to_numpy()[order], rng) for _ in range(TRIES if last else 1)]
+        p, at = min(draws, key=lambda d: 0 if d[1] < 0 else size[order][d[1]] * abs(d[0][d[1]] - round(d[0][d[1]])))
         if last and at >= 0:
             p[at], at = round(p[at]), -1
         out = t.take(pa.array(order))
