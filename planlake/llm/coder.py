@@ -19,10 +19,10 @@ import zlib
 import numpy as np
 
 MAGIC = b"PLB1"
-BLOCK = 2048
+BLOCK = 1024
 BITS = 16
 #: Contexts of the order-2 and order-1 tables of a block.
-SLOTS = 2048
+SLOTS = 1024
 _HEAD = struct.Struct("<4sIII")  # magic, ids, coded bytes, crc32 of the ids
 _U = np.uint64
 _FULL, _WORD, _32 = _U(0xFFFFFFFFFFFFFFFF), _U(1 << 32), _U(32)

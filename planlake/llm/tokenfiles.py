@@ -30,9 +30,9 @@ from .repeats import span_hashes
 
 SEGMENT = 1 << 20
 #: Segments whose blocks are coded side by side.
-TOGETHER = 6
+TOGETHER = 3
 END = 2
-_CACHE = 200_000
+_CACHE = 100_000
 #: Texts that split_pieces can split: characters below U+0250 but the apostrophe.
 _PLAIN = re.compile("[\x00-&(-ɏ]*")
 
