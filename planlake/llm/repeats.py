@@ -300,7 +300,7 @@ def _windows(parts: int, span: int, block: int):
                     np.add.at(near, first[i] + a, 1)
                     np.add.at(near, first[i] + b, -1)
             g, doc, place = rolling(h, n, span)
-            g2 = _mix(rolling(h * _U(0xC2B2AE3D27D4EB4F) + _U(1), n, span)[0])
+            g2 = _mix(rolling(h * _U(0x9FB21C651E98DF25) + _U(1), n, span)[0])
             ok = np.cumsum(near)[:-1] > 0
             g, g2, doc, place = g[ok], g2[ok], doc[ok], place[ok]
             if not len(g):
