@@ -30,8 +30,8 @@ _ESCAPED = re.compile(r"\\(.)", re.S)
 
 
 def escape(text: str) -> str:
-    """A backslash goes before each backslash and each control string."""
-    return text.replace("\\", "\\\\").replace("</turn>", "\\</turn>").replace("### ", "\\### ")
+    """A backslash goes before each backslash and each control string, also one that the blank after the text completes."""
+    return f"{text} ".replace("\\", "\\\\").replace("</turn>", "\\</turn>").replace("### ", "\\### ")[:-1]
 
 
 def unescape(text: str) -> str:

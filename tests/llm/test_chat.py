@@ -21,6 +21,12 @@ def test_escapes_are_reversible():
         assert [(r, t) for r, t, _, _ in chat.read_turns(window)] == turns
 
 
+def test_texts_may_end_in_hashes():
+    turns = [(role, f"{head}{'#' * n}") for n in range(1, 6) for head in ("", "title ", "\\", "### ", "</turn>") for role in ("user", "assistant", "#" * n)]
+    window = "".join(chat.write_turn(*t)[0] for t in turns)
+    assert [(r, t) for r, t, _, _ in chat.read_turns(window)] == turns
+
+
 def test_windows(spark):
     rng = random.Random(8)
     rows = []
