@@ -1,11 +1,12 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Items and documents are compared with A-Z lower-cased and white space runs as one space. Items are cut
-into windows of up to SPAN bytes, STRIDE apart. A stretch of a document within k edits of a window of
-w bytes shares at least w - q + 1 - k * q of its q-grams with it, all on diagonals (document position
-minus window position) that differ by at most k: so shared q-grams are counted for every window in
-overlapping diagonal bands, twice as wide as k, and only bands that reach the bound are aligned (banded
-dynamic programming over the band's diagonals). Any stretch within the budget is found.
+Items and documents are compared with A-Z lower-cased and white space runs as one space. Every run of SPAN
+bytes of an item is a window (a shorter item is one window itself). A stretch of a document within k edits
+of a window of w bytes shares at least w - q + 1 - k * q of its q-grams with it, all on diagonals (document
+position minus item position) that differ by at most k: so shared q-grams are gathered for every item in
+overlapping diagonal bands, twice as wide as k, and only windows that hold enough of a band's are aligned
+(banded dynamic programming over the band's diagonals). Any stretch within the budget of any window is
+found; so is every verbatim quote of SPAN normalised bytes or more, wherever it starts in its item.
 """
 
 from __future__ import annotations
@@ -13,15 +14,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPAN, STRIDE, RATE, Q = 80, 40, 0.075, 10
+SPAN, RATE, Q = 80, 0.075, 10
 #: Bytes of items that one pass indexes and broadcasts; more items take more passes.
 BLOCK_BYTES = 8 << 20
+#: Windows that are aligned at a time.
+_ALIGNED = 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 
@@ -45,65 +49,86 @@ def grams(data: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    items: np.ndarray  # of each window: the item's number
-    starts: np.ndarray
-    sizes: np.ndarray
-    budget: np.ndarray
+    number: np.ndarray  # of each item with windows: its number
+    base: np.ndarray  # where its bytes start
+    windows: np.ndarray  # how many; the i-th starts at its i-th byte
+    size: np.ndarray  # of its windows
+    edits: np.ndarray  # budget of its windows
     least: np.ndarray  # q-grams that a stretch within the budget must share
-    text: np.ndarray  # windows x SPAN bytes
+    flat: np.ndarray  # bytes of all items, and of a window more
     keys: np.ndarray  # sorted q-gram values
-    window: np.ndarray  # of each key
-    offset: np.ndarray
+    place: np.ndarray  # of each key, in flat
     seen: np.ndarray  # table of hashed keys for a quick no
     q: int
+    span: int
 
+    # window by window, for those who compare with all of them
+    @cached_property
+    def items(self) -> np.ndarray:
+        return np.repeat(self.number, self.windows)
 
-def build_index(texts: list[str | None], q: int = Q, span: int = SPAN, stride: int = STRIDE, rate: float = RATE) -> Index:
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return np.arange(self.windows.sum()) - np.repeat(np.cumsum(self.windows) - self.windows, self.windows)
+
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        return np.repeat(self.size, self.windows)
+
+    @cached_property
+    def budget(self) -> np.ndarray:
+        return np.repeat(self.edits, self.windows)
+
+    @cached_property
+    def text(self) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(self.flat, self.span)[np.repeat(self.base, self.windows) + self.starts]
+
+
+def build_index(texts: list[str | None], q: int = Q, span: int = SPAN, rate: float = RATE) -> Index:
     """Windows of all items. Items shorter than q bytes cannot be told from chance and have none."""
-    rows, keys, window, offset = [], [], [], []
+    rows, parts, keys, place, at = [], [], [], [], 0
     for i, t in enumerate(texts):
         data = np.frombuffer(normal(t), np.uint8)
         if len(data) < q:
             continue
-        starts = sorted({*range(0, max(1, len(data) - span + 1), stride), max(0, len(data) - span)})
-        for s in starts:
-            part = data[s : s + span]
-            k = int(len(part) * rate)
-            while k and len(part) - q + 1 - k * q < 1:
-                k -= 1
-            g = grams(part, q)
-            keys.append(g)
-            window.append(np.full(len(g), len(rows)))
-            offset.append(np.arange(len(g)))
-            rows.append((i, s, len(part), k, len(part) - q + 1 - k * q, np.pad(part, (0, span - len(part)))))
+        size = min(len(data), span)
+        k = int(size * rate)
+        while k and size - q + 1 - k * q < 1:
+            k -= 1
+        g = grams(data, q)
+        keys.append(g)
+        place.append(np.arange(at, at + len(g)))
+        rows.append((i, at, len(data) - size + 1, size, k, size - q + 1 - k * q))
+        parts.append(data)
+        at += len(data)
     cat = lambda x, d: np.concatenate(x) if x else np.empty(0, d)
     key = cat(keys, np.uint64)
     order = np.argsort(key, kind="stable")
     seen = np.zeros(1 << 20, bool)
     seen[(key >> np.uint64(44)).astype(np.int64)] = True
-    num = lambda j: np.array([r[j] for r in rows], np.int64)
-    return Index(num(0), num(1), num(2), num(3), num(4), np.array([r[5] for r in rows], np.uint8).reshape(-1, span), key[order], cat(window, np.int64)[order], cat(offset, np.int64)[order], seen, q)
-
-
-def align(ix: Index, doc: np.ndarray, window: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least edits of each window against stretches of doc on the diagonals low .. low + width, and where the best ends."""
-    n, span = len(window), ix.text.shape[1]
-    cell = np.arange(width + 1)
-    size = ix.sizes[window]
-    big = np.int64(1 << 20)
-    at = low[:, None] + cell  # document position before row 0, by diagonal
-    now = np.where((at >= 0) & (at <= len(doc)), 0, big)
+    num = np.array(rows, np.int64).reshape(-1, 6).T
+    return Index(*num, cat([*parts, np.zeros(span, np.uint8)], np.uint8), key[order], cat(place, np.int64)[order].astype(np.int32), seen, q, span)
+
+
+def align(ix: Index, doc: np.ndarray, item: np.ndarray, start: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits of each window (its item, its start in flat) against stretches of doc on the diagonals low .. low + width, and where the best ends."""
+    n = len(item)
+    cell = np.arange(width + 1, dtype=np.int32)
+    size = ix.size[item]
+    big = np.int32(1 << 20)
+    at = low.astype(np.int32)[:, None] + cell  # document position before row 0, by diagonal
+    padded = np.concatenate([np.zeros(1, np.int16), doc.astype(np.int16), np.zeros(1, np.int16)])
+    padded[[0, -1]] = -1
+    now = np.where((at >= 0) & (at <= len(doc)), np.int32(0), big)
     best, end = np.full(n, big), np.full(n, -1)
-    for i in range(1, span + 1):
-        pos = at + i - 1  # the document byte that a diagonal step reads
-        inside = (pos >= 0) & (pos < len(doc))
-        byte = doc[np.clip(pos, 0, len(doc) - 1)]
-        step = np.where(inside, now + (byte != ix.text[window, i - 1][:, None]), big)
-        down = np.concatenate([now[:, 1:], np.full((n, 1), big)], 1) + 1  # a window byte without partner
-        new = np.minimum(step, down)
+    down = np.full((n, width + 1), big + 1, np.int32)
+    for i in range(1, int(size.max(initial=0)) + 1):
+        pos = at + np.int32(i)  # after the document byte that a diagonal step reads
+        byte = padded[np.clip(pos, 0, len(doc) + 1)]
+        down[:, :-1] = now[:, 1:] + 1  # a window byte without partner
+        new = np.minimum(np.where(byte < 0, big, now + (byte != ix.flat[start + i - 1][:, None])), down)
         new = np.minimum.accumulate(new - cell, 1) + cell  # document bytes without partner
-        new = np.where((at + i >= 0) & (at + i <= len(doc)), new, big)
-        now = new
+        now = np.where((pos >= 0) & (pos <= len(doc)), new, big)
         done = size == i
         if done.any():
             j = now[done].argmin(1)
@@ -112,8 +137,8 @@ def align(ix: Index, doc: np.ndarray, window: np.ndarray, low: np.ndarray, width
     return best, end
 
 
-def find(ix: Index, text: str | bytes | None) -> list[tuple[int, int, int, int]]:
-    """(item number, edits, start, end) of every window of an item that the text holds within its budget; positions in bytes of the normalised text."""
+def find(ix: Index, text: str | bytes | None, first: bool = False) -> list[tuple[int, int, int, int]]:
+    """(item number, edits, start, end) of every window of an item that the text holds within its budget; positions in bytes of the normalised text. first: some of them are enough."""
     doc = np.frombuffer(normal(text), np.uint8)
     if not len(ix.keys) or len(doc) < ix.q:
         return []
@@ -129,35 +154,60 @@ def find(ix: Index, text: str | bytes | None) -> list[tuple[int, int, int, int]]
     if len(pos) < need:
         return []
     # the bound itself, before looking at windows: so many hits within one window and its budget
-    reach = ix.text.shape[1] + int(ix.budget.max())
+    reach = ix.span + int(ix.edits.max())
     near = np.searchsorted(pos, pos + reach, "right") - np.searchsorted(pos, pos - reach, "left")
     keep = near >= need
     pos, left, n = pos[keep], left[keep], n[keep]
     if not len(pos):
         return []
     k = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    window, diagonal = ix.window[k], np.repeat(pos, n) - ix.offset[k]
-    half = int(ix.budget.max()) + 1
-    base = (diagonal + ix.text.shape[1]) // half
+    place = ix.place[k].astype(np.int64)
+    item = np.searchsorted(ix.base, place, "right") - 1
+    diagonal = np.repeat(pos, n) - (place - ix.base[item])
+    half = int(ix.edits.max()) + 1
+    least = int(diagonal.min())
+    base = (diagonal - least) // half
     wide = int(base.max()) + 2
-    window, pos2 = np.concatenate([window, window]), np.concatenate([np.repeat(pos, n)] * 2)
-    band = np.concatenate([base, base - 1]) + 1  # band b covers the diagonals of base b - 1 and b
-    key = window * (wide + 1) + band
-    # shared q-grams: positions of the window may repeat in the document, so count distinct document positions
-    key, count = np.unique(np.unique(key * len(doc) + pos2) // len(doc), return_counts=True)
-    window, band = key // (wide + 1), key % (wide + 1)
-    ok = count >= ix.least[window]
-    window, band = window[ok], band[ok]
-    if not len(window):
-        return []
-    low = (band - 1) * half - ix.text.shape[1]
-    best, end = align(ix, doc, window, low - half, 4 * half)
-    ok = best <= ix.budget[window]
-    found: dict[int, tuple[int, int, int]] = {}
-    for w, e, z in zip(window[ok], best[ok], end[ok]):
-        if int(w) not in found or (int(e), int(z)) < found[int(w)][::2]:
-            found[int(w)] = (int(e), int(z - ix.sizes[w]), int(z))
-    return [(int(ix.items[w]), e, max(0, a), z) for w, (e, a, z) in sorted(found.items())]
+    # band b covers the diagonals of base b - 1 and b; of each, the distinct q-grams of the item
+    group = np.concatenate([item, item]) * wide + np.concatenate([base + 1, base])
+    order = np.lexsort((both := np.concatenate([place, place]), group))
+    group, place = group[order], both[order]
+    new = np.concatenate([[True], (group[1:] != group[:-1]) | (place[1:] != place[:-1])])
+    group, place = group[new], place[new]
+    item = group // wide
+    # windows that hold the least number of q-grams: those around each run of so many
+    upto = np.arange(len(group)) + ix.least[item] - 1
+    ok = np.flatnonzero(upto < len(group))
+    ok = ok[group[upto[ok]] == group[ok]]
+    group, item, high, low = group[ok], item[ok], place[ok], place[upto[ok]]
+    low = np.maximum(low - ix.size[item] + ix.q, ix.base[item])
+    high = np.minimum(high, ix.base[item] + ix.windows[item] - 1)
+    # both ends rise within a group, so what an earlier run has is what lies at or before its high
+    low[1:] = np.where(group[1:] == group[:-1], np.maximum(low[1:], high[:-1] + 1), low[1:])
+    n = np.maximum(high - low + 1, 0)
+    group, item = np.repeat(group, n), np.repeat(item, n)
+    start = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    band = group % wide
+    order = np.argsort(band, kind="stable")
+    band, item, start = band[order], item[order], start[order]
+    found: dict[int, tuple[int, int, int, int]] = {}
+    exact = np.empty(0, np.int64)  # windows that no later band can better
+    at = 0
+    while at < len(start):
+        s, i, b = start[at : at + _ALIGNED], item[at : at + _ALIGNED], band[at : at + _ALIGNED]
+        at += _ALIGNED
+        if len(exact):
+            rest = ~np.isin(s, exact)
+            s, i, b = s[rest], i[rest], b[rest]
+        best, end = align(ix, doc, i, s, least + (b - 2) * half + s - ix.base[i], 4 * half)
+        ok = best <= ix.edits[i]
+        exact = np.union1d(exact, s[ok & (best == 0)])
+        for w, j, e, z in zip(s[ok].tolist(), i[ok].tolist(), best[ok].tolist(), end[ok].tolist()):
+            if w not in found or (e, z) < found[w][1::2]:
+                found[w] = (j, e, z - int(ix.size[j]), z)
+        if first and found:
+            break
+    return [(int(ix.number[j]), e, max(0, a), z) for _, (j, e, a, z) in sorted(found.items())]
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> list[tuple[list, Index]]:
@@ -210,7 +260,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 texts = b.column(at).cast(pa.binary()).to_pylist()
-                yield b.filter(pa.array([not find(known.value, t) for t in texts], pa.bool_()))
+                yield b.filter(pa.array([not find(known.value, t, first=True) for t in texts], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
     return out

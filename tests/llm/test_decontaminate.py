@@ -50,6 +50,24 @@ def test_find_matches_brute_force():
         assert sorted(x[0] for x in got) == sorted(i for i, _ in want), trial
 
 
+def test_quotes_are_found_wherever_they_start():
+    rng = random.Random(5)
+    items = [d.normal("".join(rng.choice("abcdefgh  ") for _ in range(n))) for n in (150, 300, 60, 1000)]
+    index = d.build_index([x.decode() for x in items])
+    for trial in range(300):
+        i = rng.choice([0, 1, 3])
+        n = rng.randrange(d.SPAN, 120)
+        a = rng.randrange(len(items[i]) - n + 1)
+        text = "zq " * rng.randrange(1, 30) + items[i][a : a + n].decode() + " zq" * rng.randrange(1, 30)
+        found = d.find(index, text)
+        assert (i, 0) in {x[:2] for x in found}, (trial, a, n)
+        if trial >= 294:  # and nothing else than what all windows give
+            windows = [(j, x[s : s + d.SPAN]) for j, x in enumerate(items[:3]) for s in range(max(1, len(x) - d.SPAN + 1))]
+            least = [(j, distance_in(w, d.normal(text)), int(len(w) * d.RATE)) for j, w in windows]
+            assert sorted(x[:2] for x in found if x[0] < 3) == sorted((j, e) for j, e, most in least if e <= most)
+            assert d.find(index, text, first=True)
+
+
 def test_rows(spark, monkeypatch):
     rng = random.Random(4)
     item = "".join(rng.choice("abcdefgh ") for _ in range(160))
