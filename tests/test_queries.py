@@ -5,8 +5,10 @@ import math
 import duckdb
 import pytest
 
+from planlake.operators import faces
 from planlake.plans import catalog
 from planlake.plans.jobs import compare, snapshots
+from planlake.sources.proxies import view
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -58,3 +60,24 @@ def test_edits_raise_their_codes(spark, sf):
     assert codes(m.selectExpr("id", "floor_id", f"x0 + if(id = {first}, 500, 0) x0", "y0", f"x1 + if(id = {first}, 500, 0) x1", "y1")) == {"RT_MOVED"}
     assert codes(m.selectExpr("id", "floor_id", "x0", "y0", "x1", f"y1 + if(id = {first}, 90, 0) y1")) == {"RT_MOVED", "RT_RESIZED"}
     assert codes(m.unionByName(m.where(f"id = {first}").selectExpr("-id id", "floor_id", "x0 - 900000 x0", "y0", "x1 - 900000 x1", "y1"))) == {"RT_ADDED"}
+
+
+def test_unsplit_outlines_are_handed_back(spark, sf):
+    rows = catalog.QUERIES["j09_split_legs"](spark, sf).collect()
+    legs = {}
+    for r in rows:
+        legs.setdefault(r["rect_id"], []).append((r["x0"], r["y0"], r["x1"], r["y1"]))
+    shapes = {}  # ids repeat
+    for r in view(spark, sf, "vR").collect():
+        shapes.setdefault(r["rect_id"], []).append((r["x0"], r["y0"], r["x0"] + r["w"], r["y0"] + r["h"]))
+    assert set(legs) == set(shapes)
+    for i, boxes in shapes.items():
+        assert len(legs[i]) == len(boxes) * (2 if i % 3 == 0 else 1)
+        for k, f in enumerate((min, min, max, max)):
+            assert f(x[k] for x in legs[i]) == f(x[k] for x in boxes)
+
+
+def test_thin_outlines_keep_their_box(spark):
+    ring = [{"x": float(x), "y": float(y)} for x, y in ((0, 0), (300, 0), (300, 40), (0, 40))]
+    frame = spark.createDataFrame([(1, ring)], "rect_id long, ring array<struct<x:double,y:double>>")
+    assert [tuple(r) for r in faces.split_outlines(frame, "rect_id").collect()] == [(1, 1, 0.0, 0.0, 300.0, 40.0)]
