@@ -24,8 +24,13 @@ def _own_folder() -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; an own local one only where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The shared folder of ``spark.checkpoint.dir``. Only a session that runs in one process gets a folder of its own where that is unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()
 
 
 @contextmanager
@@ -54,6 +59,13 @@ class Written:
         path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def leave(self) -> DataFrame:
+        """The table, for a result that is read later: it is deleted when the session's file system closes."""
+        spark = self.df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        return self.df
+
 
 def written(df: DataFrame, tag: str) -> Written:
     """Write df and read it back. Its shuffle files go as soon as it is written."""

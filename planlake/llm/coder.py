@@ -1,14 +1,20 @@
 """Adaptive context-mixing range coder for token ids.
 
-A block is coded on its own: its models start empty. Three models predict the next id: order 2 (what
-followed the last two ids), order 1 (what followed the last id) and order 0 (the block's majority id so
-far). Which of them is right, or else the top digit of the id, is one symbol; its frequencies adapt in
-the context of how well the order-2 and order-1 predictions held before, which mixes the models. An id
-that none predicts is completed by its second digit, adapted in the context of the first, and its low
-byte, which is left even: ids of a vocabulary are in order of frequency, so their low bits say little.
-All go through one 64-bit range coder with carries and 32-bit output words.
+A block is coded on its own: its models start empty, and a checksum of its ids is kept with it. Four
+predictions of the next id are mixed. Order 0 is a distribution over all ids: an id goes as four digits
+of base 16, each with counts in the context of the digits before it. Order 1 names the two ids that last
+followed the id before, order 2 the one that last followed the two ids before. The mixture
+
+    p(id) = w0 * p0(id) + w1 * [id = first] + w2 * [id = second] + w3 * [id = third]
+
+is coded digit by digit, its weights turning to their posterior after each. They start from values that
+depend on how often the order-1 and order-2 predictions held before, and are learnt while coding: each
+moves towards its prediction's share in the probability of the id that came (online expectation
+maximisation). All goes through one 64-bit range coder with carries and 32-bit output words.
 
 Many blocks are coded side by side, one numpy lane each; a lane's output does not depend on the others.
+Only exact sums of counts and element-wise IEEE operations on 32-bit floats precede the integer
+frequencies, so every machine computes the same ones.
 """
 
 from __future__ import annotations
@@ -18,64 +24,122 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"PLB1"
-BLOCK = 1024
+MAGIC = b"PLB2"
+BLOCK = 16384
 BITS = 16
-#: Contexts of the order-2 and order-1 tables of a block.
-SLOTS = 1024
+#: Contexts of the order-1 and order-2 tables of a block.
+ONE, TWO = 4096, 16384
 _HEAD = struct.Struct("<4sIII")  # magic, ids, coded bytes, crc32 of the ids
 _U = np.uint64
 _FULL, _WORD, _32 = _U(0xFFFFFFFFFFFFFFFF), _U(1 << 32), _U(32)
-_HITS, _KINDS, _DIGITS = 3, 19, 16
-
-
-#: Row length of the frequency tables: the symbols' starts, then the end, repeated.
-_ROW = 20
-
-
-def _even(n: int) -> np.ndarray:
-    return np.minimum(np.arange(_ROW) * (1 << BITS) // n, 1 << BITS).astype(np.int32)
-
-
-def _targets(n: int) -> np.ndarray:
-    """Row s: cumulative starts that n symbols drift to when s occurs (and the end); every symbol keeps some room."""
-    k, room = np.minimum(np.arange(_ROW), n), 24
-    t = np.where(k[None] > np.arange(n)[:, None], (1 << BITS) - room * (n - k[None]), room * k[None])
-    return t.astype(np.int32)
+#: Order-0 rows: one for the first digit, then one for every value of the digits before.
+_NODES = 1 + 16 + 256 + 4096
+_FIRST = (0, 1, 17, 273)
+#: Counts of a row are halved when their sum gets here.
+_MOST = 8000
+#: What every digit counts for before it is seen, by the place of the digit.
+_UNSEEN = tuple(np.float32(x) for x in (1 / 16, 1 / 16, 1 / 32, 1 / 32))
+_RATE, _LEAST = np.float32(0.02), np.float32(1e-9)
+_SCALE = np.float32((1 << BITS) - 16)
+#: Counts times this are running sums.
+_SUMS = np.triu(np.ones((16, 16), np.float32))
+_ALL = np.arange(16)[:, None]
 
 
 class _Lanes:
-    """Models of the lanes, all at the same step. Table entries are an id and, in the two low bits, how often it held."""
+    """Models of the lanes, all at the same id. Table entries are an id and, in the two low bits, how often it held."""
 
     def __init__(self, n: int):
-        self.kinds = np.tile(_even(_KINDS), (n * 16, 1))
-        self.digits = np.tile(_even(_DIGITS), (n * _DIGITS, 1))
-        self.kind_targets, self.digit_targets = _targets(_KINDS), _targets(_DIGITS)
-        self.two, self.one = np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32)
-        self.major, self.count = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self.a, self.b = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self.base, self.context = np.arange(n) * SLOTS, np.arange(n) * 16
-
-    def predict(self, m: int) -> np.ndarray:
-        """Predictions of the first m lanes; returns the rows of their symbol frequencies."""
-        b = self.b[:m] * np.int32(40503)
-        self.i2 = self.base[:m] + ((((self.a[:m] * np.int32(30011)) ^ b) >> 6) & (SLOTS - 1))
-        self.i1 = self.base[:m] + ((b >> 5) & (SLOTS - 1))
-        self.e2, self.e1 = self.two[self.i2], self.one[self.i1]
-        self.p2, self.p1, self.p0 = self.e2 >> 2, self.e1 >> 2, self.major[:m]
-        return self.context[:m] + ((self.e2 & 3) << 2 | (self.e1 & 3))
-
-    def kind_of(self, x: np.ndarray) -> np.ndarray:
-        return np.where(x == self.p2, 0, np.where(x == self.p1, 1, np.where(x == self.p0, 2, _HITS + (x >> 12))))
-
-    def learn(self, m: int, x: np.ndarray) -> None:
-        for table, at, e, p in ((self.two, self.i2, self.e2, self.p2), (self.one, self.i1, self.e1, self.p1)):
-            # a right prediction gains, one that held before loses its standing, any other is replaced
-            table[at] = np.where(p == x, np.minimum(e + 1, e | 3), np.where((e & 3) > 1, e & ~3, x << 2))
-        count, same = self.count[:m], self.p0 == x
-        fresh = ~same & (count == 0)
-        self.count[:m] = np.where(same | fresh, count + 1, count - 1)
-        self.major[:m] = np.where(fresh, x, self.p0)
+        self.counts, self.total = np.zeros((n * _NODES, 16), np.uint16), np.zeros(n * _NODES, np.uint16)
+        self.weight = np.full((3, n * 16), 0.05, np.float32)
+        self.one, self.older, self.two = np.zeros(n * ONE, np.int32), np.zeros(n * ONE, np.int32), np.zeros(n * TWO, np.int32)
+        self.a, self.b = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+        lane = np.arange(n)
+        self.lane, self.node0, self.one0, self.two0, self.sixteen = lane, lane * _NODES, lane * ONE, lane * TWO, lane * 16
+
+    def begin(self, m: int) -> None:
+        """Predictions of the first m lanes and their weights for the next id."""
+        b = self.b[:m] * np.uint32(0x9E3779B1)
+        self.i1 = self.one0[:m] + (b >> np.uint32(20))
+        self.i2 = self.two0[:m] + (((self.a[:m] * np.uint32(0x85EBCA6B)) ^ b) * np.uint32(0xC2B2AE35) >> np.uint32(18))
+        self.e1, self.e2 = self.one.take(self.i1), self.two.take(self.i2)
+        self.guess = np.stack((self.e2 >> 2, self.e1 >> 2, self.older.take(self.i1)))
+        self.which = self.sixteen[:m] + ((self.e2 & 3) << 2 | (self.e1 & 3))
+        self.start = self.now = self.weight.take(self.which, 1)
+        self.rest = np.float32(1) - self.now[0] - self.now[1] - self.now[2]
+        self.prefix = np.zeros(m, np.int64)
+        self.row, self.place = self.sixteen[:m], 0
+
+    def expect(self) -> None:
+        """Prepare the next digit: running sums of its row's counts, and the digits of the predicted ids."""
+        self.at = self.node0[: len(self.row)] + (self.prefix + _FIRST[self.place])
+        n = self.total.take(self.at)
+        self.unseen = _UNSEEN[self.place]
+        self.share = self.rest / (n + self.unseen * np.float32(16))
+        self.sums = self.counts.take(self.at, 0).astype(np.float32) @ _SUMS
+        self.digits = (self.guess >> (12 - 4 * self.place)) & 15
+        self.count = n
+
+    def _upto(self, sums: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Frequencies (of 1 << BITS) of all digits up to d, given the counts of those."""
+        p = (d + 1).astype(np.float32) * self.unseen
+        p = p + sums
+        p *= self.share
+        for k, u in zip(self.digits, self.now):
+            p += u * (k <= d)
+        p *= _SCALE
+        return p.astype(np.int32) + (d + 1)
+
+    def bounds(self, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and frequency of a digit."""
+        d = np.stack((digit - 1, digit))
+        edge = self._upto(self.sums.reshape(-1).take(self.row + np.maximum(d, 0)) * (d >= 0), d)
+        edge[1][digit == 15] = 1 << BITS
+        edge = edge.astype(np.uint64)
+        return edge[0], edge[1] - edge[0]
+
+    def search(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The digit whose frequencies hold q, and its start and frequency."""
+        edges = self._upto(np.ascontiguousarray(self.sums.T), _ALL)
+        edges[15] = 1 << BITS
+        digit = (edges <= q).sum(0)
+        flat, m = edges.reshape(-1), len(q)
+        at = digit * m + self.lane[:m]
+        start = flat.take(np.maximum(at - m, 0)) * (digit > 0)
+        return digit, start.astype(np.uint64), (flat.take(at) - start).astype(np.uint64)
+
+    def learn(self, digit: np.ndarray) -> None:
+        """Take in the digit that came."""
+        flat, at = self.counts.reshape(-1), self.at
+        cell = at * 16 + digit
+        had = flat.take(cell)
+        p0 = (had + self.unseen) * self.share
+        hit = self.now * (self.digits == digit)
+        p = np.maximum(p0 + hit[0] + hit[1] + hit[2], _LEAST)
+        self.now = hit / p
+        self.rest = p0 / p
+        flat[cell] = had + np.uint16(1)
+        n = self.count + np.uint16(1)
+        self.total[at] = n
+        if int(n.max(initial=0)) >= _MOST:
+            rows = at[n >= _MOST]
+            half = self.counts[rows] >> 1
+            self.counts[rows] = half
+            self.total[rows] = half.sum(1)
+        self.prefix = self.prefix << 4 | digit
+        self.place += 1
+
+    def end(self) -> None:
+        """Take in the id that the digits make; the masses are now the shares that the predictions had in it."""
+        m, x = len(self.row), self.prefix.astype(np.int32)
+        self.weight[:, self.which] = self.start + (self.now - self.start) * _RATE
+        g2, g1, g0 = self.guess
+        e1, e2 = self.e1, self.e2
+        # a right prediction gains, one that held before loses its standing, any other is replaced
+        self.two[self.i2] = np.where(g2 == x, np.minimum(e2 + 1, e2 | 3), np.where((e2 & 3) > 1, e2 & ~3, x << 2))
+        right, stays = g1 == x, (e1 & 3) > 1
+        self.older[self.i1] = np.where(right, g0, np.where(stays, x, g1))
+        self.one[self.i1] = np.where(right, np.minimum(e1 + 1, e1 | 3), np.where(stays, e1 & ~3, x << 2))
         self.a[:m] = self.b[:m]
         self.b[:m] = x
 
@@ -93,50 +157,41 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         if len(blocks[i]) and int(blocks[i].max()) >= 1 << 16:
             raise ValueError("ids must be below 65536")
         ids[: sizes[r], r] = blocks[i]
-    words, filled = np.zeros((n, int(sizes[0]) * 2 + 3), np.uint32), np.zeros(n, np.int64)
+    words, filled = np.zeros((n, int(sizes[0]) // 2 + 4096), np.uint32), np.zeros(n, np.int64)
     low, span = np.zeros(n, np.uint64), np.full(n, _FULL)
     lanes, lane = _Lanes(n), np.arange(n)
 
-    def put(at, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        """Narrow the lanes at (a slice or indexes) to start, freq of 1 << bits."""
-        r = span[at] >> _U(bits)
-        step = r * start.astype(np.uint64)
-        now, size = low[at] + step, r * freq.astype(np.uint64)
-        which = lane[at]
-        for i in which[now < step]:  # a carry; it rarely runs on
+    def put(m: int, start: np.ndarray, freq: np.ndarray) -> None:
+        """Narrow the first m lanes to start, freq of 1 << BITS."""
+        r = span[:m] >> _U(BITS)
+        step = r * start
+        now, size = low[:m] + step, r * freq
+        for i in np.flatnonzero(now < step):  # a carry; it rarely runs on
             k = filled[i] - 1
             while words[i, k] == 0xFFFFFFFF:
                 words[i, k] = 0
                 k -= 1
             words[i, k] += np.uint32(1)
-        full = np.flatnonzero(size < _WORD)
-        if len(full):
-            which = which[full]
-            words[which, filled[which]] = now[full] >> _32
+        which = np.flatnonzero(size < _WORD)
+        if len(which):
+            words[which, filled[which]] = now[which] >> _32
             filled[which] += 1
-            now[full] <<= _32
-            size[full] <<= _32
-        low[at], span[at] = now, size
+            now[which] <<= _32
+            size[which] <<= _32
+        low[:m], span[:m] = now, size
 
     for t in range(ids.shape[0]):
+        if t % 1024 == 0 and int(filled.max()) + 4096 > words.shape[1]:
+            words = np.pad(words, ((0, 0), (0, words.shape[1])))
         m = int(np.searchsorted(-sizes, -t, "left"))  # lanes with more than t ids
-        x = ids[t, :m]
-        rows = lanes.predict(m)
-        kind, k = lanes.kind_of(x), lane[:m]
-        cum = lanes.kinds[rows]
-        start = cum[k, kind]
-        put(slice(0, m), start, cum[k, kind + 1] - start, BITS)
-        lanes.kinds[rows] = cum + ((lanes.kind_targets[kind] - cum) >> 5)
-        odd = np.flatnonzero(kind >= _HITS)
-        if len(odd):
-            v = x[odd]
-            rows, digit, k = odd * _DIGITS + (v >> 12), (v >> 8) & 15, lane[: len(odd)]
-            cum = lanes.digits[rows]
-            start = cum[k, digit]
-            freq = cum[k, digit + 1] - start
-            put(odd, (start << 8) + (v & 255) * freq, freq, BITS + 8)
-            lanes.digits[rows] = cum + ((lanes.digit_targets[digit] - cum) >> 5)
-        lanes.learn(m, x)
+        x = ids[t, :m].astype(np.int64)
+        lanes.begin(m)
+        for shift in (12, 8, 4, 0):
+            digit = (x >> shift) & 15
+            lanes.expect()
+            put(m, *lanes.bounds(digit))
+            lanes.learn(digit)
+        lanes.end()
     for half in (32, 0):
         words[lane, filled] = (low >> _U(half)).astype(np.uint32)
         filled += 1
@@ -169,47 +224,23 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
     span = np.full(n, _FULL)
     lanes, lane = _Lanes(n), np.arange(n)
     ids = np.zeros((int(sizes[0]), n), np.int32)
-
-    def narrow(at, v: np.ndarray, r: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        v, size = v - r * start.astype(np.uint64), r * freq.astype(np.uint64)
-        more = np.flatnonzero(size < _WORD)
-        if len(more):
-            which = lane[at][more]
-            v[more] = v[more] << _32 | words[which, np.minimum(taken[which], longest - 1)]
-            size[more] <<= _32
-            taken[which] += 1
-        value[at], span[at] = v, size
-
-    def symbol_of(cum: np.ndarray, q: np.ndarray) -> np.ndarray:
-        below = (cum <= q[:, None]).view(np.uint32)  # four answers of one bit each at a time
-        return np.bitwise_count(below).sum(1, dtype=np.int64) - 1
-
     for t in range(ids.shape[0]):
         m = int(np.searchsorted(-sizes, -t, "left"))
-        rows = lanes.predict(m)
-        cum, k, v = lanes.kinds[rows], lane[:m], value[:m]
-        r = span[:m] >> _U(BITS)
-        kind = symbol_of(cum, np.minimum(v // r, _U((1 << BITS) - 1)).astype(np.int32))
-        start = cum[k, kind]
-        narrow(slice(0, m), v, r, start, cum[k, kind + 1] - start)
-        lanes.kinds[rows] = cum + ((lanes.kind_targets[kind] - cum) >> 5)
-        x = np.where(kind == 0, lanes.p2, np.where(kind == 1, lanes.p1, lanes.p0))
-        odd = np.flatnonzero(kind >= _HITS)
-        if len(odd):
-            top, k, v = kind[odd] - _HITS, lane[: len(odd)], value[odd]
-            rows = odd * _DIGITS + top
-            cum = lanes.digits[rows]
-            r = span[odd] >> _U(BITS + 8)
-            q = np.minimum(v // r, _U((1 << (BITS + 8)) - 1)).astype(np.int32)
-            digit = symbol_of(cum, q >> 8)
-            start = cum[k, digit]
-            freq = cum[k, digit + 1] - start
-            low = np.clip((q - (start << 8)) // freq, 0, 255)
-            narrow(odd, v, r, (start << 8) + low * freq, freq)
-            lanes.digits[rows] = cum + ((lanes.digit_targets[digit] - cum) >> 5)
-            x[odd] = top << 12 | digit << 8 | low
-        ids[t, :m] = x
-        lanes.learn(m, x)
+        lanes.begin(m)
+        for _ in range(4):
+            lanes.expect()
+            r = span[:m] >> _U(BITS)
+            digit, start, freq = lanes.search(np.minimum(value[:m] // r, _U((1 << BITS) - 1)).astype(np.int32))
+            lanes.learn(digit)
+            v, size = value[:m] - r * start, r * freq
+            more = np.flatnonzero(size < _WORD)
+            if len(more):
+                v[more] = v[more] << _32 | words[more, np.minimum(taken[more], longest - 1)]
+                size[more] <<= _32
+                taken[more] += 1
+            value[:m], span[:m] = v, size
+        ids[t, :m] = lanes.prefix
+        lanes.end()
     out: list[np.ndarray] = [np.empty(0, np.int32)] * n
     for r, i in enumerate(order):
         out[i] = np.ascontiguousarray(ids[: sizes[r], r])

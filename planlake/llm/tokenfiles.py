@@ -2,7 +2,8 @@
 
 A file set is a table of segments in the order of doc_id. A segment holds whole documents, about
 SEGMENT ids: their doc_ids and lengths, and their ids in blocks of coder.BLOCK that are coded
-independently and checksummed. Spark's commit protocol writes it, so a lost executor's half-written
+independently and checksummed. (What a task holds of little data is cut into shorter blocks, so that
+LANES of them can be coded side by side.) Spark's commit protocol writes it, so a lost executor's half-written
 files never count, and any split of it can be read alone.
 """
 
@@ -26,17 +27,41 @@ from tokenizers import Tokenizer
 
 from . import coder
 from ._io import written
-from .repeats import span_hashes
 
 SEGMENT = 1 << 20
-#: Segments whose blocks are coded side by side.
-TOGETHER = 3
+#: Segments whose blocks are coded side by side, and blocks that it takes to do so well.
+TOGETHER, LANES = 8, 256
+#: Bytes of text that one task encodes.
+PART_BYTES = 24 << 20
 END = 2
 _CACHE = 100_000
 #: Texts that split_pieces can split: characters below U+0250 but the apostrophe.
 _PLAIN = re.compile("[\x00-&(-ɏ]*")
 
 
+#: Where a long text can be cut: a blank between letters always starts a piece.
+_CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Characters that a packed piece can have; masks of the bits of so many of them in a word.
+_PACKED, _BITS = 12, np.array([(1 << 10 * i) - 1 for i in range(7)], np.uint64)
+#: Longer pieces than this are not kept.
+_KEPT = 64
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def packed_pieces(codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two words that hold the characters (below U+0250) of pieces of up to _PACKED of them, ten bits each."""
+    c = np.concatenate([codes.astype(np.uint64) + np.uint64(1), np.zeros(_PACKED, np.uint64)])
+    six = c.copy()
+    for i in range(1, 6):
+        six[:-i] |= c[i:] << np.uint64(10 * i)
+    return six[start] & _BITS[np.minimum(size, 6)], six[start + 6] & _BITS[np.clip(size - 6, 0, 6)]
+
+
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 _CLASS = np.array([_LETTER if regex.match(r"\p{L}", chr(c)) else _NUMBER if regex.match(r"\p{N}", chr(c)) else _SPACE if regex.match(r"\s", chr(c)) else _OTHER for c in range(0x250)], np.uint8)
 
@@ -68,8 +93,10 @@ class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     The vocabulary encodes each piece of the pre-tokenizer's split by itself, so distinct pieces are
-    encoded once and kept, told apart by a 64-bit hash. Texts with characters beyond U+024F, with an
-    apostrophe (which has rules of its own) or with a special token's string go through the library whole.
+    encoded once and kept: short ones packed into two words, which are found by a hash and compared
+    whole, longer ones as strings, very long ones not at all. Texts with characters beyond U+024F, with
+    an apostrophe (which has rules of its own) or with a special token's string go through the library
+    whole, as do texts with a piece whose hash another piece has.
     """
 
     def __init__(self, path: str):
@@ -78,18 +105,38 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.entry = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.keys = self.first = self.second = np.empty(0, np.uint64)
+        self.entry, self.long = np.empty(0, np.int64), {}
         self.pool, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _add(self, pieces: list[str]) -> np.ndarray:
+        """Entries of new pieces."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         entry = np.arange(len(self.ends) - 1, len(self.ends) - 1 + len(ids))
         self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
-        keys, entry = np.concatenate([self.keys, keys]), np.concatenate([self.entry, entry])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.entry = keys[order], entry[order]
+        return entry
+
+    def _short(self, joined: str, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of packed pieces, and which of them are other pieces than their hash's."""
+        first, second = packed_pieces(codes, start, size)
+        key, at, back = np.unique(_mixed(first + _mixed(second + np.uint64(0x9E3779B97F4A7C15))), return_index=True, return_inverse=True)
+        found = np.searchsorted(self.keys, key)
+        known = found < len(self.keys)
+        known[known] = self.keys[found[known]] == key[known]
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            at = at[fresh]
+            entry = self._add([joined[a : a + n] for a, n in zip(start[at].tolist(), size[at].tolist())])
+            keys = np.concatenate([self.keys, key[fresh]])
+            order = np.argsort(keys, kind="stable")
+            self.keys = keys[order]
+            self.first, self.second = np.concatenate([self.first, first[at]])[order], np.concatenate([self.second, second[at]])[order]
+            self.entry = np.concatenate([self.entry, entry])[order]
+            found = np.searchsorted(self.keys, key)
+        found = found[back]
+        return self.entry[found], (self.first[found] != first) | (self.second[found] != second)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         """Of texts that split_pieces can split."""
@@ -97,39 +144,47 @@ class Encoder:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         if not joined:
             return [np.empty(0, np.int32)] * len(texts)
-        if len(self.keys) > _CACHE:
+        if len(self.ends) > _CACHE:
             self.clear()
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         start, text = split_pieces(codes, sizes)
-        end = np.append(start[1:], len(codes))
-        key, at, back = np.unique(span_hashes(codes, start, end), return_index=True, return_inverse=True)
-        found = np.searchsorted(self.keys, key)
-        known = found < len(self.keys)
-        known[known] = self.keys[found[known]] == key[known]
-        fresh = np.flatnonzero(~known)
-        if len(fresh):
-            self._learn(key[fresh], [joined[a:z] for a, z in zip(start[at[fresh]].tolist(), end[at[fresh]].tolist())])
-            found = np.searchsorted(self.keys, key)
-        entry = self.entry[found][back]
+        size = np.diff(np.append(start, len(codes)))
+        entry, odd = np.empty(len(start), np.int64), np.zeros(len(start), bool)
+        short = size <= _PACKED
+        entry[short], odd[short] = self._short(joined, codes, start[short], size[short])
+        long = np.flatnonzero(~short)
+        pieces = [joined[a : a + n] for a, n in zip(start[long].tolist(), size[long].tolist())]
+        new = [p for p in dict.fromkeys(pieces) if p not in self.long]
+        once = dict(zip(new, self._add(new).tolist())) if new else {}
+        entry[long] = [self.long[p] if p in self.long else once[p] for p in pieces]
+        self.long.update((p, e) for p, e in once.items() if len(p) <= _KEPT)
         begin, size = self.ends[entry], self.ends[entry + 1] - self.ends[entry]
         done = np.cumsum(size)
         flat = self.pool[np.repeat(begin - done + size, size) + np.arange(done[-1])]
         pieces = np.bincount(text, minlength=len(texts))
         cut = np.concatenate([[0], done])[np.cumsum(pieces)]
-        return np.split(flat, cut[:-1])
+        out = np.split(flat, cut[:-1])
+        for i in np.unique(text[odd]).tolist():
+            out[i] = self._whole(texts[i])
+        return out
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
     def encode(self, texts: list[str], chunk: int = 1 << 20) -> list[np.ndarray]:
-        """Ids of every text; about chunk characters are split at a time."""
+        """Ids of every text; about chunk characters are split at a time, also of a longer text."""
         plain = [bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
         out: list[np.ndarray] = [np.empty(0, np.int32)] * len(texts)
         part: list[int] = []
         held = 0
         for i, t in enumerate(texts):
-            if plain[i]:
+            if not plain[i]:
+                out[i] = self._whole(t)
+            elif len(t) > chunk:
+                out[i] = np.concatenate([self._ids([piece])[0] for piece in _stretches(t, chunk)])
+            else:
                 part.append(i)
                 held += len(t)
-            else:
-                out[i] = np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.int32)
             if part and (held >= chunk or i == len(texts) - 1):
                 for k, ids in zip(part, self._ids([texts[k] for k in part])):
                     out[k] = ids
@@ -137,6 +192,16 @@ class Encoder:
         return out
 
 
+def _stretches(text: str, chunk: int) -> Iterator[str]:
+    """A plain text in stretches of about chunk characters that start with a piece."""
+    at = 0
+    while at < len(text):
+        cut = _CUT.search(text, at + chunk)
+        to = cut.start() if cut else len(text)
+        yield text[at:to]
+        at = to
+
+
 @cache
 def encoder(path: str) -> Encoder:
     """The worker's encoder: what it knows lasts from task to task."""
@@ -170,14 +235,15 @@ def write_ids(docs: DataFrame, tokenizer: str, block: int = coder.BLOCK, segment
 
         def flush(ready):
             nonlocal n
-            cut = []
+            cut, total = [], sum(len(d) for _, x in ready for d in x)
+            size = min(block, max(1024, -(-total // LANES)))
             for _, x in ready:
                 flat = np.concatenate(x)
-                cut.append([flat[i : i + block] for i in range(0, len(flat), block)])
+                cut.append([flat[i : i + size] for i in range(0, len(flat), size)])
             coded = iter(coder.encode_blocks([b for c in cut for b in c]))
             rows = []
             for (names, x), c in zip(ready, cut):
-                rows.append({"part": part, "segment": n, "doc_ids": names, "doc_sizes": [len(d) for d in x], "n_ids": sum(map(len, x)), "block_ids": block, "blocks": [next(coded) for _ in c]})
+                rows.append({"part": part, "segment": n, "doc_ids": names, "doc_sizes": [len(d) for d in x], "n_ids": sum(map(len, x)), "block_ids": size, "blocks": [next(coded) for _ in c]})
                 n += 1
             return rows
 
@@ -202,7 +268,8 @@ def write_ids(docs: DataFrame, tokenizer: str, block: int = coder.BLOCK, segment
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     if kind == "int":
         rows, kind = rows.withColumn("doc_id", F.col("doc_id").cast("bigint")), "bigint"
-    ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ranged = rows.repartitionByRange(max(1, -(-total // PART_BYTES)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return written(ranged.mapInArrow(run, _schema(kind)), "token-ids")
 
 
@@ -250,4 +317,4 @@ def read_ids(files: DataFrame) -> DataFrame:
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Write docs' ids and return read_ids() of the files. An empty table gives no rows."""
-    return read_ids(write_ids(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json")).df)
+    return read_ids(write_ids(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json")).leave())

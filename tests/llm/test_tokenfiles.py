@@ -41,6 +41,41 @@ def test_pieces_give_the_library_s_ids():
             assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_pieces_that_a_polynomial_hash_confuses():
+    even = "a"
+    for _ in range(11):
+        even += even.translate(str.maketrans("ab", "ba"))
+    odd = even.translate(str.maketrans("ab", "ba"))
+    encoder, t = tokenfiles.Encoder(PATH), Tokenizer.from_file(PATH)
+    for text in (even, odd, f"{even[:12]} {odd[:12]} {even[:13]} {odd[:13]}", odd + " " + even):
+        assert encoder.encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_whose_hash_another_has(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "_mixed", lambda x: x & np.uint64(7))
+    encoder, t = tokenfiles.Encoder(PATH), Tokenizer.from_file(PATH)
+    for text in ("one two three four five six seven", "eight nine ten two one", "one"):
+        assert encoder.encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_long_texts_go_in_stretches():
+    encoder, t = tokenfiles.Encoder(PATH), Tokenizer.from_file(PATH)
+    for text in ("some words  and\n\nlines 12 " * 900, "x" * 9000, "no, . letters 1 2 " * 400 + " "):
+        assert encoder.encode(["a", text, "b c"], chunk=1000)[1].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_coded_ids_beat_order_0_and_zlib(sf, spark):
+    t = Tokenizer.from_file(PATH)
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    ids = np.concatenate([np.array([*e.ids, 2]) for e in t.encode_batch(texts, add_special_tokens=False)])
+    blocks = [ids[i : i + coder.BLOCK] for i in range(0, len(ids) - coder.BLOCK + 1, coder.BLOCK)]
+    n = sum(map(len, blocks))
+    p = np.bincount(ids) / len(ids)
+    entropy = -(p[p > 0] * np.log2(p[p > 0])).sum()
+    coded = 8 * sum(map(len, coder.encode_blocks(blocks))) / n
+    assert coded < entropy and coded < 8 * sum(len(zlib.compress(b.astype("<u2").tobytes(), 9)) for b in blocks) / n
+
+
 def test_every_plain_character_splits_as_in_the_library():
     encoder, t = tokenfiles.Encoder(PATH), Tokenizer.from_file(PATH)
     for c in range(0x250):
