@@ -2,15 +2,20 @@
 
 Words are maximal runs of non-space bytes, unchanged. A stretch of SPAN words holds a whole aligned
 block of SPAN // 2 words of whichever document it is in. So the aligned blocks of all documents are
-indexed, every rolling window of that many words probes them, and whatever two documents share is
-flagged around its anchors (``anchors``). Around flagged anchors, windows of SPAN words are compared
-exactly by their first document (``later_windows``); windows that another document with a smaller id
-holds too join to maximal repeats (``repeats``).
+indexed, every rolling window of that many words probes them, and a window that meets a block of another
+document is an anchor (``anchors``). Each anchor is extended to both sides: the windows of SPAN words
+that hold it are compared with those of all other documents around their anchors, whatever the number of
+documents that share them, and consecutive ones that a document with a smaller id holds join to maximal
+repeats (``repeats``).
+
+Words are told apart by two independent hashes of 64 bits, windows by two hashes of 64 bits, each made
+of one of the word hashes by mixing halves (not a polynomial, so no pattern of words cancels out): 128
+bits for a comparison. Words of up to eight bytes of one length never share either hash.
 
 Scale: hashes travel in packed columns, some five bytes for each word, dealt by hash ranges whose number
 follows the corpus (BUCKET entries each). A map task folds what it sees of one hash in several
 documents to one entry, so a passage that a third of all documents share costs one entry a task, and no
-pairs of documents are ever made. Windows are told apart by 96 bits and the range they fall in.
+pairs of documents are ever made.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +35,15 @@ from ._io import written
 SPAN = 50
 #: Entries of a hash range that one task holds, words at the most that a map task folds together.
 BUCKET, UNIT = 2_000_000, 400_000
-#: Hash ranges whose replies one task gathers by document.
-REPLIES = 8
+#: Hash ranges whose replies one task gathers by document, hashes of repeated windows that a map task remembers.
+REPLIES, REMEMBERED = 2, 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _U = np.uint64
-_R, _Q = _U(0x9E3779B97F4A7C15 | 1), _U(0xD1B54A32D192ED03)
+_SEEDS = (_U(0x9E3779B97F4A7C15), _U(0xD1B54A32D192ED03))
+#: Bytes of a word that are hashed by eights side by side; longer ones go one by one.
+_SIDE = 64
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -43,37 +52,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as far as they were needed."""
-
-    def __init__(self, base: np.uint64):
-        self.base = int(base)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            inverse = pow(self.base, -1, 1 << 64)
-            while len(self.up) < n:
-                k = len(self.up)
-                self.up = np.concatenate([self.up, self.up * _U(pow(self.base, k, 1 << 64))])
-                self.down = np.concatenate([self.down, self.down * _U(pow(inverse, k, 1 << 64))])
-        return self.up[:n], self.down[:n]
-
-
-_BYTES, _WORDS = _Powers(_R), _Powers(_Q)
-
-
-def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every values[start:end]."""
-    up, down = _BYTES.get(len(values) + 1)
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((values.astype(np.uint64) + _U(1)) * up[: len(values)])])
-    return _mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64) * _U(0xA24BAED4963EE407))
-
-
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of the texts data[bounds[i]:bounds[i + 1]], one after the other, and the words of each text."""
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.uint64 = _SEEDS[0]) -> np.ndarray:
+    """A 64-bit hash of every data[start:end] (bytes); spans of one length up to eight bytes never share it."""
+    eight = np.zeros(len(data) + _SIDE, np.uint64)
+    eight[: len(data)] = data
+    for i in (1, 2, 4):
+        eight[:-i] |= eight[i:] << _U(8 * i)
+    size = end - start
+    out = _mix(seed + size.astype(np.uint64) * _U(0xA24BAED4963EE407))
+    left = np.arange(len(size))
+    for at in range(0, _SIDE, 8):
+        left = left[size[left] > at]
+        if not len(left):
+            break
+        out[left] = _mix((out[left] ^ (eight[start[left] + at] & _KEEP[np.minimum(size[left] - at, 8)])) * seed + _U(at))
+    for i in np.flatnonzero(size > _SIDE).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), int(seed))
+    return out
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, seeds=_SEEDS) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each seed the hash of every word of the texts data[bounds[i]:bounds[i + 1]], one after the other, and the words of each text."""
     if not len(data):
-        return np.empty(0, np.uint64), np.zeros(len(bounds) - 1, np.int64)
+        return [np.empty(0, np.uint64) for _ in seeds], np.zeros(len(bounds) - 1, np.int64)
     word = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds - bounds[0]] = True
@@ -81,7 +82,16 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     after = np.concatenate([word[1:], [False]])
     start = np.flatnonzero(word & (~before | edge[:-1]))
     end = np.flatnonzero(word & (~after | edge[1:])) + 1
-    return span_hashes(data, start, end), np.diff(np.searchsorted(start, bounds - bounds[0]))
+    return [span_hashes(data, start, end, s) for s in seeds], np.diff(np.searchsorted(start, bounds - bounds[0]))
+
+
+def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every run of k values of h: runs of 1, 2, 4 .. are mixed of their halves, k of two that overlap."""
+    n = 1
+    while 2 * n <= k:
+        h = _mix(h[:-n] * _U(0x9FB21C651E98DF25) + (h[n:] ^ (h[n:] >> _U(29))) * _U(0xC2B2AE3D27D4EB4F) + _U(n))
+        n *= 2
+    return h if n == k else _mix(h[: len(h) - (k - n)] * _U(0x165667B19E3779F9) + (h[k - n :] ^ (h[k - n :] >> _U(29))) * _U(0x27D4EB2F165667C5))
 
 
 def rolling(h: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,11 +99,31 @@ def rolling(h: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     first = np.cumsum(counts) - counts
     n = np.maximum(counts - k + 1, 0)
     doc = np.repeat(np.arange(len(counts)), n)
+    if not len(doc):
+        return np.empty(0, np.uint64), doc, doc
     place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    at = first[doc] + place
-    up, down = _WORDS.get(len(h) + 1)
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])])
-    return _mix((run[at + k] - run[at]) * down[at]), doc, place
+    return run_hashes(h, k)[first[doc] + place], doc, place
+
+
+class _Remembered:
+    """Hashes (two for each) that a map task met in several documents, with a number each; the oldest half goes when it is full."""
+
+    def __init__(self):
+        self.keys = self.more = np.empty(0, np.uint64)
+        self.values = np.empty(0, np.int64)
+
+    def find(self, g: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each is remembered, and its number."""
+        if not len(self.keys):
+            return np.zeros(len(g), bool), np.zeros(len(g), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
+        return (self.keys[at] == g) & (self.more[at] == more), self.values[at]
+
+    def add(self, g: np.ndarray, more: np.ndarray, values: np.ndarray) -> None:
+        keep = slice(0, REMEMBERED // 2 if len(g) + len(self.keys) > REMEMBERED else None)
+        keys, more, values = (np.concatenate(x)[keep] for x in ((g, self.keys), (more, self.more), (values, self.values)))
+        self.keys, at = np.unique(keys, return_index=True)
+        self.more, self.values = more[at], values[at]
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -182,7 +212,7 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _units(batches: Iterator[pa.RecordBatch], extra: int = 0):
-    """Texts of the batches in units of about UNIT words: ids, variants, extra columns, word hashes, word counts."""
+    """Texts of the batches in units of about UNIT words: ids, variants, extra columns, word hashes (one, with an extra column two), word counts."""
     for b in batches:
         text = b.column(2).cast(pa.large_binary())
         offs = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
@@ -192,7 +222,7 @@ def _units(batches: Iterator[pa.RecordBatch], extra: int = 0):
         at = 0
         while at < len(ids):
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + 6 * UNIT, "right")) - 1)
-            h, n = word_hashes(data[offs[at] : offs[to]], offs[at : to + 1])
+            h, n = word_hashes(data[offs[at] : offs[to]], offs[at : to + 1], _SEEDS[: 1 + extra])
             yield ids[at:to], variants[at:to], [b.column(3 + i).slice(at, to - at) for i in range(extra)], h, n
             at = to
 
@@ -201,10 +231,19 @@ def _probe(parts: int, block: int):
     """Packed probes of all rolling windows; what one unit holds in several documents goes as one entry and its places as known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, variants, _, h, n in _units(batches):
+        known = _Remembered()
+        for ids, variants, _, (h,), n in _units(batches):
             g, doc, place = rolling(h, n, block)
             if not len(g):
                 continue
+            again, _ = known.find(g, g)
+            home = _home(ids, parts)
+            none = np.empty(0, np.uint32)
+            rows = _pack(home[doc[again]], _KNOWN, ids, variants, doc[again], place[again], none, none)
+            g, doc, place = g[~again], doc[~again], place[~again]
+            if not len(g):
+                yield pa.RecordBatch.from_pylist(rows, _PACKED)
+                continue
             order, group = _groups(g)
             owner = ids[doc[order]]
             size = group[-1] + 1
@@ -214,15 +253,14 @@ def _probe(parts: int, block: int):
             shared = np.zeros(len(g), bool)
             shared[order] = (low < high)[group]
             part, key = ((g >> _U(32)) % _U(parts)).astype(np.int64), g.astype(np.uint32)
-            none = np.empty(0, np.uint32)
             one = ~shared
-            rows = _pack(part[one], _ENTRY, ids, variants, doc[one], place[one], key[one], none)
+            rows += _pack(part[one], _ENTRY, ids, variants, doc[one], place[one], key[one], none)
             if shared.any():
                 first = order[np.flatnonzero(np.diff(group, prepend=-1))]
                 first = first[shared[first]]
                 rows += _pack(part[first], _SHARED, ids, variants, doc[first], place[first], key[first], none)
-                home = _home(ids, parts)
                 rows += _pack(home[doc[shared]], _KNOWN, ids, variants, doc[shared], place[shared], none, none)
+                known.add(g[first], g[first], np.zeros(len(first), np.int64))
             yield pa.RecordBatch.from_pylist(rows, _PACKED)
 
     return run
@@ -290,7 +328,8 @@ def _windows(parts: int, span: int, block: int):
     """Packed windows of span words around the flagged anchors of each text; a window's first document in the unit speaks for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, variants, (found,), h, n in _units(batches, 1):
+        known = _Remembered()
+        for ids, variants, (found,), (h, h2), n in _units(batches, 1):
             near = np.zeros(int(np.maximum(n - span + 1, 0).sum()) + 1, np.int64)
             first = np.cumsum(np.maximum(n - span + 1, 0)) - np.maximum(n - span + 1, 0)
             for i, p in enumerate(_places(found)):
@@ -300,7 +339,7 @@ def _windows(parts: int, span: int, block: int):
                     np.add.at(near, first[i] + a, 1)
                     np.add.at(near, first[i] + b, -1)
             g, doc, place = rolling(h, n, span)
-            g2 = _mix(rolling(h * _U(0x9FB21C651E98DF25) + _U(1), n, span)[0])
+            g2 = rolling(h2, n, span)[0]
             ok = np.cumsum(near)[:-1] > 0
             g, g2, doc, place = g[ok], g2[ok], doc[ok], place[ok]
             if not len(g):
@@ -309,11 +348,19 @@ def _windows(parts: int, span: int, block: int):
             owner = ids[doc[order]]
             least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, group, owner)
+            # what an earlier unit of this task held counts too
+            first = order[np.flatnonzero(np.diff(group, prepend=-1))]
+            again, before = known.find(g[first], g2[first])
+            early = again & (before < least)
+            floor = np.where(early, before, least)
             late = np.zeros(len(g), bool)
-            late[order] = owner > least[group]
+            late[order] = owner > floor[group]
+            several = np.bincount(group) > 1
+            if several.any():
+                known.add(g[first[several]], g2[first[several]], floor[several])
             part = (g2 >> _U(32)) % _U(parts)
             one = ~late
-            rows = _pack(part[one].astype(np.int64), _ENTRY, ids, variants, doc[one], place[one], g2[one].astype(np.uint32), g[one])
+            rows = _pack(part[one].astype(np.int64), _ENTRY, ids, variants, doc[one], place[one], g2[one], g[one])
             if late.any():
                 home = _home(ids, parts)
                 none = np.empty(0, np.uint32)
@@ -327,7 +374,7 @@ def _meet_windows(homes: int):
     """Of one hash range: places of windows that a document with a smaller id holds too."""
 
     def run(t):
-        ids, variants, doc, place, low, high = _unpack(t, _ENTRY, high=np.uint64)
+        ids, variants, doc, place, low, high = _unpack(t, _ENTRY, np.uint64, np.uint64)
         k_ids, k_variants, k_doc, k_place, _, _ = _unpack(t, _KNOWN)
         late = np.zeros(len(low), bool)
         if len(low):
@@ -362,7 +409,7 @@ def _repeated(keyed: DataFrame, span: int) -> DataFrame:
     late = near.mapInArrow(_windows(parts, span, block), _PACKED_SQL).groupBy("part").applyInArrow(_meet_windows(homes), _PACKED_SQL)
     out = written(late.groupBy("part").applyInArrow(_gather, _FOUND_SQL), "repeats")
     anchors.drop()
-    return out.df
+    return out.leave()
 
 
 def removed_mask(n_words: int, places: np.ndarray, span: int) -> np.ndarray:

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from planlake.llm import repeats
 
 
@@ -50,6 +52,42 @@ def test_default_span_and_spans(spark):
     assert repeats.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_words_that_a_polynomial_hash_confuses(spark):
+    even = "a"
+    for _ in range(10):
+        even += even.translate(str.maketrans("ab", "ba"))
+    odd = even.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join([even] * 60)), (2, " ".join([odd] * 60)), (3, " ".join([even] * 55))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in repeats.without_repeats(docs).collect())
+    assert got == plain(rows, 50)
+    # two words dealt over a window by the Thue-Morse sequence and its complement
+    rows = [(i, " ".join("xy"[(bin(j).count("1") + i) % 2] for j in range(64))) for i in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in repeats.without_repeats(docs, 64).collect()) == plain(rows, 64)
+
+
+def test_hashes_of_words():
+    words = [bytes([c]) * n for c in b"ab" for n in (1, 7, 8, 9, 63, 64, 65, 200)] + [b"a" * 63 + b"b", b"a" * 64 + b"b"]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    (h, h2), n = repeats.word_hashes(data, np.array([0, len(data)]))
+    assert n.tolist() == [len(words)] and len(set(h.tolist())) == len(set(h2.tolist())) == len(words)
+    assert [repeats.word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0][0] for w in words] == h.tolist()
+    runs = repeats.run_hashes(h, 5)
+    assert len(runs) == len(h) - 4 and runs[3] == repeats.run_hashes(h[3:8], 5)[0]
+
+
+def test_what_a_task_remembers(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "UNIT", 20)
+    monkeypatch.setattr(repeats, "REMEMBERED", 40)
+    rng = random.Random(3)
+    shared = [f"s{i}" for i in range(30)]
+    rows = [(i, " ".join([f"u{i}"] * rng.randrange(3) + shared[rng.randrange(12) : rng.randrange(14, 31)])) for i in rng.sample(range(200), 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in repeats.without_repeats(docs, 6).collect()), key=repr)
+    assert got == plain(rows, 6)
+
+
 def test_query_on_small_data(spark, sf):
     from planlake.llm import queries
 
