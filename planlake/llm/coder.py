@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -43,7 +44,7 @@ _RATE, _LEAST = np.float32(0.02), np.float32(1e-9)
 _SCALE = np.float32((1 << BITS) - 16)
 #: Counts times this are running sums.
 _SUMS = np.triu(np.ones((16, 16), np.float32))
-_ALL = np.arange(16)[:, None]
+_ALL, _SHIFTS = np.arange(16)[:, None], np.array([12, 8, 4, 0])[:, None]
 
 
 class _Lanes:
@@ -55,7 +56,8 @@ class _Lanes:
         self.one, self.older, self.two = np.zeros(n * ONE, np.int32), np.zeros(n * ONE, np.int32), np.zeros(n * TWO, np.int32)
         self.a, self.b = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
         lane = np.arange(n)
-        self.lane, self.node0, self.one0, self.two0, self.sixteen = lane, lane * _NODES, lane * ONE, lane * TWO, lane * 16
+        self.lane = np.arange(4 * n)
+        self.node0, self.one0, self.two0, self.sixteen = lane * _NODES, lane * ONE, lane * TWO, lane * 16
 
     def begin(self, m: int) -> None:
         """Predictions of the first m lanes and their weights for the next id."""
@@ -68,17 +70,7 @@ class _Lanes:
         self.start = self.now = self.weight.take(self.which, 1)
         self.rest = np.float32(1) - self.now[0] - self.now[1] - self.now[2]
         self.prefix = np.zeros(m, np.int64)
-        self.row, self.place = self.sixteen[:m], 0
-
-    def expect(self) -> None:
-        """Prepare the next digit: running sums of its row's counts, and the digits of the predicted ids."""
-        self.at = self.node0[: len(self.row)] + (self.prefix + _FIRST[self.place])
-        n = self.total.take(self.at)
-        self.unseen = _UNSEEN[self.place]
-        self.share = self.rest / (n + self.unseen * np.float32(16))
-        self.sums = self.counts.take(self.at, 0).astype(np.float32) @ _SUMS
-        self.digits = (self.guess >> (12 - 4 * self.place)) & 15
-        self.count = n
+        self.place = 0
 
     def _upto(self, sums: np.ndarray, d: np.ndarray) -> np.ndarray:
         """Frequencies (of 1 << BITS) of all digits up to d, given the counts of those."""
@@ -90,13 +82,53 @@ class _Lanes:
         p *= _SCALE
         return p.astype(np.int32) + (d + 1)
 
-    def bounds(self, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and frequency of a digit."""
-        d = np.stack((digit - 1, digit))
-        edge = self._upto(self.sums.reshape(-1).take(self.row + np.maximum(d, 0)) * (d >= 0), d)
-        edge[1][digit == 15] = 1 << BITS
-        edge = edge.astype(np.uint64)
-        return edge[0], edge[1] - edge[0]
+    def _weigh(self, digit: np.ndarray, had: np.ndarray) -> None:
+        """Turn the masses of the predictions to what they are after a digit that its row had so often."""
+        p0 = (had + self.unseen) * self.share
+        hit = self.now * (self.digits == digit)
+        p = np.maximum(p0 + hit[0] + hit[1] + hit[2], _LEAST)
+        self.now = hit / p
+        self.rest = p0 / p
+
+    def _count(self, at: np.ndarray, digit: np.ndarray, n: np.ndarray, had: np.ndarray) -> None:
+        """Count digits of different rows."""
+        self.counts.reshape(-1)[at * 16 + digit] = had + np.uint16(1)
+        n = n + np.uint16(1)
+        self.total[at] = n
+        if int(n.max(initial=0)) >= _MOST:
+            rows = at[n >= _MOST]
+            half = self.counts[rows] >> 1
+            self.counts[rows] = half
+            self.total[rows] = half.sum(1)
+
+    def bounds(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Start and frequency of each of the ids' digits. Their rows differ, so all four are looked up at once."""
+        digits = (x >> _SHIFTS) & 15
+        at = self.node0[: len(x)] + ((x >> (_SHIFTS + 4)) + np.array(_FIRST)[:, None])
+        n, cell = self.total.take(at), at * 16 + digits
+        had = self.counts.reshape(-1).take(cell)
+        sums = (self.counts.take(at.reshape(-1), 0).astype(np.float32) @ _SUMS).reshape(-1)
+        d = np.stack((digits - 1, digits), 1)
+        upto = sums.take((self.lane[: 4 * len(x)] * 16).reshape(4, 1, -1) + np.maximum(d, 0)) * (d >= 0)
+        guess = (self.guess >> _SHIFTS[:, None]) & 15
+        for place in range(4):
+            self.unseen, self.digits = _UNSEEN[place], guess[place]
+            self.share = self.rest / (n[place] + self.unseen * np.float32(16))
+            edge = self._upto(upto[place], d[place])
+            edge[1][digits[place] == 15] = 1 << BITS
+            edge = edge.astype(np.uint64)
+            yield edge[0], edge[1] - edge[0]
+            self._weigh(digits[place], had[place])
+        self._count(at.reshape(-1), digits.reshape(-1), n.reshape(-1), had.reshape(-1))
+        self.prefix = x
+
+    def expect(self) -> None:
+        """Prepare the next digit, which is to be found: running sums of its row's counts, and the digits of the predicted ids."""
+        self.at = self.node0[: len(self.prefix)] + (self.prefix + _FIRST[self.place])
+        self.seen, self.unseen = self.total.take(self.at), _UNSEEN[self.place]
+        self.share = self.rest / (self.seen + self.unseen * np.float32(16))
+        self.sums = self.counts.take(self.at, 0).astype(np.float32) @ _SUMS
+        self.digits = (self.guess >> (12 - 4 * self.place)) & 15
 
     def search(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The digit whose frequencies hold q, and its start and frequency."""
@@ -109,29 +141,16 @@ class _Lanes:
         return digit, start.astype(np.uint64), (flat.take(at) - start).astype(np.uint64)
 
     def learn(self, digit: np.ndarray) -> None:
-        """Take in the digit that came."""
-        flat, at = self.counts.reshape(-1), self.at
-        cell = at * 16 + digit
-        had = flat.take(cell)
-        p0 = (had + self.unseen) * self.share
-        hit = self.now * (self.digits == digit)
-        p = np.maximum(p0 + hit[0] + hit[1] + hit[2], _LEAST)
-        self.now = hit / p
-        self.rest = p0 / p
-        flat[cell] = had + np.uint16(1)
-        n = self.count + np.uint16(1)
-        self.total[at] = n
-        if int(n.max(initial=0)) >= _MOST:
-            rows = at[n >= _MOST]
-            half = self.counts[rows] >> 1
-            self.counts[rows] = half
-            self.total[rows] = half.sum(1)
+        """Take in the digit that was found."""
+        had = self.counts.reshape(-1).take(self.at * 16 + digit)
+        self._weigh(digit, had)
+        self._count(self.at, digit, self.seen, had)
         self.prefix = self.prefix << 4 | digit
         self.place += 1
 
     def end(self) -> None:
         """Take in the id that the digits make; the masses are now the shares that the predictions had in it."""
-        m, x = len(self.row), self.prefix.astype(np.int32)
+        m, x = len(self.prefix), self.prefix.astype(np.int32)
         self.weight[:, self.which] = self.start + (self.now - self.start) * _RATE
         g2, g1, g0 = self.guess
         e1, e2 = self.e1, self.e2
@@ -186,11 +205,8 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         m = int(np.searchsorted(-sizes, -t, "left"))  # lanes with more than t ids
         x = ids[t, :m].astype(np.int64)
         lanes.begin(m)
-        for shift in (12, 8, 4, 0):
-            digit = (x >> shift) & 15
-            lanes.expect()
-            put(m, *lanes.bounds(digit))
-            lanes.learn(digit)
+        for start, freq in lanes.bounds(x):
+            put(m, start, freq)
         lanes.end()
     for half in (32, 0):
         words[lane, filled] = (low >> _U(half)).astype(np.uint32)

@@ -30,7 +30,7 @@ from ._io import written
 
 SEGMENT = 1 << 20
 #: Segments whose blocks are coded side by side, and blocks that it takes to do so well.
-TOGETHER, LANES = 8, 256
+TOGETHER, LANES = 10, 384
 #: Bytes of text that one task encodes.
 PART_BYTES = 24 << 20
 END = 2
