@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -33,6 +34,14 @@ def scratch(spark: SparkSession) -> str:
     return _own_folder()
 
 
+def free(name: str, columns: Sequence[str]) -> str:
+    """name, or name with underscores before it, so that it is none of columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 @contextmanager
 def settings(spark: SparkSession, **conf: str):
     """Session settings for one action; names have ``__`` for dots."""

@@ -4,9 +4,10 @@ Every document of a source may be taken target / size-of-source times. The whole
 is; the fractional part is a probability that pivotal rounding settles: two open documents exchange
 words of expected mass, in a random direction, until one of them is in or out, which leaves the
 source's expected words as they are. Leaves of the reduction tree are buckets of about LEAF documents
-of one source (a hot source only has more buckets); each sends on at most one open document, and
-levels of FAN buckets are combined until each source has one open document, which is rounded; of TRIES
-draws of that last level the one whose rounding moves fewest words is taken.
+of one source (a hot source only has more buckets, and rows that repeat are dealt over them); each sends
+on at most one open document, and levels of FAN buckets are combined until each source has one open
+document, which is in with the probability that it has come to. So every document is taken with its own
+probability, and the source's words miss its target by less than that last document.
 """
 
 from __future__ import annotations
@@ -16,20 +17,26 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._io import BROADCAST_BYTES, written
+from ._io import BROADCAST_BYTES, free, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEAF, FAN = 2048, 1024
-#: Draws of the last level; the one whose rounding moves fewest words stands.
-TRIES = 32
+#: Rows that one row of repeats is spread to at a time.
+SPREAD = 10_000
+
+
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """doc_id, source, size, h (of the text), rows: rows of docs that are alike in these are one."""
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    return rows.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("rows"))
 
 
 def targets(by_source: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -80,22 +87,32 @@ def settle(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[n
     return p, open_
 
 
-_STATE = "doc_id {kind}, source string, size long, bucket long, whole int, p double, open boolean"
+def spread(rows: DataFrame, times: str, nth: str) -> DataFrame:
+    """rows, each as often as its column times says (at least once), numbered nth from 0; large numbers are dealt over tasks."""
+    part = free("part", rows.columns)
+    last = F.col(times) - 1
+    parts = rows.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / SPREAD))))
+    if not rows.where(F.col(times) > SPREAD).isEmpty():
+        parts = parts.repartition(F.xxhash64(*parts.columns))
+    from_ = F.col(part) * SPREAD
+    return parts.withColumn(nth, F.explode(F.sequence(from_, F.least(last, from_ + SPREAD - 1)))).drop(part)
+
+
+_STATE = "doc_id {kind}, source string, size long, h long, bucket long, whole int, p double, open boolean"
 
 
-def _combine(rows: DataFrame, kind: str, seed: int, last: bool) -> DataFrame:
+def _combine(rows: DataFrame, kind: str, seed: int, level: int, last: bool) -> DataFrame:
     """One level of the tree: rows of equal (source, bucket) settle, one stays open (on the last level none)."""
 
     def run(key, t):
         source, bucket = (x.as_py() for x in key)
-        size = t.column("size").to_numpy().astype(float)
+        size, p = t.column("size").to_numpy().astype(float), t.column("p").to_numpy()
         tie = t.column("doc_id").cast(pa.string()).fill_null("").to_numpy(zero_copy_only=False).astype(str)
-        order = np.lexsort((tie, -size))  # large ones first: what stays open at the end is small
-        rng = np.random.default_rng([seed, zlib.crc32(repr((source, bucket)).encode()), len(size)])
-        draws = [settle(size[order], t.column("p").to_numpy()[order], rng) for _ in range(TRIES if last else 1)]
-        p, at = min(draws, key=lambda d: 0 if d[1] < 0 else size[order][d[1]] * abs(d[0][d[1]] - round(d[0][d[1]])))
+        order = np.lexsort((p, t.column("h").to_numpy(), tie, -size))  # large ones first: what stays open at the end is small
+        rng = np.random.default_rng([seed, level, zlib.crc32(repr((source, bucket)).encode()), len(size)])
+        p, at = settle(size[order], p[order], rng)
         if last and at >= 0:
-            p[at], at = round(p[at]), -1
+            p[at], at = float(rng.random() < p[at]), -1
         out = t.take(pa.array(order))
         is_open = np.zeros(len(p), bool)
         if at >= 0:
@@ -105,58 +122,62 @@ def _combine(rows: DataFrame, kind: str, seed: int, last: bool) -> DataFrame:
     return rows.groupBy("source", "bucket").applyInArrow(run, _STATE.format(kind=kind))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken of every row of docs (doc_id, text, source).
-
-    size: words (null text: 0). Rows of size 0 take part in no draw. Rows with one doc_id are separate
-    documents. Draws depend on seed, source, bucket and size only, so reruns agree. No row is taken
-    more than most (rounded up) times. An empty table gives no rows.
-    """
-    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    known = written(sizes(docs), "sizes").df
-    per = known.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    aim = written(targets(per, weights, share, most).join(per.select(F.col("source").alias("_s"), "n"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "targets").df
+def _settled(docs: DataFrame, weights: Sequence[float], share: float, most: float, seed: int) -> DataFrame:
+    """doc_id, source, size, h, source_size, target, copies of every row of docs."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    known = written(sizes(docs), "sizes").leave()
+    per = known.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("n"))
+    aim = written(targets(per, weights, share, most).join(per.select(F.col("source").alias("_s"), "n"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "targets").leave()
     found = aim.agg(F.count("*"), F.max("n"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()
     small = found[0] * 64 + found[2] <= BROADCAST_BYTES
     aim = F.broadcast(aim) if small else aim.hint("merge")
-    rows = known.join(aim.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = spread(known, "rows", "nth").join(aim.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     rows = rows.withColumn("whole", F.floor(rate).cast("int")).withColumn("p", F.when(F.col("size") > 0, rate - F.col("whole")).otherwise(0.0))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n") / LEAF)).cast("long")).withColumn("open", F.col("p") > 0)
-    cols = ["doc_id", "source", "size", "bucket", "whole", "p", "open"]
-    done = [rows.where("not open").select(cols)]
-    level, buckets = rows.where("open").select(cols), max(1, -(-(found[1] or 0) // LEAF))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "h", "nth"), F.ceil(F.col("n") / LEAF)).cast("long")).withColumn("open", F.col("p") > 0)
+    cols = ["doc_id", "source", "size", "h", "bucket", "whole", "p", "open"]
+    every = rows.where("not open").select(cols)
+    now, buckets, level = rows.where("open").select(cols), max(1, -(-(found[1] or 0) // LEAF)), 0
     while True:
         last = buckets == 1
-        out = written(_combine(level, kind, seed, last), "settled").df
-        done.append(out.where("not open"))
+        out = written(_combine(now, kind, seed, level, last), "settled").leave()
+        every = every.unionByName(out.where("not open"))
         if last:
             break
-        buckets = -(-buckets // FAN)
-        level = out.where("open").withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("long"))
-    every = done[0]
-    for x in done[1:]:
-        every = every.unionByName(x)
+        buckets, level = -(-buckets // FAN), level + 1
+        now = out.where("open").withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("long"))
     every = every.withColumn("copies", (F.col("whole") + F.round("p")).cast("int"))
     out = every.join(aim.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
+    return out.select("doc_id", "source", "size", "h", "source_size", "target", "copies")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken of every row of docs (doc_id, text, source).
+
+    size: words (null text: 0). Rows of size 0 take part in no draw. Rows with one doc_id are separate
+    documents; a null source is a source of its own. Draws depend on seed, source, bucket and size only,
+    so reruns agree. No row is taken more than most (rounded up) times. Other columns are not read. An
+    empty table gives no rows.
+    """
+    out = _settled(docs, weights, share, most, seed)
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with the columns of docs.
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+    """The rows of docs as often as mix() takes them, with the columns of docs, whatever their names.
 
-    Rows that share doc_id, source and size pool their copies and get them in turn.
+    Rows that share doc_id, source and text pool their copies: all are copies of one of them, the least
+    by its other columns as JSON. Null texts have no words and are never taken. An empty table gives no rows.
     """
-    key = ["_id", "_source", "_size"]
-    plan = mix(docs, **kw).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
-    plan = written(plan.where("_copies > 0"), "copies").df
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    left = docs.withColumn("_size0", size)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_size0") == F.col("_size"))
-    rows = left.join(plan.hint("merge"), same)
-    if plan.where("_n > 1").isEmpty():
-        times = F.col("_copies")
-    else:
-        rows = rows.withColumn("_k", F.row_number().over(W.partitionBy(*key).orderBy("text")))
-        times = F.floor(F.col("_copies") / F.col("_n")) + F.when(F.col("_k") <= F.col("_copies") % F.col("_n"), 1).otherwise(0)
-    return rows.withColumn("_times", times.cast("int")).where("_times > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    plan = _settled(docs, weights, share, most, seed).groupBy("doc_id", "source", "size", "h").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    plan = written(plan.where("copies > 0 and size > 0"), "copies").leave()
+    names = {c: free(f"mix_{c}", docs.columns) for c in (*plan.columns, "nth", "row")}
+    plan = plan.select([F.col(c).alias(names[c]) for c in plan.columns])
+    same = F.col("doc_id").eqNullSafe(F.col(names["doc_id"])) & F.col("source").cast("string").eqNullSafe(F.col(names["source"])) & (F.xxhash64(F.col("text").cast("string")) == F.col(names["h"]))
+    rows = docs.join(plan.where(f"{names['rows']} = 1").hint("merge"), same).select(*docs.columns, names["copies"])
+    several = plan.where(f"{names['rows']} > 1")
+    if not several.isEmpty():
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        one = docs.join(several.hint("merge"), same).groupBy(*[names[c] for c in ("doc_id", "source", "size", "h", "copies")]).agg(F.min_by(row, F.to_json(row)).alias(names["row"]))
+        rows = rows.unionByName(one.select(f"{names['row']}.*", names["copies"]))
+    return spread(rows, names["copies"], names["nth"]).select(docs.columns)

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from planlake.llm import mixing
 
@@ -46,6 +47,17 @@ def test_rounding_is_fair():
     assert np.abs(np.mean(runs, 0) - 0.3).max() < 0.03
 
 
+def test_every_document_is_taken_with_its_probability(spark):
+    """Through the tree's levels, the last one too: small sources, each drawn many times."""
+    rows = [(i, f"s{k}", size, 0, k, 0, p, True) for k in range(3000) for i, (size, p) in enumerate([(10, 0.3), (7, 0.3), (3, 0.3), (1, 0.3), (1, 0.3), (4, 0.6)])]
+    frame = spark.createDataFrame(rows, mixing._STATE.format(kind="bigint"))
+    got = mixing._combine(frame, "bigint", 5, 0, True).groupBy("doc_id").agg({"p": "avg", "open": "max"}).collect()
+    for r in got:
+        assert not r["max(open)"] and abs(r["avg(p)"] - (0.6 if r["doc_id"] == 5 else 0.3)) < 0.04
+    words = mixing._combine(frame, "bigint", 5, 0, True).selectExpr("source", "p * size as w").groupBy("source").sum("w").collect()
+    assert all(abs(r[1] - (22 * 0.3 + 4 * 0.6)) < 10 for r in words)
+
+
 def test_mix(spark, monkeypatch):
     monkeypatch.setattr(mixing, "LEAF", 8)
     monkeypatch.setattr(mixing, "FAN", 3)
@@ -67,4 +79,21 @@ def test_mix(spark, monkeypatch):
     for r in out.collect():
         counts[r["source"]] = counts.get(r["source"], 0) + len((r["text"] or "").split())
     assert counts == {s: n for s, n in by.items() if n}
-    assert mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAF", 8)
+    monkeypatch.setattr(mixing, "SPREAD", 7)
+    rows = [(None, "a b c", "s", i % 2, "x") for i in range(100)] + [(1, "a b", "t", 3, "y"), (1, "c d", "t", 3, "y"), (2, None, "t", 3, "y"), (None, "", None, 1, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_copies int, MIX_ROW string").withColumn("nth", F.lit(1))
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows) and all(0 <= r["copies"] <= 2 for r in got)
+    taken = sum(r["taken"] for r in got if r["source"] == "s")
+    assert abs(taken - next(r["target"] for r in got if r["source"] == "s")) < 3
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    words = {}
+    for r in out.collect():
+        words[r["source"]] = words.get(r["source"], 0) + len((r["text"] or "").split())
+    assert words == {s: n for s in ("s", "t") if (n := sum(r["taken"] for r in got if r["source"] == s))}
