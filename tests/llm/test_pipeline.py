@@ -14,7 +14,7 @@ def test_stages_keep_their_promises(spark, sf):
     ids = lambda n: [r["doc_id"] for r in made[n].select("doc_id").collect()]
     first = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
     assert set(ids("language_id")) == first
-    groups = simhash.near_groups(made["language_id"]).collect()
+    groups = simhash.near_groups(made["language_id"], words=5, max_bits=22, segments=3, parts=2).collect()
     assert sorted(ids("simhash_near_dedup")) == sorted({r["component_id"] for r in groups})
     bench = table(spark, sf, "benchmark")
     leaks = {r["doc_id"] for r in decontaminate.matches(made["simhash_near_dedup"], bench).collect()}
