@@ -101,7 +101,7 @@ class Shard:
 
 def _best(q: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int):
     """The k best of each query: highest score, then smaller vec_id."""
-    order = np.lexsort((vec, -score, q))
+    order = np.lexsort((vec, ~score, q))
     q, vec, score = q[order], vec[order], score[order]
     begin = np.flatnonzero(np.diff(q, prepend=-1))
     rank = np.arange(len(q)) - np.repeat(begin, np.diff(np.append(begin, len(q))))
