@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._io import written
+
 SPAN, RATE, Q = 80, 0.075, 10
 #: Bytes of items that one pass indexes and broadcasts; more items take more passes.
 BLOCK_BYTES = 8 << 20
-#: Windows that are aligned at a time.
-_ALIGNED = 4096
+#: Windows that are aligned at a time, and shared q-grams that are gathered at a time.
+_ALIGNED, _HITS = 4096, 1 << 21
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 
@@ -62,6 +64,16 @@ class Index:
     q: int
     span: int
 
+    @cached_property
+    def rank(self) -> np.ndarray:
+        """Of each key, how many different keys there are before it."""
+        return np.cumsum(np.concatenate([[0], self.keys[1:] != self.keys[:-1]])) if len(self.keys) else np.empty(0, np.int64)
+
+    @cached_property
+    def ranked(self) -> np.ndarray:
+        """Rank and place of each key in one number; these ascend."""
+        return self.rank << 32 | self.place.astype(np.int64)
+
     # window by window, for those who compare with all of them
     @cached_property
     def items(self) -> np.ndarray:
@@ -149,7 +161,7 @@ def find(ix: Index, text: str | bytes | None, first: bool = False) -> list[tuple
         return []
     left, right = np.searchsorted(ix.keys, g[pos], "left"), np.searchsorted(ix.keys, g[pos], "right")
     real = right > left
-    pos, left, n = pos[real], left[real], (right - left)[real]
+    pos, left, right = pos[real], left[real], right[real]
     need = int(ix.least.min())
     if len(pos) < need:
         return []
@@ -157,9 +169,37 @@ def find(ix: Index, text: str | bytes | None, first: bool = False) -> list[tuple
     reach = ix.span + int(ix.edits.max())
     near = np.searchsorted(pos, pos + reach, "right") - np.searchsorted(pos, pos - reach, "left")
     keep = near >= need
-    pos, left, n = pos[keep], left[keep], n[keep]
+    pos, left, right = pos[keep], left[keep], right[keep]
+    found: dict[int, tuple[int, int, int, int]] = {}
+    total, at = np.cumsum(right - left), 0
+    while at < len(pos) and not (first and found):
+        # stretches of the document that start here, with all that they can reach
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _HITS, "right")))
+        end = int(np.searchsorted(pos, pos[upto - 1] + reach, "right"))
+        _gather(ix, doc, pos[at:end], left[at:end], right[at:end], 0, len(ix.flat), first, found)
+        at = upto
+    return [(int(ix.number[j]), e, max(0, a), z) for _, (j, e, a, z) in sorted(found.items())]
+
+
+def _gather(ix: Index, doc: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, lo: int, hi: int, first: bool, found: dict[int, tuple[int, int, int, int]]) -> None:
+    """Add to found what a part of the document holds of the windows that start at lo .. hi - 1 of the index.
+
+    pos: the part's q-grams that the index has, at its entries left .. right - 1; of those, the ones that
+    such windows hold count. Too many of them (a q-gram of thousands of items) are halved by place.
+    """
+    if first and found:
+        return
+    base = ix.rank[left] << 32
+    left, right = np.searchsorted(ix.ranked, base + lo), np.searchsorted(ix.ranked, base + min(hi + ix.span, len(ix.flat)))
+    n = right - left
+    if int(n.sum()) > _HITS and hi - lo > 2 * ix.span:
+        mid = (lo + hi) // 2
+        _gather(ix, doc, pos, np.searchsorted(ix.ranked, base), right, lo, mid, first, found)
+        _gather(ix, doc, pos, np.searchsorted(ix.ranked, base), right, mid, hi, first, found)
+        return
+    pos, left, n = pos[n > 0], left[n > 0], n[n > 0]
     if not len(pos):
-        return []
+        return
     k = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     place = ix.place[k].astype(np.int64)
     item = np.searchsorted(ix.base, place, "right") - 1
@@ -182,6 +222,7 @@ def find(ix: Index, text: str | bytes | None, first: bool = False) -> list[tuple
     group, item, high, low = group[ok], item[ok], place[ok], place[upto[ok]]
     low = np.maximum(low - ix.size[item] + ix.q, ix.base[item])
     high = np.minimum(high, ix.base[item] + ix.windows[item] - 1)
+    low, high = np.maximum(low, lo), np.minimum(high, hi - 1)
     # both ends rise within a group, so what an earlier run has is what lies at or before its high
     low[1:] = np.where(group[1:] == group[:-1], np.maximum(low[1:], high[:-1] + 1), low[1:])
     n = np.maximum(high - low + 1, 0)
@@ -190,7 +231,6 @@ def find(ix: Index, text: str | bytes | None, first: bool = False) -> list[tuple
     band = group % wide
     order = np.argsort(band, kind="stable")
     band, item, start = band[order], item[order], start[order]
-    found: dict[int, tuple[int, int, int, int]] = {}
     exact = np.empty(0, np.int64)  # windows that no later band can better
     at = 0
     while at < len(start):
@@ -207,17 +247,20 @@ def find(ix: Index, text: str | bytes | None, first: bool = False) -> list[tuple
                 found[w] = (j, e, z - int(ix.size[j]), z)
         if first and found:
             break
-    return [(int(ix.number[j]), e, max(0, a), z) for _, (j, e, a, z) in sorted(found.items())]
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[tuple[list, Index]]:
+def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[tuple[list, Index]]]:
     """The items in blocks of about block_bytes, one at a time on the driver."""
     items = benchmark.where("text is not null").select("item_id", F.col("text").cast("string").alias("text")).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // block_bytes))
-    for i in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text").collect()
-        yield [r["item_id"] for r in rows], build_index([r["text"] for r in rows])
+
+    def each():
+        for i in range(n):
+            rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text").collect()
+            yield [r["item_id"] for r in rows], build_index([r["text"] for r in rows])
+
+    return n, each()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -230,7 +273,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTE
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
     out = None
-    for ids, index in _blocks(benchmark, block_bytes):
+    n, blocks = _blocks(benchmark, block_bytes)
+    for ids, index in blocks:
         known = docs.sparkSession.sparkContext.broadcast((ids, index))
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
@@ -247,6 +291,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTE
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1]), *(pa.array(c, pa.int32()) for c in cols[2:])], ["doc_id", "item_id", "n_windows", "edits", "doc_start", "doc_end"])
 
         part = rows.mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, n_windows int, edits int, doc_start int, doc_end int")
+        if n > 1:  # a pass is written, so one index at a time is held
+            part = written(part, "matches").leave()
+            known.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -254,7 +301,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTE
 def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns, whose text holds no window of any item. Null texts stay."""
     at, out = docs.columns.index("text"), docs
-    for _, index in _blocks(benchmark, block_bytes):
+    n, blocks = _blocks(benchmark, block_bytes)
+    for _, index in blocks:
         known = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
@@ -263,4 +311,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
                 yield b.filter(pa.array([not find(known.value, t, first=True) for t in texts], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
+        if n > 1:
+            out = written(out, "clean").leave()
+            known.destroy()
     return out

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from planlake.llm import decontaminate
 from planlake.llm import decontaminate as d
 
 
@@ -80,3 +81,18 @@ def test_rows(spark, monkeypatch):
     assert sorted(map(repr, d.matches(frame, bench, block_bytes=40).collect())) == sorted(map(repr, d.matches(frame, bench).collect()))
     assert d.matches(frame.limit(0), bench).count() == 0 and d.matches(frame, bench.limit(0)).count() == 0
     assert d.clean(frame, bench.limit(0)).count() == len(docs)
+
+
+def test_common_grams_go_in_bounded_pieces(monkeypatch):
+    """Items that share most of their text, and a repetitive document: the same windows whatever the size of a piece."""
+    rng = random.Random(8)
+    boiler = "please read the question and choose the best of the answers that are given below "
+    items = [boiler + " ".join(rng.choice(["red", "green", "blue", "one", "two"]) + str(rng.randrange(30)) for _ in range(12)) for _ in range(20)] + ["ab" * 60]
+    index = decontaminate.build_index(items)
+    docs = [items[3] + " and " + items[15][20:150] + " end", boiler * 4 + items[7][90:], "x" + "ab" * 50 + " y", boiler[:60]]
+    whole = [decontaminate.find(index, t) for t in docs]
+    assert {3, 15} <= {r[0] for r in whole[0]} and {r[0] for r in whole[2]} == {20} and not whole[3]
+    for hits in (5000, 1000):
+        monkeypatch.setattr(decontaminate, "_HITS", hits)
+        assert [sorted(r[:2] for r in decontaminate.find(index, t)) for t in docs] == [sorted(r[:2] for r in w) for w in whole]
+        assert [bool(decontaminate.find(index, t, first=True)) for t in docs] == [bool(w) for w in whole]
