@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._io import written
+
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4, 5), 12, 8
-#: Bounds of the training sample: documents of each label, bytes of each of them, labels.
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LABELS = 500, 4096, 64
+#: Bounds of the training sample: documents of each label, characters of each of them, documents in all (but one of each label at least).
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 500, 4096, 32_000
 _WIDE = max(WIDTHS)
 
 
@@ -122,17 +124,26 @@ def train(texts: list[str], langs: list[str], seed: int = 11, epochs: int = 12,
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    """text, lang of the bounded sample: of each of the MAX_LABELS commonest labels the SAMPLE_DOCS documents of least hash, cut to SAMPLE_CHARS."""
-    known = docs.where("text is not null and lang is not null and lang <> ''").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
-    common = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LABELS).select(F.col("lang").alias("_lang"))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text")
+    """text, lang of the bounded sample: of every label the same number of documents, those of least hash, each cut to SAMPLE_CHARS.
+
+    A label's count sets a threshold on the hash that some four times as many documents as wanted
+    pass (60 more, so that none is left out by chance), so however common a label is, few of its rows are moved and ranked.
+    """
+    known = docs.where("text is not null and lang is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
+    counts = written(known.groupBy(F.col("lang").cast("string").alias("_lang")).agg(F.count("*").alias("_n")), "labels").leave()
+    labels = counts.count()
+    each = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // max(1, labels)))
+    counts = F.broadcast(counts) if labels <= SAMPLE_ALL else counts.hint("merge")
     from_, size = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)), F.lit(SAMPLE_CHARS)
-    cut = known.join(F.broadcast(common), F.col("lang") == F.col("_lang")).select("lang", "doc_id", F.substring(F.col("text"), (from_ + 1).cast("int"), size).alias("text"))
-    return cut.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= SAMPLE_DOCS).orderBy("lang", "_k").select("text", "lang")
+    cut = F.substring(F.col("text"), (from_ + 1).cast("int"), size)
+    rows = known.select(F.col("lang").cast("string").alias("lang"), "doc_id", cut.alias("text"), F.xxhash64("doc_id", F.xxhash64("text"), F.lit(1)).alias("_h"))
+    rows = rows.join(counts, F.col("lang") == F.col("_lang")).where(F.pmod("_h", F.lit(1 << 30)) * F.col("_n") <= F.lit(float((4 * each + 60) << 30)))
+    order = W.partitionBy("lang").orderBy("_h", "doc_id", "text")
+    return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= each).orderBy("lang", "_k").select("text", "lang")
 
 
 def fit(docs: DataFrame) -> Model | None:
-    rows = training_rows(docs).collect()  # at most SAMPLE_DOCS * MAX_LABELS short texts
+    rows = training_rows(docs).collect()  # at most SAMPLE_ALL short texts, or one of each label
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
