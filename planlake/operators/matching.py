@@ -1,9 +1,10 @@
 """Ordered one-to-one matching, ordered keep and drop, identity across floors, connected groups.
 
 The results are those of a sequential greedy pass under a total order, but made in rounds: a round settles
-every pair (row) that nothing before it can still affect, which are independent of each other. Each round
-is written to the checkpoint folder, so lineage and lost executors cost one round. Few rounds suffice:
-a long chain of dependent pairs is needed for more.
+every pair (row) that nothing before it can still affect, which are independent of each other. Rounds go
+on until nothing is left; each settles one pair at least, and few suffice unless a long chain of pairs
+depends on each other. Each round is written to the shared checkpoint folder, so lineage and lost executors
+cost one round, and what it replaces is deleted.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,64 +24,255 @@ def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="planlake-")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read back."""
-    spark: SparkSession = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or _own_folder()}/planlake/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _folder(spark: SparkSession) -> str:
+    """The shared folder; only a session that runs in one process gets one of its own where none is set."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return path or _own_folder()
 
 
-def greedy_pairs(pairs: DataFrame, rounds: int = 100) -> DataFrame:
-    """a, b, score of the pairs that a greedy pass by (score, a, b) takes, each a and b once."""
-    left, out = settled(pairs.select("a", "b", "score").distinct()), None
-    for _ in range(rounds):
-        if left.isEmpty():
-            return out if out is not None else left
+class Rounds:
+    """Tables written for rounds of one pass."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def _path(self, df: DataFrame):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(df)][1])
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def settled(self, df: DataFrame) -> DataFrame:
+        """df, written to the shared folder and read back."""
+        path = f"{_folder(self.spark)}/planlake/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)  # out is held, so that its id stays its own
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path, fs = self._path(t)
+            fs.delete(path, True)
+            del self.paths[id(t)]
+
+    def close(self, *keep: DataFrame) -> None:
+        """Delete all tables but those that a result reads, which go with the session."""
+        kept = {id(k) for k in keep}
+        for key, (t, _) in list(self.paths.items()):
+            if key in kept:
+                path, fs = self._path(t)
+                fs.deleteOnExit(path)
+            else:
+                self.drop(t)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+#: Rounds before what is left is looked at by connected group, and pairs of a group that one task takes in order.
+FIRST, GROUP = 4, 50_000
+
+
+def greedy_pairs(pairs: DataFrame) -> DataFrame:
+    """a, b, score of the pairs that a greedy pass by (score, a, b) takes, each a and b once.
+
+    A round takes the pairs that are the best of both their ends. What FIRST rounds leave is in groups that
+    no pair connects; small ones are gone through in order, each by itself, and only large ones have more rounds.
+    """
+    r = Rounds(pairs.sparkSession)
+    left, out, n = r.settled(pairs.select("a", "b", "score").distinct()), [], 0
+    while not left.isEmpty():
         row = F.struct("score", "a", "b")
         first_a = left.groupBy("a").agg(F.min(row).alias("ma"))
         first_b = left.groupBy("b").agg(F.min(row).alias("mb"))
         best = left.join(first_a.hint("merge"), "a").join(first_b.hint("merge"), "b")
-        taken = settled(best.where((F.struct("score", "a", "b") == F.col("ma")) & (F.col("ma") == F.col("mb"))).select("a", "b", "score"))
-        out = taken if out is None else out.unionByName(taken)
-        left = settled(left.join(taken.select("a").hint("merge"), "a", "left_anti").join(taken.select("b").hint("merge"), "b", "left_anti").select("a", "b", "score"))
-    raise RuntimeError("the matching did not settle")
+        taken = r.settled(best.where((F.struct("score", "a", "b") == F.col("ma")) & (F.col("ma") == F.col("mb"))).select("a", "b", "score"))
+        out.append(taken)
+        rest = r.settled(left.join(taken.select("a").hint("merge"), "a", "left_anti").join(taken.select("b").hint("merge"), "b", "left_anti").select("a", "b", "score"))
+        r.drop(left)
+        left, n = rest, n + 1
+        if n == FIRST and not left.isEmpty():
+            small, large = _in_order(left, r)
+            out.append(r.settled(small))
+            rest = r.settled(large)
+            r.drop(left)
+            left = rest
+    out = out or [left]
+    r.close(*out)
+    return _union(out)
+
+
+def _in_order(left: DataFrame, r: Rounds) -> tuple[DataFrame, DataFrame]:
+    """What a greedy pass takes of the small groups of left, and the pairs of the large ones."""
+    end = lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).alias("id"))
+    g = groups(left.select(end(0, "a").alias("a"), end(1, "b").alias("b")))
+    named = r.settled(left.join(g.where("node.side = 0").select(F.col("node.id").alias("a"), F.col("root").alias("_root")).hint("merge"), "a"))
+    sizes = named.groupBy("_root").agg(F.count("*").alias("_n"))
+    kinds = ", ".join(f"{c} {left.schema[c].dataType.simpleString()}" for c in ("a", "b", "score"))
 
+    def run(t: pa.Table) -> pa.Table:
+        t = t.select(["a", "b", "score"]).sort_by([("score", "ascending"), ("a", "ascending"), ("b", "ascending")])
+        used_a, used_b, keep = set(), set(), []
+        for i, (a, b) in enumerate(zip(t.column("a").to_pylist(), t.column("b").to_pylist())):
+            if a not in used_a and b not in used_b:
+                used_a.add(a)
+                used_b.add(b)
+                keep.append(i)
+        return t.take(pa.array(keep, pa.int64()))
 
-def ordered_keep(rows: DataFrame, conflicts: DataFrame, rounds: int = 200) -> DataFrame:
+    small = named.join(sizes.where(F.col("_n") <= GROUP).select("_root").hint("merge"), "_root", "left_semi").groupBy("_root").applyInArrow(run, kinds)
+    large = named.join(sizes.where(F.col("_n") > GROUP).select("_root").hint("merge"), "_root", "left_semi").select("a", "b", "score")
+    return small, large
+
+
+def ordered_keep(rows: DataFrame, conflicts: DataFrame) -> DataFrame:
     """id, kept of a pass over rows (id) in ascending id that keeps a row unless an earlier kept one conflicts with it.
 
     conflicts: pairs (early, late), early < late.
     """
-    live, c, out = settled(rows.select("id").distinct()), settled(conflicts.select("early", "late").distinct()), None
-    for _ in range(rounds):
-        if live.isEmpty():
-            return out if out is not None else live.withColumn("kept", F.lit(True))
+    r = Rounds(rows.sparkSession)
+    live, c, out = r.settled(rows.select("id").distinct()), r.settled(conflicts.select("early", "late").distinct()), []
+    while not live.isEmpty():
         blocked = c.select(F.col("late").alias("id")).distinct()
-        free = settled(live.join(blocked.hint("merge"), "id", "left_anti"))
-        lost = settled(c.join(free.select(F.col("id").alias("early")).hint("merge"), "early", "left_semi").select(F.col("late").alias("id")).distinct())
-        done = free.withColumn("kept", F.lit(True)).unionByName(lost.withColumn("kept", F.lit(False)))
-        out = done if out is None else out.unionByName(done)
-        gone = settled(done.select("id"))
-        live = settled(live.join(gone.hint("merge"), "id", "left_anti"))
-        c = c.join(gone.select(F.col("id").alias("early")).hint("merge"), "early", "left_anti").join(gone.select(F.col("id").alias("late")).hint("merge"), "late", "left_anti")
-        c = settled(c.select("early", "late"))
-    raise RuntimeError("the pass did not settle")
-
-
-def groups(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """node, root: the least node that edges (a, b) connect each node with. Labels spread and jump, so rounds grow with the logarithm of a path's length."""
-    both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = settled(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
-    for _ in range(rounds):
+        free = live.join(blocked.hint("merge"), "id", "left_anti").withColumn("kept", F.lit(True))
+        free = r.settled(free)
+        lost = c.join(free.select(F.col("id").alias("early")).hint("merge"), "early", "left_semi").select(F.col("late").alias("id")).distinct().withColumn("kept", F.lit(False))
+        lost = r.settled(lost)
+        out += [free, lost]
+        gone = free.unionByName(lost).select("id")
+        rest = r.settled(live.join(gone.hint("merge"), "id", "left_anti"))
+        open_ = c.join(gone.select(F.col("id").alias("early")).hint("merge"), "early", "left_anti").join(gone.select(F.col("id").alias("late")).hint("merge"), "late", "left_anti")
+        open_ = r.settled(open_.select("early", "late"))
+        r.drop(live, c)
+        live, c = rest, open_
+    if not out:
+        r.close(live)
+        return live.withColumn("kept", F.lit(True))
+    r.close(*out)
+    return _union(out)
+
+
+def groups(edges: DataFrame) -> DataFrame:
+    """node, root: the least node that edges (a, b) connect each node with. Labels spread and jump until a round changes none, so rounds grow with the logarithm of a path's length."""
+    r = Rounds(edges.sparkSession)
+    both = r.settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = r.settled(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
+    while True:
         near = both.join(label.select(F.col("node").alias("b"), "root").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("r"))
         low = label.join(near.hint("merge"), "node", "left").select("node", F.least("root", "r").alias("root"))
         jump = low.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        nxt = settled(low.join(jump.hint("merge"), F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root")))
-        if nxt.join(label.withColumnRenamed("root", "was").hint("merge"), "node").where("root <> was").isEmpty():
-            return nxt
+        nxt = r.settled(low.join(jump.hint("merge"), F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root")))
+        same = nxt.join(label.withColumnRenamed("root", "was").hint("merge"), "node").where("root <> was").isEmpty()
+        r.drop(label)
         label = nxt
-    raise RuntimeError("the groups did not settle")
+        if same:
+            r.close(label)
+            return label
+
+
+def pairs_in_turn(pairs: DataFrame) -> DataFrame:
+    """a, b, score of what a pass over b in the order of turn takes: each b its best a (highest score, then least a) that is still free.
+
+    pairs: a, b, turn, score, ok. The best pair is taken only if it is ok; if it is not, b goes without
+    and a stays free. A b is settled when no earlier one wants the same a any more.
+    """
+    r = Rounds(pairs.sparkSession)
+    left, out = r.settled(pairs.select("a", "b", "turn", "score", "ok")), []
+    while not left.isEmpty():
+        first = left.groupBy("a").agg(F.min(F.struct("turn", "b")).alias("first"))
+        best = left.groupBy("b").agg(F.max(F.struct("score", (-F.col("a")).alias("_a"), "a", "turn", "ok")).alias("m")).select("b", "m.*")
+        sure = r.settled(best.join(first.hint("merge"), "a").where(F.col("first") == F.struct("turn", "b")).select("a", "b", "score", "ok"))
+        out.append(sure)
+        rest = left.join(sure.select("b").hint("merge"), "b", "left_anti").join(sure.where("ok").select("a").hint("merge"), "a", "left_anti")
+        rest = r.settled(rest.select("a", "b", "turn", "score", "ok"))
+        r.drop(left)
+        left = rest
+    if not out:
+        r.close(left)
+        return left.select("a", "b", "score")
+    r.close(*out)
+    return _union(out).where("ok").select("a", "b", "score")
+
+
+def shared_out(tags: list[tuple[int, int, int, float, bool]], longest: int = 6) -> dict[int, int]:
+    """Element of each tag of one connected group. tags: tag, its kind, element, score, whether it lies inside.
+
+    A tag inside an element is that element's (of the least score, which orders those). The others take, by
+    (score, tag, element), an element that has none of their kind; those left take their best. Then each
+    element that has candidates of a kind and none of it looks for one along a chain of at most longest
+    further elements, each of which gives a tag up for another; tags inside an element never move. At last
+    an element with several of a kind gives those up that a neighbour without one can take.
+    """
+    inside = {}
+    for tag, _, element, score, within in sorted(tags, key=lambda r: (r[3], r[2])):
+        if within:
+            inside.setdefault(tag, element)
+    owner, kind = dict(inside), {t[0]: t[1] for t in tags}
+    free = sorted((score, tag, element) for tag, _, element, score, _ in tags if tag not in inside)
+    holds: dict[tuple[int, int], set[int]] = {}
+    for tag, element in owner.items():
+        holds.setdefault((element, kind[tag]), set()).add(tag)
+
+    def give(tag: int, element: int) -> None:
+        if tag in owner:
+            holds[owner[tag], kind[tag]].discard(tag)
+        owner[tag] = element
+        holds.setdefault((element, kind[tag]), set()).add(tag)
+
+    for crowded in (False, True):
+        for _, tag, element in free:
+            if tag not in owner and (crowded or not holds.get((element, kind[tag]))):
+                give(tag, element)
+    wanted: dict[tuple[int, int], list[int]] = {}
+    for _, tag, element in free:
+        wanted.setdefault((element, kind[tag]), []).append(tag)
+
+    def feed(slot: tuple[int, int], seen: set[int], left: int) -> bool:
+        for tag in wanted.get(slot, ()):
+            if left < 0:
+                return False
+            if tag in seen:
+                continue
+            seen.add(tag)
+            now = (owner[tag], slot[1])
+            if len(holds[now]) > 1 or (now != slot and feed(now, seen, left - 1)):
+                give(tag, slot[0])
+                return True
+        return False
+
+    for slot in sorted(wanted):
+        if not holds.get(slot):
+            feed(slot, set(), longest)
+    for slot in sorted(holds):
+        for tag in sorted(holds[slot]):
+            if len(holds[slot]) > 1 and tag not in inside:
+                other = next((e for _, t, e in free if t == tag and e != slot[0] and not holds.get((e, slot[1]))), None)
+                if other is not None:
+                    give(tag, other)
+    return owner
+
+
+def share_tags(pairs: DataFrame, longest: int = 6) -> DataFrame:
+    """tag, element of candidate pairs (tag, kind, element, score, inside), shared out so that few elements go without (see shared_out).
+
+    Tags and elements that no chain of pairs connects do not matter to each other, so each connected group
+    goes alone. tag and element are longs.
+    """
+    p = pairs.select("tag", "kind", "element", "score", "inside")
+    g = groups(p.select((F.col("tag") * 2).alias("a"), (F.col("element") * 2 + 1).alias("b")).distinct())
+    p = p.join(g.where("node % 2 = 0").select(F.expr("node div 2").alias("tag"), F.col("root").alias("_root")).hint("merge"), "tag")
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = [tuple(r[c] for c in ("tag", "kind", "element", "score", "inside")) for r in t.to_pylist()]
+        out = sorted(shared_out(rows, longest).items())
+        return pa.table({"tag": pa.array([o[0] for o in out], pa.int64()), "element": pa.array([o[1] for o in out], pa.int64())})
+
+    return p.groupBy("_root").applyInArrow(run, "tag long, element long")
 
 
 def chain_floors(pairs: DataFrame, elements: DataFrame) -> DataFrame:

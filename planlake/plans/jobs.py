@@ -11,7 +11,7 @@ from planlake.sources.proxies import view
 from .joins import MATCH_SQL, MODEL, DRAWN, _b, _OV, boxes, candidates, matched, snapshots
 from .registry import query
 from .shapes import rings
-from .texts import _layers
+from .texts import LAYERS_SQL, _layers
 
 
 @query()
@@ -29,15 +29,39 @@ def j03_ordered_keep(spark, sf):
     return mt.ordered_keep(r.select(F.col("rect_id").alias("id")), p.select(F.col("rect_id").alias("early"), F.col("b_rect_id").alias("late")))
 
 
+@query()
+def j02_shared_tags(spark, sf):
+    """Tags to columns so that few columns go without one of a kind; kinds are whether a note's number is even."""
+    n, r = view(spark, sf, "vN").select("note_id", "floor_id", "x", "y"), boxes(spark, sf, "column").groupBy("rect_id", "floor_id").agg(*[F.min(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    d2 = sp.box_distance(*map(F.col, ("x", "y", "x0", "y0", "x1", "y1")))
+    p = sp.points_in_boxes(n, r, ["floor_id"], 2000, 900, d2 <= 900 * 900)
+    return mt.share_tags(p.select(F.col("note_id").alias("tag"), (F.col("note_id") % 2).alias("kind"), F.col("rect_id").alias("element"), F.round(F.sqrt(d2), 3).alias("score"), (d2 == 0).alias("inside")))
+
+
 @query()
 def j04_stacks(spark, sf):
-    """Columns followed from floor to floor: pairs of neighbouring floors are matched greedily, then chained."""
+    """Columns followed from floor to floor, bottom-up: in (x, y) order each takes the best free column below, by overlap and half the nearness.
+
+    The best is tested after it is found, so a column whose best fails stands alone (orphan) even if
+    another would pass. jump: the column's centre is off that of its stack's foot by more than half the tolerance.
+    """
+    tol, least = 600.0, 0.25
     r = boxes(spark, sf, "column", 10).withColumn("floor_no", F.substring("floor_id", 3, 1).cast("int"))
-    r = r.groupBy(F.col("rect_id").alias("id"), "floor_no").agg(*[F.min(c).alias(c) for c in ("x0", "y0", "x1", "y1")]).withColumn("up", F.col("floor_no"))
-    above = r.withColumn("up", F.col("floor_no") - 1)
-    p = sp.overlaps(r, above, ["up"], 5000).withColumn("score", -sp.iou())
-    taken = mt.greedy_pairs(p.select(F.col("id").alias("a"), F.col("b_id").alias("b"), "score"))
-    return mt.chain_floors(taken.select(F.col("a").alias("low"), F.col("b").alias("high")), r.select("id", "floor_no"))
+    r = r.groupBy(F.col("rect_id").alias("id"), "floor_no").agg(*[F.min(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    r = r.withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2})
+    p = sp.overlaps(r.withColumn("up", F.col("floor_no")), r.withColumn("up", F.col("floor_no") - 1), ["up"], 5000, tol)
+    d = F.hypot(F.col("cx") - F.col("b_cx"), F.col("cy") - F.col("b_cy"))
+    side = lambda lo, hi: F.greatest(F.least(f"{hi}", f"b_{hi}") - F.greatest(f"{lo}", f"b_{lo}"), F.lit(0))
+    over = side("x0", "x1") * side("y0", "y1")
+    score = F.round(over / (sp.area() + sp.area("b_") - over) + (1 - F.least(d, F.lit(tol)) / tol) * 0.5, 6)
+    p = p.where((d <= tol) | (over > 0)).select(F.col("id").alias("a"), F.col("b_id").alias("b"), F.struct("b_cx", "b_cy").alias("turn"), score.alias("score"), ((score >= least) | (d <= tol)).alias("ok"))
+    taken = mt.pairs_in_turn(p.where("score > 0")).select(F.col("a").alias("low"), F.col("b").alias("high"))
+    out = mt.chain_floors(taken, r.select("id", "floor_no")).join(r.select("id", "floor_no", "cx", "cy").hint("merge"), ["id", "floor_no"])
+    foot = r.select(F.col("id").alias("stack"), F.col("cx").alias("fx"), F.col("cy").alias("fy"))
+    out = out.join(foot.hint("merge"), "stack").withColumn("jump", F.hypot(F.col("cx") - F.col("fx"), F.col("cy") - F.col("fy")) > tol / 2)
+    below = r.select((F.col("floor_no") + 1).alias("floor_no")).distinct().withColumn("below", F.lit(True))
+    out = out.join(F.broadcast(below), "floor_no", "left")  # a row for each floor
+    return out.select("id", "floor_no", "stack", "jump", ((F.col("id") == F.col("stack")) & F.coalesce("below", F.lit(False))).alias("orphan"))
 
 
 @query()
@@ -49,17 +73,34 @@ def j05_groups(spark, sf):
 
 @query()
 def j07_panels(spark, sf):
-    """Panels that members enclose, floor by floor; members are the pieces of a line grid."""
-    s = view(spark, sf, "vS").where("seg_id % 7 = 0")
-    flat = s.select("line_no", F.col("t1").alias("x0"), (F.col("seg_id") * 613 % 60000).alias("y0"), (F.col("t1") + 8 * (F.col("t2") - F.col("t1"))).alias("x1"), (F.col("seg_id") * 613 % 60000 + 230).alias("y1"))
-    up = s.select("line_no", (F.col("seg_id") * 211 % 100000).alias("x0"), F.expr("t1 div 2").alias("y0"), (F.col("seg_id") * 211 % 100000 + 230).alias("x1"), (F.expr("t1 div 2") + 16 * (F.col("t2") - F.col("t1"))).alias("y1"))
-    return faces.panels(flat.unionByName(up), ["line_no"], 1e5, 1e8)
+    """Panels that members enclose, drawing by drawing; members are the pieces of a line grid, forty of them a drawing."""
+    s = view(spark, sf, "vS").withColumn("drawing", F.expr("seg_id div 40"))
+    flat = s.select("drawing", F.col("t1").alias("x0"), (F.col("seg_id") * 613 % 60000).alias("y0"), (F.col("t1") + 8 * (F.col("t2") - F.col("t1"))).alias("x1"), (F.col("seg_id") * 613 % 60000 + 230).alias("y1"))
+    up = s.select("drawing", (F.col("seg_id") * 211 % 100000).alias("x0"), F.expr("t1 div 2").alias("y0"), (F.col("seg_id") * 211 % 100000 + 230).alias("x1"), (F.expr("t1 div 2") + 16 * (F.col("t2") - F.col("t1"))).alias("y1"))
+    return faces.panels(flat.unionByName(up), ["drawing"], 1e5, 1e8)
 
 
 @query()
+def j08_trimmed_junctions(spark, sf):
+    """Wall legs cut back where they meet larger ones."""
+    r = boxes(spark, sf, "wall", 8).groupBy("rect_id", "floor_id").agg(*[F.min(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    return faces.trim_junctions(r, "rect_id", ["floor_id"], 6000)
+
+
+@query("""select rect_id, unnest([1, 2]) as leg, unnest([x0, x0])::double as x0, unnest([y0, y0])::double as y0, unnest([x0 + 100, x0 + w])::double as x1, unnest([y0 + h, y0 + 100])::double as y1 from {vR} r where rect_id % 3 = 0
+union all select rect_id, 1, x0, y0, x0 + w, y0 + h from {vR} r where rect_id % 3 <> 0""")
 def j09_split_legs(spark, sf):
-    """All outlines, the shaped ones cut into legs."""
-    return faces.split_outlines(rings(spark, sf).select("rect_id", "ring"), "rect_id")
+    """All outlines, the shaped ones cut into legs that run through their corner."""
+    return faces.split_outlines(rings(spark, sf).select("rect_id", "ring"), "rect_id").drop("outline")
+
+
+@query("""select rect_id, floor_id, count(*) as n_legs, max(greatest(w, h)) as longest from {vR} r where rect_id % 3 = 0 group by rect_id, floor_id""".replace("count(*) as n_legs", "2 * count(*) as n_legs"))
+def d15_maximal_legs(spark, sf):
+    """Shaped outlines with the number of their legs and the longest: a leg is as long as the outline on its side."""
+    r = rings(spark, sf).where("rect_id % 3 = 0")
+    legs = faces.split_outlines(r.withColumn("key", F.concat_ws(" ", "rect_id", "floor_id")).select("key", "ring"), "key")
+    key = F.split("key", " ")
+    return legs.groupBy(key[0].cast("long").alias("rect_id"), key[1].alias("floor_id")).agg(F.count("*").alias("n_legs"), F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).cast("long").alias("longest"))
 
 
 DIFF_SQL = f"""with p as ({MATCH_SQL}),
@@ -110,13 +151,13 @@ def l10_round_trip(spark, sf):
     return dg.verdict(compare(m, m)).select(F.col("n").cast("int").alias("n"), "ok")
 
 
-@query("""select o.o_orderkey as action_id, n.n_name as level, case when p.p_partkey % 2 = 0 then 'column' else 'beam' end as kind, concat(case when p.p_partkey % 2 = 0 then 'C ' else 'B ' end, cast(round(p.p_size * 37 / 25.0) * 25 as bigint), ' x ', 300) as type
-from orders o join nation n on n.n_nationkey = o.o_custkey % 25 join part p on p.p_partkey = o.o_orderkey % 500 where p.p_partkey % 2 = 0 or n.n_nationkey > 0""")
+@query("""select l.l_orderkey * 10 + l.l_linenumber as action_id, n.n_name as level, case when p.p_partkey % 2 = 0 then 'column' else 'beam' end as kind, concat(case when p.p_partkey % 2 = 0 then 'C ' else 'B ' end, cast(round(p.p_size * 37 / 25.0) * 25 as bigint), ' x ', 300) as type
+from lineitem l join nation n on n.n_nationkey = l.l_suppkey % 25 join part p on p.p_partkey = l.l_partkey where p.p_partkey % 2 = 0 or n.n_nationkey > 0""")
 def l04_build_plan(spark, sf):
     """Typed actions for each level of an element's plan, types rounded to a step."""
-    o = view(spark, sf, "orders").select(F.col("o_orderkey").alias("action_id"), (F.col("o_custkey") % 25).alias("_n"), (F.col("o_orderkey") % 500).alias("_p"))
-    n, p = view(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("level")), view(spark, sf, "part").where("p_partkey < 500").select("p_partkey", "p_size")
-    x = o.join(n, F.col("_n") == F.col("n_nationkey")).join(p, F.col("_p") == F.col("p_partkey"))
+    o = view(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("action_id"), (F.col("l_suppkey") % 25).alias("_n"), "l_partkey")
+    n, p = view(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("level")), view(spark, sf, "part").select("p_partkey", "p_size")
+    x = o.join(n, F.col("_n") == F.col("n_nationkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
     even = F.col("p_partkey") % 2 == 0
     side = (F.round(F.col("p_size") * 37 / 25.0) * 25).cast("long")
     return x.where(even | (F.col("n_nationkey") > 0)).select("action_id", "level", F.when(even, "column").otherwise("beam").alias("kind"), F.concat(F.when(even, "C ").otherwise("B "), side, F.lit(" x 300")).alias("type"))
@@ -128,12 +169,13 @@ def a13_build_types(spark, sf):
     return view(spark, sf, "part").groupBy("p_brand", "p_type", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("select l.layer, l.n, r.text_role from (select layer, count(*) as n from {vL} l group by layer) l join (select layer, case when contains(layer, 'Boundary') then 'NOTE' else 'x' end as text_role from {vL} q group by 1, 2) r on l.layer = r.layer where contains(l.layer, 'Boundary')")
+@query(f"""select l.layer, l.n, r.role, case r.role {" ".join(f"when '{k}' then '{v}'" for k, v in rules.TEXT_ROLES.items())} else 'NOTE' end as text_role
+from (select layer, count(*) as n from {{vL}} l group by layer) l join ({LAYERS_SQL}) r on l.layer = r.layer""")
 def l08_inspect(spark, sf):
-    """Layers of a drawing with entity counts and roles (here those of the boundary)."""
-    r = rules.layer_roles(_layers(spark, sf)).select("layer", "text_role")
+    """Layers of a drawing with entity counts and roles."""
+    r = rules.layer_roles(_layers(spark, sf)).select("layer", "role", "text_role")
     n = view(spark, sf, "vL").groupBy("layer").agg(F.count("*").alias("n"))
-    return n.join(r, "layer").where(F.col("layer").contains("Boundary")).select("layer", "n", "text_role")
+    return n.join(r.hint("merge"), "layer").select("layer", "n", "role", "text_role")
 
 
 @query()

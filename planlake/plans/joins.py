@@ -50,9 +50,9 @@ def e01_floor_assign(spark, sf):
     return in_frames(mid, frames(spark, sf), "left").groupBy("frame_id").agg(F.count("*").alias("n"))
 
 
-@query(f"select b.frame_id, coalesce(arg_min(p.x, p.note_id), any_value(b.x0)) as ox, coalesce(arg_min(p.y, p.note_id), any_value(b.y0)) as oy, count(p.note_id) > 0 as has_origin from {FRAMES} b left join (select * from {{vN}} n where note_id % 500 = 3) p on {IN} group by b.frame_id")
+@query(f"select b.frame_id, coalesce(arg_min(p.x, p.note_id), any_value(b.x0)) as ox, coalesce(arg_min(p.y, p.note_id), any_value(b.y0)) as oy, count(p.note_id) > 0 as has_origin from {FRAMES} b left join {{vN}} p on {IN} group by b.frame_id")
 def e02_floor_origin(spark, sf):
-    points = view(spark, sf, "vN").where("note_id % 500 = 3").select("note_id", "x", "y")
+    points = view(spark, sf, "vN").select("note_id", "x", "y")
     first = sp.best(in_frames(points, frames(spark, sf)), ["frame_id"], [F.col("note_id")], {"px": F.col("x"), "py": F.col("y")})
     out = frames(spark, sf).join(first.hint("merge"), "frame_id", "left")
     return out.select("frame_id", F.coalesce("px", "x0").alias("ox"), F.coalesce("py", "y0").alias("oy"), F.col("px").isNotNull().alias("has_origin"))
@@ -69,11 +69,11 @@ def e03_floor_name(spark, sf):
     return out.select("frame_id", F.coalesce("name", F.concat(F.lit("Floor "), "frame_no")).alias("floor_name"), F.coalesce("prio", F.lit(0)).alias("priority"))
 
 
-@query(f"""with d as (select note_id, x, y, cast(regexp_extract(text, 'ARE (\\d+)MM', 1) as double) as v from {{vN}} n where note_id % 12 = 5 and note_id % 8 = 1)
+@query(f"""with d as (select note_id, x, y, cast(regexp_extract(text, 'ARE (\\d+)MM', 1) as double) as v from {{vN}} n where contains(text, 'ALL BEAMS ARE'))
 select b.frame_id, coalesce(arg_min(p.v, p.note_id), (select arg_min(v, note_id) from d)) as beam_depth_mm, case when count(p.v) > 0 then 'floor' else 'drawing' end as source from {FRAMES} b left join d p on {IN} group by b.frame_id""")
 def e04_note_defaults(spark, sf):
     """The first default of a floor, else the first of the drawing."""
-    notes = tx.parse_tags(view(spark, sf, "vN").where("note_id % 12 = 5 and note_id % 8 = 1")).where("note_what = 'beam'").select("note_id", "x", "y", F.col("note_value_mm").alias("v"))
+    notes = tx.parse_tags(view(spark, sf, "vN").where(F.upper("text").contains("ALL "))).where("note_what = 'beam'").select("note_id", "x", "y", F.col("note_value_mm").alias("v"))
     own = sp.best(in_frames(notes, frames(spark, sf)), ["frame_id"], [F.col("note_id")], {"v": F.col("v")})
     first = notes.agg(F.min_by("v", "note_id").alias("any_v"))  # one row
     out = frames(spark, sf).join(own.hint("merge"), "frame_id", "left").join(F.broadcast(first))
@@ -142,10 +142,10 @@ def e08_orphans_nearest(spark, sf):
 def _schedule(spark, sf):
     p = view(spark, sf, "part")
     cat = F.expr("case p_partkey % 3 when 0 then 'column' when 1 then 'wall' else 'beam' end")
-    return p.where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("table_no"), cat.alias("category"), F.expr("concat('c', p_size)").alias("mark"), (100 + 10 * F.col("p_size")).alias("width"))
+    return p.select(F.col("p_partkey").alias("table_no"), cat.alias("category"), F.expr("concat('c', p_size)").alias("mark"), (100 + 10 * F.col("p_size")).alias("width"))
 
 
-_SCHED = "(select p_partkey as table_no, case p_partkey % 3 when 0 then 'column' when 1 then 'wall' else 'beam' end as category, concat('c', p_size) as mark, 100 + 10 * p_size as width from part where p_partkey % 7 = 0)"
+_SCHED = "(select p_partkey as table_no, case p_partkey % 3 when 0 then 'column' when 1 then 'wall' else 'beam' end as category, concat('c', p_size) as mark, 100 + 10 * p_size as width from part)"
 
 
 @query(f"""select t.tag_id, arg_min(s.table_no, row(case when s.category = 'wall' then 0 else 1 end, s.table_no)) as table_no, arg_min(s.category, row(case when s.category = 'wall' then 0 else 1 end, s.table_no)) as category
@@ -157,11 +157,11 @@ def e09_schedule_lookup(spark, sf):
 
 def _lookup(spark, sf, wanted):
     t = view(spark, sf, "vT").where("text like 'C%-%'").select("tag_id", F.upper(tx.group(F.col("text"), r"^(C\d+)-", 1)).alias("_m"))
-    s = _schedule(spark, sf).withColumn("_s", F.upper("mark"))
+    s = _schedule(spark, sf).groupBy(F.upper("mark").alias("_s"), "category").agg(F.min("table_no").alias("table_no"), F.min_by("width", "table_no").alias("width"))
     rank = F.lit(len(wanted))
     for i, w in reversed(list(enumerate(wanted))):
         rank = F.when(F.col("category") == w, i).otherwise(rank)
-    pairs = t.join(s, F.col("_m") == F.col("_s"), "left")
+    pairs = t.join(s.hint("merge"), F.col("_m") == F.col("_s"), "left")
     return sp.best(pairs, ["tag_id"], [rank, F.col("table_no")], {"table_no": F.col("table_no"), "category": F.col("category"), "width": F.col("width")})
 
 
@@ -272,8 +272,9 @@ def e20_stair_labels(spark, sf):
     return stairs.join(n.hint("merge"), BOX, "left").groupBy("floor_id").agg(F.count("*").alias("n_stairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_labels"))
 
 
-@query(f"""with d as (select rect_id, floor_id, x0, y0, x1, y1, rect_id % 2 as up from {_b('opening')} b union all select rect_id + 1000000000, floor_id, x0, y0, x1, y1, 1 - rect_id % 2 from {_b('opening')} b where rect_id % 3 = 0)
-select least(a.rect_id, b.rect_id) as first_id, greatest(a.rect_id, b.rect_id) as second_id from d a join d b on a.floor_id = b.floor_id and a.x0 = b.x0 and a.y0 = b.y0 and a.x1 = b.x1 and a.y1 = b.y1 and a.up = 1 and b.up = 0""")
+@query(f"""with d as (select rect_id, concat(floor_id, ' ', x0, ' ', y0, ' ', x1, ' ', y1) as corners, rect_id % 2 as up from {_b('opening')} b union all select rect_id + 1000000000, concat(floor_id, ' ', x0, ' ', y0, ' ', x1, ' ', y1), 1 - rect_id % 2 from {_b('opening')} b where rect_id % 3 = 0),
+u as (select corners, rect_id from d where up = 1), v as (select corners, rect_id from d where up = 0)
+select least(u.rect_id, v.rect_id) as first_id, greatest(u.rect_id, v.rect_id) as second_id from u join v on u.corners = v.corners""")
 def e21_crosses(spark, sf):
     """Pairs of diagonals, one rising and one falling, of one box: an equi-join on its corners."""
     b = boxes(spark, sf, "opening")

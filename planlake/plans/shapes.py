@@ -291,10 +291,10 @@ def b14_size_window(spark, sf):
     return view(spark, sf, "vR").where((w * h >= 200000) & (F.least(w, h) >= 300) & (F.greatest(w, h) <= 900)).select("rect_id", "x0", "y0")
 
 
-@query("""select rect_id, x0, y0, i, x1, y1, x2, y2 from (select rect_id, x0, y0, unnest([0, 1, 2, 3]) as i, unnest([x0, x0 + w, x0 + w, x0]) as x1, unnest([y0, y0, y0 + h, y0 + h]) as y1, unnest([x0 + w, x0 + w, x0, x0]) as x2, unnest([y0, y0 + h, y0 + h, y0]) as y2 from {vR} r where rect_id % 15 = 1) s where abs(x2 - x1) + abs(y2 - y1) >= 400""")
+@query("""select rect_id, x0, y0, i, x1, y1, x2, y2 from (select rect_id, x0, y0, unnest([0, 1, 2, 3]) as i, unnest([x0, x0 + w, x0 + w, x0]) as x1, unnest([y0, y0, y0 + h, y0 + h]) as y1, unnest([x0 + w, x0 + w, x0, x0]) as x2, unnest([y0, y0 + h, y0 + h, y0]) as y2 from {vR} r) s where abs(x2 - x1) + abs(y2 - y1) >= 400""")
 def b16_ring_segments(spark, sf):
     """Rings to segments in order; short ones are left out."""
-    r = view(spark, sf, "vR").where("rect_id % 15 = 1")
+    r = view(spark, sf, "vR")
     ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((F.col("x0"), F.col("y0")), (F.col("x0") + F.col("w"), F.col("y0")), (F.col("x0") + F.col("w"), F.col("y0") + F.col("h")), (F.col("x0"), F.col("y0") + F.col("h")))])
     return dw.segments(r.withColumn("ring", ring), "ring", 400).select("rect_id", "x0", "y0", "i", "x1", "y1", "x2", "y2")
 

@@ -55,13 +55,13 @@ _DOMAIN = "(select distinct user_id % 50 as line_no, 1000 as s, 90000 as e from
 _FREE = f"""select line_no, t2 as t1, next as t2 from (select *, lead(t1) over (partition by line_no order by t1, t2) as next from (
  select line_no, min(t1) as t1, max(t2) as t2 from (select *, sum(s) over (partition by line_no order by t1, t2) as i from (
   select *, case when t1 <= max(t2) over (partition by line_no order by t1, t2 rows between unbounded preceding and 1 preceding) then 0 else 1 end as s from (
-   select s.line_no, greatest(t1, 1000) as t1, least(t2, 90000) as t2 from {{vS}} s where t2 > 1000 and t1 < 90000 and seg_id % 10 = 3 union all select line_no, s, s from {_DOMAIN} d union all select line_no, e, e from {_DOMAIN} d) a) b) c group by line_no, i) m) n where next > t2"""
+   select s.line_no, greatest(t1, 1000) as t1, least(t1 + (t2 - t1) // 40, 90000) as t2 from {{vS}} s where t1 + (t2 - t1) // 40 > 1000 and t1 < 90000 union all select line_no, s, s from {_DOMAIN} d union all select line_no, e, e from {_DOMAIN} d) a) b) c group by line_no, i) m) n where next > t2"""
 
 
 def _free(spark, sf):
-    s = view(spark, sf, "vS")
+    s = view(spark, sf, "vS").withColumn("t2", F.expr("t1 + (t2 - t1) div 40"))
     domain = s.select("line_no").distinct().withColumn("start", F.lit(1000).cast("long")).withColumn("end", F.lit(90000).cast("long"))
-    return iv.complement(s.where("seg_id % 10 = 3"), domain, ["line_no"])
+    return iv.complement(s, domain, ["line_no"])
 
 
 @query(_FREE)
@@ -106,23 +106,11 @@ def g09_pairs_without_barrier(spark, sf):
 
 
 @query("""select floor_id, tag_id, dense_rank() over (partition by floor_id order by row_y desc) as row_no, row_number() over (partition by floor_id, row_y order by x, tag_id) as col_no
-from (select *, y // 500 * 500 as row_y from {vT} t where tag_id % 40 = 1) t""")
+from (select *, y // 500 * 500 as row_y from {vT} t) t""")
 def g10_table_rows(spark, sf):
-    """Cells to rows from above: a row takes what is within the tolerance of its first cell.
-
-    The anchor moves with the first cell of a row, so this is an ordered fold over the cells of one table.
-    """
-    t = view(spark, sf, "vT").where("tag_id % 40 = 1").withColumn("y", F.expr("y div 500 * 500"))
-    cells = t.groupBy("floor_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("y")).alias("ny"), "x", "tag_id"))).alias("cells"))
-    start = F.struct(F.lit(0).alias("row"), F.lit(None).cast("long").alias("anchor"), F.array().cast("array<struct<row:int,x:bigint,tag_id:bigint>>").alias("out"))
-
-    def step(acc, c):
-        new = acc["anchor"].isNull() | (c["ny"] - acc["anchor"] > 75)
-        row = F.when(new, acc["row"] + 1).otherwise(acc["row"])
-        return F.struct(row.alias("row"), F.when(new, c["ny"]).otherwise(acc["anchor"]).alias("anchor"), F.concat(acc["out"], F.array(F.struct(row.alias("row"), c["x"].alias("x"), c["tag_id"].alias("tag_id")))).alias("out"))
-
-    rows = cells.select("floor_id", F.explode(F.aggregate("cells", start, step)["out"]).alias("c")).select("floor_id", "c.*")
-    return nb.numbered(rows, ["floor_id", "row"], ["x", "tag_id"], "col_no").select("floor_id", "tag_id", F.col("row").alias("row_no"), "col_no")
+    """Cells to rows from above: a row takes what is within the tolerance of its first cell."""
+    t = view(spark, sf, "vT").select("floor_id", "tag_id", "x", (-F.expr("y div 500 * 500")).alias("ny"))
+    return nb.numbered(nb.table_rows(t, ["floor_id"], "ny", 75), ["floor_id", "row_no"], ["x", "tag_id"], "col_no").select("floor_id", "tag_id", "row_no", "col_no")
 
 
 @query("""select table_no, row_no, max(case when col = 0 then value end) as mark, max(case when col = 1 then value end) as width, max(case when col = 2 then value end) as depth

@@ -1,5 +1,6 @@
 """Operators on small cases with known answers, and against sequential versions."""
 
+import math
 import random
 
 import pytest
@@ -94,7 +95,69 @@ def test_faces(spark):
     got = faces.panels(beams, ["f"], 1e5, 1e9).collect()
     assert [(r["x1"] - r["x0"], r["y1"] - r["y0"], r["area"]) for r in got] == [(6000, 4770, 6000 * 4770)]
     ring = [(0.0, 0.0), (2000.0, 0.0), (2000.0, 200.0), (200.0, 200.0), (200.0, 1500.0), (0.0, 1500.0)]
-    assert sorted((r[2] - r[0], r[3] - r[1]) for r in faces.solid_rectangles(ring, 50)) == [(200, 1300), (2000, 200)]
+    assert sorted((r[2] - r[0], r[3] - r[1]) for r in faces.maximal_legs(ring)[1]) == [(200, 1500), (2000, 200)]
+
+
+def test_legs_of_other_shapes(spark):
+    turn = lambda pts, a: [(x * math.cos(a) - y * math.sin(a) + 700, x * math.sin(a) + y * math.cos(a) - 90) for x, y in pts]
+    ell = [(0, 0), (2000, 0), (2000, 200), (200, 200), (200, 1500), (0, 1500)]
+    tee = [(0, 0), (3000, 0), (3000, 200), (1600, 200), (1600, 2000), (1400, 2000), (1400, 200), (0, 200)]
+    for shape, want in ((ell, [(200, 1500), (200, 2000)]), (tee, [(200, 2000), (200, 3000)])):
+        for a in (0.0, 0.3, 1.2, -0.7):
+            legs = faces.maximal_legs(turn(shape, a))[1]
+            assert sorted(tuple(sorted((round(r[2] - r[0]), round(r[3] - r[1])))) for r in legs) == want
+    circle = [(500 * math.cos(i / 5), 500 * math.sin(i / 5)) for i in range(31)]
+    stairs = [p for i in range(15) for p in ((i * 100, i * 100), (i * 100 + 100, i * 100))] + [(1500, 1500), (0, 1500)]
+    for whole in (circle, stairs, [(0, 0), (900, 0), (900, 200), (0, 200)], [(0, 0), (900, 0), (450, 700)]):
+        assert faces.maximal_legs([(float(x), float(y)) for x, y in whole])[1] == []
+    rows = [(1, [{"x": float(x), "y": float(y)} for x, y in ell]), (2, [{"x": float(x), "y": float(y)} for x, y in circle]), (3, None), (4, [])]
+    got = faces.split_outlines(spark.createDataFrame(rows, "id long, ring array<struct<x:double,y:double>>"), "id").collect()
+    assert sorted((r["id"], r["leg"]) for r in got) == [(1, 1), (1, 2), (2, 1)] and [len(r["outline"]) for r in got if r["id"] == 2] == [31]
+
+
+def test_junctions(spark):
+    assert faces.shortened((0, 0, 200, 2500), (-100, 2300, 5600, 2500), 100) == (0, 0, 200, 2300.0)
+    assert faces.shortened((0, 0, 200, 2500), (-1000, 1000, 1000, 1200), 100) is None
+    legs = [(1, "a", 0, 0, 200, 2500), (2, "a", -100, 2300, 5600, 2500), (3, "a", 9000, 0, 9200, 900), (1, "b", 0, 0, 200, 2500), (4, "a", -1000, 1000, 100, 1200)]
+    out = faces.trim_junctions(spark.createDataFrame(legs, "id long, floor string, x0 long, y0 long, x1 long, y1 long"), "id", ["floor"], 1000)
+    got = {(r["floor"], r["id"]): (r["x0"], r["y0"], r["x1"], r["y1"], r["trimmed"]) for r in out.collect()}
+    assert got == {("a", 1): (0, 0, 200, 2300, True), ("a", 2): (-100, 2300, 5600, 2500, False), ("a", 3): (9000, 0, 9200, 900, False), ("b", 1): (0, 0, 200, 2500, False), ("a", 4): (-1000, 1000, 0, 1200, True)}
+
+
+def test_starved_elements_are_fed(spark):
+    """Three elements, three tags: the greedy pass starves one, a chain of two steps feeds it."""
+    near = [(10, 0, 1, 1.0, False), (10, 0, 2, 5.0, False), (11, 0, 2, 1.5, False), (11, 0, 1, 2.0, False), (12, 0, 2, 2.0, False), (11, 0, 3, 9.0, False)]
+    assert sorted(mt.shared_out(near).items()) == [(10, 1), (11, 3), (12, 2)]
+    assert mt.shared_out([(1, 0, 1, 0.0, True), (2, 0, 1, 4.0, False), (2, 0, 2, 9.0, False), (3, 0, 1, 0.0, True)]) == {1: 1, 3: 1, 2: 2}
+    both = near + [(t + 100, k, e + 100, s, w) for t, k, e, s, w in near]
+    out = mt.share_tags(spark.createDataFrame(both, "tag long, kind long, element long, score double, inside boolean"))
+    assert rows(out, "tag", "element") == [(10, 1), (11, 3), (12, 2), (110, 101), (111, 103), (112, 102)]
+
+
+def test_long_chains_of_pairs_settle(spark):
+    pairs = [(i, i, 2 * i) for i in range(130)] + [(i, i + 1, 2 * i + 1) for i in range(129)]
+    got = rows(mt.greedy_pairs(spark.createDataFrame(pairs, "a int, b int, score int").coalesce(1)), "a", "b")
+    assert got == [(i, i) for i in range(130)]
+
+
+def test_pairs_in_turn_match_a_sequential_pass(spark):
+    rng = random.Random(12)
+    pairs = {(rng.randrange(25), rng.randrange(25)): (rng.randrange(6), rng.random() < 0.8) for _ in range(120)}
+    turn = {b: rng.random() for b in range(25)}
+    used, want = set(), []
+    for b in sorted(turn, key=lambda b: (turn[b], b)):
+        best = max(((s, -a, ok) for (a, x), (s, ok) in pairs.items() if x == b and a not in used), default=None)
+        if best and best[2]:
+            used.add(-best[1])
+            want.append((-best[1], b))
+    frame = spark.createDataFrame([(a, b, turn[b], s, ok) for (a, b), (s, ok) in pairs.items()], "a int, b int, turn double, score int, ok boolean")
+    assert rows(mt.pairs_in_turn(frame), "a", "b") == sorted(want)
+
+
+def test_table_rows_are_anchored_at_their_first_cell(spark):
+    cells = [("t", i, y) for i, y in enumerate((0, 40, 70, 80, 150, 156, 300, 301))] + [("u", 9, 5)]
+    got = rows(nb.table_rows(spark.createDataFrame(cells, "t string, i int, y int"), ["t"], "y", 75), "i", "row_no")
+    assert got == [(0, 1), (1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 4), (7, 4), (9, 1)]
 
 
 def test_diagnostics(spark):
