@@ -1,158 +1,134 @@
 """Adaptive context-mixing range coder for token ids.
 
 A block is coded on its own: its models start empty, and a checksum of its ids is kept with it. Four
-predictions of the next id are mixed. Order 0 is a distribution over all ids: an id goes as four digits
-of base 16, each with counts in the context of the digits before it. Order 1 names the two ids that last
-followed the id before, order 2 the one that last followed the two ids before. The mixture
+predictions of the next id are mixed. Order 0 is a distribution over all ids: what the block held so far,
+counted anew after growing stretches, and a prior that falls with the id, since vocabularies are in order
+of frequency. Order 1 names the two ids that last followed the id before, order 2 the one that last
+followed the two ids before. The mixture
 
     p(id) = w0 * p0(id) + w1 * [id = first] + w2 * [id = second] + w3 * [id = third]
 
-is coded digit by digit, its weights turning to their posterior after each. They start from values that
-depend on how often the order-1 and order-2 predictions held before, and are learnt while coding: each
-moves towards its prediction's share in the probability of the id that came (online expectation
-maximisation). All goes through one 64-bit range coder with carries and 32-bit output words.
+drives a 64-bit range coder with carries and 16-bit output words. Its weights depend on how often the
+order-1 and order-2 predictions held before, and are learnt while coding: each moves towards its
+prediction's share in the probability of the id that came (online expectation maximisation).
 
 Many blocks are coded side by side, one numpy lane each; a lane's output does not depend on the others.
-Only exact sums of counts and element-wise IEEE operations on 32-bit floats precede the integer
-frequencies, so every machine computes the same ones.
+Only element-wise IEEE operations on 32-bit floats precede the integer frequencies, so every machine
+computes the same ones.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 
-MAGIC = b"PLB2"
-BLOCK = 16384
-BITS = 16
-#: Contexts of the order-1 and order-2 tables of a block.
-ONE, TWO = 4096, 16384
-_HEAD = struct.Struct("<4sIII")  # magic, ids, coded bytes, crc32 of the ids
+MAGIC = b"PLB3"
+BLOCK = 32768
+#: Bits of the order-0 frequencies and of the mixture's. A mixture gives the three named ids at most 15 of 16 parts.
+BITS0, BITS = 22, 26
+#: Contexts of the order-1 and order-2 tables of a block; stretches of the order-0 frequencies that a search starts from.
+ONE, TWO, STEPS = 4096, 16384, 4096
+_HEAD = struct.Struct("<4sIIII")  # magic, ids, coded bytes, crc32 of the ids, ids that order 0 knows (256 each)
 _U = np.uint64
-_FULL, _WORD, _32 = _U(0xFFFFFFFFFFFFFFFF), _U(1 << 32), _U(32)
-#: Order-0 rows: one for the first digit, then one for every value of the digits before.
-_NODES = 1 + 16 + 256 + 4096
-_FIRST = (0, 1, 17, 273)
-#: Counts of a row are halved when their sum gets here.
-_MOST = 8000
-#: What every digit counts for before it is seen, by the place of the digit.
-_UNSEEN = tuple(np.float32(x) for x in (1 / 16, 1 / 16, 1 / 32, 1 / 32))
-_RATE, _LEAST = np.float32(0.02), np.float32(1e-9)
-_SCALE = np.float32((1 << BITS) - 16)
-#: Counts times this are running sums.
-_SUMS = np.triu(np.ones((16, 16), np.float32))
-_ALL, _SHIFTS = np.arange(16)[:, None], np.array([12, 8, 4, 0])[:, None]
+_LOW, _16 = _U(1 << 48), _U(16)
+_NAMED, _RATE = np.float32(15 / 16 * (1 << BITS)), np.float32(0.02)
+#: The prior counts for so many ids, and falls like 1 / (id + _FLAT).
+_PRIOR, _FLAT = 300, 100
+
+
+def _recounts(n: int) -> list[int]:
+    """Places in a block where order 0 is counted anew."""
+    out, at = [0], 64
+    while at < n:
+        out.append(at)
+        at = min(at * 5 // 4, at + 2048)
+    return out
 
 
 class _Lanes:
     """Models of the lanes, all at the same id. Table entries are an id and, in the two low bits, how often it held."""
 
-    def __init__(self, n: int):
-        self.counts, self.total = np.zeros((n * _NODES, 16), np.uint16), np.zeros(n * _NODES, np.uint16)
+    def __init__(self, n: int, known: int):
+        self.known, self.wide = known, known + 1
+        prior = np.float32(1) / (np.arange(known, dtype=np.float32) + np.float32(_FLAT))
+        self.prior = prior / np.float32(prior.astype(np.float64).sum().round(4))
+        self.counts, self.cum = np.zeros((n, known), np.uint16), np.zeros((n, self.wide), np.int32)
+        self.steps = np.zeros((n, STEPS + 1), np.int32)
         self.weight = np.full((3, n * 16), 0.05, np.float32)
         self.one, self.older, self.two = np.zeros(n * ONE, np.int32), np.zeros(n * ONE, np.int32), np.zeros(n * TWO, np.int32)
         self.a, self.b = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
         lane = np.arange(n)
-        self.lane = np.arange(4 * n)
-        self.node0, self.one0, self.two0, self.sixteen = lane * _NODES, lane * ONE, lane * TWO, lane * 16
+        self.base, self.one0, self.two0, self.sixteen, self.step0 = lane * self.wide, lane * ONE, lane * TWO, lane * 16, lane * (STEPS + 1)
+
+    def recount(self, m: int, ids: np.ndarray, before: int, search: bool) -> None:
+        """Order 0 of the first m lanes with the ids (rows of lanes) since the last time; before: ids seen until now."""
+        scale = np.float32(((1 << BITS0) - self.known - 64) / (before + _PRIOR))
+        prior = self.prior * (scale * np.float32(_PRIOR))
+        f, one = np.empty(self.known, np.float32), np.arange(1, self.wide, dtype=np.int32)
+        for i in range(m):
+            if len(ids):
+                np.add.at(self.counts[i], ids[:, i], np.uint16(1))
+            np.multiply(self.counts[i], scale, out=f)
+            np.add(f, prior, out=f)
+            np.cumsum(f.astype(np.int32), out=self.cum[i, 1:])
+            self.cum[i, 1:] += one
+            self.cum[i, -1] = 1 << BITS0
+            if search:
+                self.steps[i] = np.searchsorted(self.cum[i], _EDGES, "right") - 1
 
     def begin(self, m: int) -> None:
-        """Predictions of the first m lanes and their weights for the next id."""
+        """Predictions of the first m lanes and their masses for the next id."""
         b = self.b[:m] * np.uint32(0x9E3779B1)
         self.i1 = self.one0[:m] + (b >> np.uint32(20))
         self.i2 = self.two0[:m] + (((self.a[:m] * np.uint32(0x85EBCA6B)) ^ b) * np.uint32(0xC2B2AE35) >> np.uint32(18))
         self.e1, self.e2 = self.one.take(self.i1), self.two.take(self.i2)
-        self.guess = np.stack((self.e2 >> 2, self.e1 >> 2, self.older.take(self.i1)))
+        self.named = np.minimum(np.stack((self.e2 >> 2, self.e1 >> 2, self.older.take(self.i1))), self.known - 1)
         self.which = self.sixteen[:m] + ((self.e2 & 3) << 2 | (self.e1 & 3))
-        self.start = self.now = self.weight.take(self.which, 1)
-        self.rest = np.float32(1) - self.now[0] - self.now[1] - self.now[2]
-        self.prefix = np.zeros(m, np.int64)
-        self.place = 0
-
-    def _upto(self, sums: np.ndarray, d: np.ndarray) -> np.ndarray:
-        """Frequencies (of 1 << BITS) of all digits up to d, given the counts of those."""
-        p = (d + 1).astype(np.float32) * self.unseen
-        p = p + sums
-        p *= self.share
-        for k, u in zip(self.digits, self.now):
-            p += u * (k <= d)
-        p *= _SCALE
-        return p.astype(np.int32) + (d + 1)
-
-    def _weigh(self, digit: np.ndarray, had: np.ndarray) -> None:
-        """Turn the masses of the predictions to what they are after a digit that its row had so often."""
-        p0 = (had + self.unseen) * self.share
-        hit = self.now * (self.digits == digit)
-        p = np.maximum(p0 + hit[0] + hit[1] + hit[2], _LEAST)
-        self.now = hit / p
-        self.rest = p0 / p
+        self.start = self.weight.take(self.which, 1)
+        self.mass = (self.start * _NAMED).astype(np.int64)
+        self.rest = (1 << BITS) - self.mass[0] - self.mass[1] - self.mass[2]
 
-    def _count(self, at: np.ndarray, digit: np.ndarray, n: np.ndarray, had: np.ndarray) -> None:
-        """Count digits of different rows."""
-        self.counts.reshape(-1)[at * 16 + digit] = had + np.uint16(1)
-        n = n + np.uint16(1)
-        self.total[at] = n
-        if int(n.max(initial=0)) >= _MOST:
-            rows = at[n >= _MOST]
-            half = self.counts[rows] >> 1
-            self.counts[rows] = half
-            self.total[rows] = half.sum(1)
+    def bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and frequency of ids."""
+        at = self.base[: len(x)] + x
+        low, high = (self.cum.reshape(-1).take(np.stack((at, at + 1))) * self.rest) >> BITS0
+        under, same = self.mass * (self.named < x), self.mass * (self.named == x)
+        self.same = same
+        self.freq = high - low + same[0] + same[1] + same[2]
+        return (low + under[0] + under[1] + under[2]).astype(np.uint64), self.freq.astype(np.uint64)
 
-    def bounds(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Start and frequency of each of the ids' digits. Their rows differ, so all four are looked up at once."""
-        digits = (x >> _SHIFTS) & 15
-        at = self.node0[: len(x)] + ((x >> (_SHIFTS + 4)) + np.array(_FIRST)[:, None])
-        n, cell = self.total.take(at), at * 16 + digits
-        had = self.counts.reshape(-1).take(cell)
-        sums = (self.counts.take(at.reshape(-1), 0).astype(np.float32) @ _SUMS).reshape(-1)
-        d = np.stack((digits - 1, digits), 1)
-        upto = sums.take((self.lane[: 4 * len(x)] * 16).reshape(4, 1, -1) + np.maximum(d, 0)) * (d >= 0)
-        guess = (self.guess >> _SHIFTS[:, None]) & 15
-        for place in range(4):
-            self.unseen, self.digits = _UNSEEN[place], guess[place]
-            self.share = self.rest / (n[place] + self.unseen * np.float32(16))
-            edge = self._upto(upto[place], d[place])
-            edge[1][digits[place] == 15] = 1 << BITS
-            edge = edge.astype(np.uint64)
-            yield edge[0], edge[1] - edge[0]
-            self._weigh(digits[place], had[place])
-        self._count(at.reshape(-1), digits.reshape(-1), n.reshape(-1), had.reshape(-1))
-        self.prefix = x
+    def find(self, q: np.ndarray) -> np.ndarray:
+        """The ids whose frequencies hold q."""
+        m, cum, n, mass = len(q), self.cum.reshape(-1), self.named, self.mass
+        at = self.base[:m] + n
+        low, high = (cum.take(np.stack((at, at + 1))) * self.rest) >> BITS0
+        under, same = ((f(n[:, None], n[None]) * mass[:, None]).sum(0) for f in (np.less, np.equal))
+        low += under
+        high += under + same
+        past = mass * (high <= q)
+        goal = ((((q - past[0] - past[1] - past[2]) + 1) << BITS0) - 1) // self.rest
+        goal = np.minimum(goal, (1 << BITS0) - 1)
+        step = self.step0[:m] + (goal >> (BITS0 - STEPS.bit_length() + 1))
+        lo, hi = self.steps.reshape(-1).take(np.stack((step, step + 1))).astype(np.int64)
+        hi += 1
+        live = np.flatnonzero(hi - lo > 1)
+        while len(live):
+            mid = (lo[live] + hi[live]) >> 1
+            right = cum.take(self.base[live] + mid) <= goal[live]
+            lo[live] = np.where(right, mid, lo[live])
+            hi[live] = np.where(right, hi[live], mid)
+            live = live[(hi - lo)[live] > 1]
+        inside = (low <= q) & (q < high)
+        return np.where(inside[0], n[0], np.where(inside[1], n[1], np.where(inside[2], n[2], lo)))
 
-    def expect(self) -> None:
-        """Prepare the next digit, which is to be found: running sums of its row's counts, and the digits of the predicted ids."""
-        self.at = self.node0[: len(self.prefix)] + (self.prefix + _FIRST[self.place])
-        self.seen, self.unseen = self.total.take(self.at), _UNSEEN[self.place]
-        self.share = self.rest / (self.seen + self.unseen * np.float32(16))
-        self.sums = self.counts.take(self.at, 0).astype(np.float32) @ _SUMS
-        self.digits = (self.guess >> (12 - 4 * self.place)) & 15
-
-    def search(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The digit whose frequencies hold q, and its start and frequency."""
-        edges = self._upto(np.ascontiguousarray(self.sums.T), _ALL)
-        edges[15] = 1 << BITS
-        digit = (edges <= q).sum(0)
-        flat, m = edges.reshape(-1), len(q)
-        at = digit * m + self.lane[:m]
-        start = flat.take(np.maximum(at - m, 0)) * (digit > 0)
-        return digit, start.astype(np.uint64), (flat.take(at) - start).astype(np.uint64)
-
-    def learn(self, digit: np.ndarray) -> None:
-        """Take in the digit that was found."""
-        had = self.counts.reshape(-1).take(self.at * 16 + digit)
-        self._weigh(digit, had)
-        self._count(self.at, digit, self.seen, had)
-        self.prefix = self.prefix << 4 | digit
-        self.place += 1
-
-    def end(self) -> None:
-        """Take in the id that the digits make; the masses are now the shares that the predictions had in it."""
-        m, x = len(self.prefix), self.prefix.astype(np.int32)
-        self.weight[:, self.which] = self.start + (self.now - self.start) * _RATE
-        g2, g1, g0 = self.guess
+    def learn(self, x: np.ndarray) -> None:
+        """Take in the ids that came, after bounds()."""
+        m, x = len(x), x.astype(np.int32)
+        share = self.same.astype(np.float32) / self.freq.astype(np.float32)
+        self.weight[:, self.which] = self.start + (share - self.start) * _RATE
+        g2, g1, g0 = self.named
         e1, e2 = self.e1, self.e2
         # a right prediction gains, one that held before loses its standing, any other is replaced
         self.two[self.i2] = np.where(g2 == x, np.minimum(e2 + 1, e2 | 3), np.where((e2 & 3) > 1, e2 & ~3, x << 2))
@@ -163,57 +139,68 @@ class _Lanes:
         self.b[:m] = x
 
 
+_EDGES = np.arange(STEPS + 1) << (BITS0 - STEPS.bit_length() + 1)
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Coded form, with header, of every block of ids below 65536."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     out: list[bytes] = [b""] * len(blocks)
+    limit = [-(-(int(b.max(initial=0)) + 1) // 8192) * 32 for b in blocks]  # few different ones, so that blocks go together
+    if max(limit, default=0) > 256:
+        raise ValueError("ids must be below 65536")
+    for known in sorted(set(limit)):
+        at = [i for i, k in enumerate(limit) if k == known]
+        for i, coded in zip(at, _encode([blocks[i] for i in at], known)):
+            out[i] = coded
+    return out
+
+
+def _encode(blocks: list[np.ndarray], known: int) -> list[bytes]:
+    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     n = len(order)
-    if not n:
-        return out
     sizes = np.array([len(blocks[i]) for i in order])
     ids = np.zeros((int(sizes[0]), n), np.int32)
     for r, i in enumerate(order):
-        if len(blocks[i]) and int(blocks[i].max()) >= 1 << 16:
-            raise ValueError("ids must be below 65536")
         ids[: sizes[r], r] = blocks[i]
-    words, filled = np.zeros((n, int(sizes[0]) // 2 + 4096), np.uint32), np.zeros(n, np.int64)
-    low, span = np.zeros(n, np.uint64), np.full(n, _FULL)
-    lanes, lane = _Lanes(n), np.arange(n)
-
-    def put(m: int, start: np.ndarray, freq: np.ndarray) -> None:
-        """Narrow the first m lanes to start, freq of 1 << BITS."""
-        r = span[:m] >> _U(BITS)
-        step = r * start
-        now, size = low[:m] + step, r * freq
-        for i in np.flatnonzero(now < step):  # a carry; it rarely runs on
-            k = filled[i] - 1
-            while words[i, k] == 0xFFFFFFFF:
-                words[i, k] = 0
-                k -= 1
-            words[i, k] += np.uint32(1)
-        which = np.flatnonzero(size < _WORD)
-        if len(which):
-            words[which, filled[which]] = now[which] >> _32
-            filled[which] += 1
-            now[which] <<= _32
-            size[which] <<= _32
-        low[:m], span[:m] = now, size
-
-    for t in range(ids.shape[0]):
-        if t % 1024 == 0 and int(filled.max()) + 4096 > words.shape[1]:
+    words, filled = np.zeros((n, int(sizes[0]) + 4096), np.uint16), np.zeros(n, np.int64)
+    low, span = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    lanes, lane = _Lanes(n, known * 256), np.arange(n)
+    recounts = [*_recounts(len(ids)), len(ids)]
+    for last, at, to in zip([0, *recounts], recounts, recounts[1:]):
+        if int(filled.max()) + 2 * (to - at) + 8 > words.shape[1]:
             words = np.pad(words, ((0, 0), (0, words.shape[1])))
-        m = int(np.searchsorted(-sizes, -t, "left"))  # lanes with more than t ids
-        x = ids[t, :m].astype(np.int64)
-        lanes.begin(m)
-        for start, freq in lanes.bounds(x):
-            put(m, start, freq)
-        lanes.end()
-    for half in (32, 0):
-        words[lane, filled] = (low >> _U(half)).astype(np.uint32)
+        m = int(np.searchsorted(-sizes, -at, "left"))  # lanes with more than so many ids
+        lanes.recount(m, ids[last:at, :m], at, False)
+        for t in range(at, to):
+            m = int(np.searchsorted(-sizes, -t, "left"))
+            x = ids[t, :m].astype(np.int64)
+            lanes.begin(m)
+            start, freq = lanes.bounds(x)
+            lanes.learn(x)
+            r = span[:m] >> _U(BITS)
+            step = r * start
+            now, size = low[:m] + step, r * freq
+            for i in np.flatnonzero(now < step):  # a carry; it rarely runs on
+                k = filled[i] - 1
+                while words[i, k] == 0xFFFF:
+                    words[i, k] = 0
+                    k -= 1
+                words[i, k] += 1
+            which = np.flatnonzero(size < _LOW)
+            while len(which):
+                words[which, filled[which]] = now[which] >> _U(48)
+                filled[which] += 1
+                now[which] <<= _16
+                size[which] <<= _16
+                which = which[size[which] < _LOW]
+            low[:m], span[:m] = now, size
+    for half in (48, 32, 16, 0):
+        words[lane, filled] = (low >> _U(half)).astype(np.uint16)
         filled += 1
+    out: list[bytes] = [b""] * n
     for r, i in enumerate(order):
-        body = words[r, : filled[r]].astype("<u4").tobytes() if sizes[r] else b""
-        out[i] = _HEAD.pack(MAGIC, int(sizes[r]), len(body), zlib.crc32(np.asarray(blocks[i]).astype("<u4").tobytes())) + body
+        body = words[r, : filled[r]].astype("<u2").tobytes() if sizes[r] else b""
+        out[i] = _HEAD.pack(MAGIC, int(sizes[r]), len(body), zlib.crc32(np.asarray(blocks[i]).astype("<u4").tobytes()), known) + body
     return out
 
 
@@ -221,45 +208,58 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
     """The blocks' ids; raises ValueError where the header, the length or the checksum is wrong."""
     heads = []
     for c in coded:
-        head = _HEAD.unpack_from(c) if len(c) >= _HEAD.size else (b"", 0, 0, 0)
-        if head[0] != MAGIC or head[2] != len(c) - _HEAD.size or head[2] % 4:
+        head = _HEAD.unpack_from(c) if len(c) >= _HEAD.size else (b"", 0, 0, 0, 0)
+        if head[0] != MAGIC or head[2] != len(c) - _HEAD.size or head[2] % 2 or not 1 <= head[4] <= 256:
             raise ValueError("not a coded block")
         heads.append(head)
-    order = sorted(range(len(coded)), key=lambda i: -heads[i][1])
+    out: list[np.ndarray] = [np.empty(0, np.int32)] * len(coded)
+    for known in sorted({h[4] for h in heads}):
+        at = [i for i, h in enumerate(heads) if h[4] == known]
+        for i, ids in zip(at, _decode([coded[i] for i in at], [heads[i][1] for i in at], known)):
+            out[i] = ids
+    for ids, head in zip(out, heads):
+        if zlib.crc32(ids.astype("<u4").tobytes()) != head[3]:
+            raise ValueError("a block's checksum is wrong")
+    return out
+
+
+def _decode(coded: list[bytes], sizes: list[int], known: int) -> list[np.ndarray]:
+    order = sorted(range(len(coded)), key=lambda i: -sizes[i])
     n = len(order)
-    if not n:
-        return []
-    sizes = np.array([heads[i][1] for i in order])
-    longest = max(h[2] // 4 for h in heads) + 3
-    words = np.zeros((n, longest), np.uint32)
+    sizes = np.array([sizes[i] for i in order])
+    longest = max(map(len, coded)) // 2 + 6
+    words = np.zeros((n, longest), np.uint16)
     for r, i in enumerate(order):
-        w = np.frombuffer(coded[i], "<u4", offset=_HEAD.size)
+        w = np.frombuffer(coded[i], "<u2", offset=_HEAD.size)
         words[r, : len(w)] = w
-    taken = np.full(n, 2, np.int64)
-    value = words[:, 0].astype(np.uint64) << _32 | words[:, 1]
-    span = np.full(n, _FULL)
-    lanes, lane = _Lanes(n), np.arange(n)
+    taken = np.full(n, 4, np.int64)
+    value = np.zeros(n, np.uint64)
+    for i in range(4):
+        value = value << _16 | words[:, i]
+    span = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    lanes = _Lanes(n, known * 256)
     ids = np.zeros((int(sizes[0]), n), np.int32)
-    for t in range(ids.shape[0]):
-        m = int(np.searchsorted(-sizes, -t, "left"))
-        lanes.begin(m)
-        for _ in range(4):
-            lanes.expect()
+    recounts = [*_recounts(len(ids)), len(ids)]
+    for last, at, to in zip([0, *recounts], recounts, recounts[1:]):
+        m = int(np.searchsorted(-sizes, -at, "left"))
+        lanes.recount(m, ids[last:at, :m], at, True)
+        for t in range(at, to):
+            m = int(np.searchsorted(-sizes, -t, "left"))
+            lanes.begin(m)
             r = span[:m] >> _U(BITS)
-            digit, start, freq = lanes.search(np.minimum(value[:m] // r, _U((1 << BITS) - 1)).astype(np.int32))
-            lanes.learn(digit)
+            x = lanes.find(np.minimum(value[:m] // r, _U((1 << BITS) - 1)).astype(np.int64))
+            start, freq = lanes.bounds(x)
+            lanes.learn(x)
             v, size = value[:m] - r * start, r * freq
-            more = np.flatnonzero(size < _WORD)
-            if len(more):
-                v[more] = v[more] << _32 | words[more, np.minimum(taken[more], longest - 1)]
-                size[more] <<= _32
-                taken[more] += 1
+            which = np.flatnonzero(size < _LOW)
+            while len(which):
+                v[which] = v[which] << _16 | words[which, np.minimum(taken[which], longest - 1)]
+                size[which] <<= _16
+                taken[which] += 1
+                which = which[size[which] < _LOW]
             value[:m], span[:m] = v, size
-        ids[t, :m] = lanes.prefix
-        lanes.end()
+            ids[t, :m] = x
     out: list[np.ndarray] = [np.empty(0, np.int32)] * n
     for r, i in enumerate(order):
         out[i] = np.ascontiguousarray(ids[: sizes[r], r])
-        if zlib.crc32(out[i].astype("<u4").tobytes()) != heads[i][3]:
-            raise ValueError("a block's checksum is wrong")
     return out

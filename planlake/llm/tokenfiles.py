@@ -30,7 +30,7 @@ from ._io import written
 
 SEGMENT = 1 << 20
 #: Segments whose blocks are coded side by side, and blocks that it takes to do so well.
-TOGETHER, LANES = 10, 384
+TOGETHER, LANES = 10, 256
 #: Bytes of text that one task encodes.
 PART_BYTES = 24 << 20
 END = 2
@@ -311,7 +311,9 @@ def read_ids(files: DataFrame) -> DataFrame:
                 cols = [pa.array(np.full(n, b.column(i)[row].as_py(), np.int32)) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(names, b.schema.field("doc_ids").type.value_type), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes), pa.array(crc, pa.int64())], ["part", "segment", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
-    read = files.mapInArrow(run, f"part int, segment int, doc_id {kind}, inside long, n_tokens long, ids_crc32 long")
+    # as many tasks as wrote the files, so that each has many blocks to decode side by side
+    whole = files.coalesce(max(1, parts.count()))
+    read = whole.mapInArrow(run, f"part int, segment int, doc_id {kind}, inside long, n_tokens long, ids_crc32 long")
     return read.join(starts.hint("merge"), ["part", "segment"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -25,7 +25,7 @@ def test_coder_round_trip():
     coded = coder.encode_blocks(blocks)
     assert all(np.array_equal(a, b) for a, b in zip(blocks, coder.decode_blocks(coded)))
     assert coder.encode_blocks([blocks[4]])[0] == coded[4]  # blocks do not depend on each other
-    assert len(coded[5]) < 300 and len(coded[3]) < 2 * 500 * 1.2 + 64
+    assert len(coded[5]) < 400 and len(coded[3]) < 2 * 500 * 1.2 + 64
     for bad in (coded[4][:-4], b"x" + coded[4][1:], coded[4][:40] + bytes([coded[4][40] ^ 1]) + coded[4][41:]):
         with pytest.raises(ValueError):
             coder.decode_blocks([bad])
@@ -33,6 +33,16 @@ def test_coder_round_trip():
         coder.encode_blocks([np.array([65536])])
 
 
+def test_certain_ids_round_trip():
+    """Predictions that always hold take all of the weight."""
+    rng = np.random.default_rng(4)
+    once = rng.integers(0, 60000, 40)
+    blocks = [np.tile(once, 150), np.full(6000, 7), np.concatenate([np.full(4000, 3), rng.integers(0, 65536, 300), np.tile([1, 2], 2000)])] + [np.tile(rng.integers(0, 3000, k), 9000 // k) for k in range(1, 60)]
+    coded = coder.encode_blocks(blocks)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, coder.decode_blocks(coded)))
+    assert len(coded[0]) < 900 and len(coded[1]) < 200
+
+
 def test_pieces_give_the_library_s_ids():
     texts = ["", " ", "a  b\n\n c", "It's we'll I'D 12three ½ €5", "x<|endoftext|>y", "日本 mixed é\u0301", "tab\tand\u00a0nbsp \u2003", "Ünïcödé ŝ ɏ ɐ", "\r\n\x0b\x0c\x85 .", "  lead  ", "'s't're", "a" * 3000, "²³¼ªº", "ǅ ƻ ǀ ʹ", "\x00\x1f\x7f\xad"]
     encoder, t = tokenfiles.Encoder(PATH), Tokenizer.from_file(PATH)
@@ -69,6 +79,7 @@ def test_coded_ids_beat_order_0_and_zlib(sf, spark):
     texts = [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
     ids = np.concatenate([np.array([*e.ids, 2]) for e in t.encode_batch(texts, add_special_tokens=False)])
     blocks = [ids[i : i + coder.BLOCK] for i in range(0, len(ids) - coder.BLOCK + 1, coder.BLOCK)]
+    assert len(blocks) > 3
     n = sum(map(len, blocks))
     p = np.bincount(ids) / len(ids)
     entropy = -(p[p > 0] * np.log2(p[p > 0])).sum()
