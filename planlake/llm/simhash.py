@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from ._io import free, written
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_PAIRS = 1 << 21
+#: Pairs that are verified at a time; entries that one task makes.
+_PAIRS, _ENTRIES = 1 << 19, 1 << 20
 
 
 def fingerprint(text: bytes, words: int = 4, seed: int = 42, parts: int = 1) -> list[int]:
@@ -150,7 +151,8 @@ def link_fingerprints(fps: DataFrame, max_bits: int = 4, segments: int = 2, chun
             flips = [0, *((1 << j) - (1 << 64 if j == 63 else 0) for j in range(hi - lo))]
             top = F.lit((w * segments + s) << 40 if hi - lo <= 40 else 0)
             buckets.append(F.array(*[top + key.bitwiseXOR(F.lit(x).cast("long")) for x in flips]))
-    entries = fps.select(*names, F.explode(F.concat(*buckets)).alias("bucket"))
+    tasks = -(-fps.count() * len(names) * (64 + segments) // _ENTRIES)
+    entries = fps.repartition(max(1, tasks), *names).select(*names, F.explode(F.concat(*buckets)).alias("bucket"))
     hot = written(entries.groupBy("bucket").count().where(F.col("count") > chunk).select("bucket", F.ceil(F.col("count") / chunk).cast("long").alias("chunks")), "hot-buckets")
     if hot.df.isEmpty():
         dealt = entries.withColumn("chunk", F.lit(0).cast("long")).withColumn("home", F.lit(True)).repartition("bucket")
