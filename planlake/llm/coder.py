@@ -13,8 +13,8 @@ order-1 and order-2 predictions held before, and are learnt while coding: each m
 prediction's share in the probability of the id that came (online expectation maximisation).
 
 Many blocks are coded side by side, one numpy lane each; a lane's output does not depend on the others.
-Only element-wise IEEE operations on 32-bit floats precede the integer frequencies, so every machine
-computes the same ones.
+Only element-wise IEEE operations on 32-bit floats (weights, the prior) precede the integer frequencies, so
+every machine computes the same ones.
 """
 
 from __future__ import annotations
@@ -24,18 +24,18 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"PLB3"
+MAGIC = b"PLB4"
 BLOCK = 32768
-#: Bits of the order-0 frequencies and of the mixture's. A mixture gives the three named ids at most 15 of 16 parts.
-BITS0, BITS = 22, 26
+#: Bits that order-0 frequencies stay below, and of the mixture's. A mixture gives the three named ids at most 15 of 16 parts.
+BITS0, BITS = 26, 30
 #: Contexts of the order-1 and order-2 tables of a block; stretches of the order-0 frequencies that a search starts from.
-ONE, TWO, STEPS = 4096, 16384, 4096
+ONE, TWO, STEPS = 4096, 16384, 1024
 _HEAD = struct.Struct("<4sIIII")  # magic, ids, coded bytes, crc32 of the ids, ids that order 0 knows (256 each)
 _U = np.uint64
 _LOW, _16 = _U(1 << 48), _U(16)
 _NAMED, _RATE = np.float32(15 / 16 * (1 << BITS)), np.float32(0.02)
-#: The prior counts for so many ids, and falls like 1 / (id + _FLAT).
-_PRIOR, _FLAT = 300, 100
+#: Frequency of an id that came once. The prior counts for _PRIOR ids, and falls like 1 / (id + _FLAT).
+_ONCE, _PRIOR, _FLAT = 1024, 300, 100
 
 
 def _recounts(n: int) -> list[int]:
@@ -43,7 +43,7 @@ def _recounts(n: int) -> list[int]:
     out, at = [0], 64
     while at < n:
         out.append(at)
-        at = min(at * 5 // 4, at + 2048)
+        at = min(at * 5 // 4, at + 1024)
     return out
 
 
@@ -53,8 +53,9 @@ class _Lanes:
     def __init__(self, n: int, known: int):
         self.known, self.wide = known, known + 1
         prior = np.float32(1) / (np.arange(known, dtype=np.float32) + np.float32(_FLAT))
-        self.prior = prior / np.float32(prior.astype(np.float64).sum().round(4))
-        self.counts, self.cum = np.zeros((n, known), np.uint16), np.zeros((n, self.wide), np.int32)
+        prior = (prior * np.float32(_ONCE * _PRIOR * 0.14)).astype(np.int32) + 1  # 1 / 0.14 is about the sum of the falling shares
+        self.cum = np.tile(np.concatenate([np.zeros(1, np.int32), np.cumsum(prior, dtype=np.int32)]), (n, 1))
+        self.total = self.less = int(self.cum[0, -1])
         self.steps = np.zeros((n, STEPS + 1), np.int32)
         self.weight = np.full((3, n * 16), 0.05, np.float32)
         self.one, self.older, self.two = np.zeros(n * ONE, np.int32), np.zeros(n * ONE, np.int32), np.zeros(n * TWO, np.int32)
@@ -64,19 +65,16 @@ class _Lanes:
 
     def recount(self, m: int, ids: np.ndarray, before: int, search: bool) -> None:
         """Order 0 of the first m lanes with the ids (rows of lanes) since the last time; before: ids seen until now."""
-        scale = np.float32(((1 << BITS0) - self.known - 64) / (before + _PRIOR))
-        prior = self.prior * (scale * np.float32(_PRIOR))
-        f, one = np.empty(self.known, np.float32), np.arange(1, self.wide, dtype=np.int32)
+        self.total = self.less + _ONCE * before
+        edges = (np.arange(STEPS + 1) * self.total) // STEPS
         for i in range(m):
+            cum = self.cum[i]
             if len(ids):
-                np.add.at(self.counts[i], ids[:, i], np.uint16(1))
-            np.multiply(self.counts[i], scale, out=f)
-            np.add(f, prior, out=f)
-            np.cumsum(f.astype(np.int32), out=self.cum[i, 1:])
-            self.cum[i, 1:] += one
-            self.cum[i, -1] = 1 << BITS0
+                came = np.sort(ids[:, i])
+                # so many of them are below each id
+                cum += np.repeat(np.arange(0, _ONCE * (len(came) + 1), _ONCE, dtype=np.int32), np.diff(came, prepend=-1, append=self.known))
             if search:
-                self.steps[i] = np.searchsorted(self.cum[i], _EDGES, "right") - 1
+                self.steps[i] = np.searchsorted(cum, edges, "right") - 1
 
     def begin(self, m: int) -> None:
         """Predictions of the first m lanes and their masses for the next id."""
@@ -88,7 +86,7 @@ class _Lanes:
         self.which = self.sixteen[:m] + ((self.e2 & 3) << 2 | (self.e1 & 3))
         self.start = self.weight.take(self.which, 1)
         self.mass = (self.start * _NAMED).astype(np.int64)
-        self.rest = (1 << BITS) - self.mass[0] - self.mass[1] - self.mass[2]
+        self.rest = (((1 << BITS) - self.mass[0] - self.mass[1] - self.mass[2]) << BITS0) // self.total
 
     def bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and frequency of ids."""
@@ -109,8 +107,8 @@ class _Lanes:
         high += under + same
         past = mass * (high <= q)
         goal = ((((q - past[0] - past[1] - past[2]) + 1) << BITS0) - 1) // self.rest
-        goal = np.minimum(goal, (1 << BITS0) - 1)
-        step = self.step0[:m] + (goal >> (BITS0 - STEPS.bit_length() + 1))
+        goal = np.minimum(goal, self.total - 1)
+        step = self.step0[:m] + np.minimum(goal * STEPS // self.total, STEPS - 1)
         lo, hi = self.steps.reshape(-1).take(np.stack((step, step + 1))).astype(np.int64)
         hi += 1
         live = np.flatnonzero(hi - lo > 1)
@@ -139,9 +137,6 @@ class _Lanes:
         self.b[:m] = x
 
 
-_EDGES = np.arange(STEPS + 1) << (BITS0 - STEPS.bit_length() + 1)
-
-
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Coded form, with header, of every block of ids below 65536."""
     out: list[bytes] = [b""] * len(blocks)
