@@ -3,8 +3,11 @@
 All rolling word pairs of every text meet the word pairs of the license templates in an equi-join on
 their hash (the pair itself confirms). A hit votes for the diagonal text position minus template
 position. Votes are summed by diagonal; diagonals of one template that are at most SLACK apart merge
-into one region. A region of one diagonal that holds every pair of its template is the template word
-for word; others are scored by the share of the template's pairs that they hold.
+into one region. A region of a base phrase is one diagonal that holds every pair of it: the phrase word
+for word. Other regions are aligned first: the diagonal with most votes is the region's line, and only
+votes within SLACK of it count, so hits far away that a chain of diagonals joined to it neither add to a
+region nor spoil its extent. The span is then verified: different places of the template (not votes, which
+common pairs repeat) must be LEAST of all, within the words that the template's length and SLACK allow.
 """
 
 from __future__ import annotations
@@ -30,6 +33,12 @@ TEMPLATES = [
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", False),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", False),
     ("mit-notice", "released under the mit license", False),
+    ("mit-notice-text", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", False),
+    ("mit-text", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", False),
+    ("bsd-text", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", False),
+    ("isc-text", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", False),
+    ("lgpl-header", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", False),
+    ("unlicense", "this is free and unencumbered software released into the public domain", False),
 ]
 
 
@@ -62,17 +71,19 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     hits = rows.withColumn("_h", F.xxhash64("_pair")).join(F.broadcast(known.withColumn("_h", F.xxhash64("pair"))), "_h").where(F.col("_pair") == F.col("pair"))
     votes = hits.groupBy("_row", "template", (F.col("_at") - 1 - F.col("place")).alias("diagonal")).agg(
         F.first("doc_id").alias("doc_id"), F.max("_n").alias("_n"), F.first("label").alias("label"), F.first("base").alias("base"), F.max("n_pairs").alias("n_pairs"),
-        F.count("*").alias("votes"), F.min("place").alias("from"), F.max("place").alias("to"),
+        F.count("*").alias("votes"), F.collect_set("place").alias("places"), F.min("place").alias("from"), F.max("place").alias("to"),
     )
     line = W.partitionBy("_row", "template").orderBy("diagonal")
     slack = F.when(F.col("base"), 0).otherwise(SLACK)
     votes = votes.withColumn("_new", F.when(F.col("diagonal") - F.lag("diagonal").over(line) <= slack, 0).otherwise(1)).withColumn("_region", F.sum("_new").over(line))
+    main = F.max(F.struct("votes", (-F.col("diagonal")).alias("d"))).over(W.partitionBy("_row", "template", "_region"))
+    votes = votes.withColumn("_line", -main["d"]).where(F.abs(F.col("diagonal") - F.col("_line")) <= SLACK)
     regions = votes.groupBy("_row", "template", "_region").agg(
         F.first("doc_id").alias("doc_id"), F.max("_n").alias("_n"), F.first("label").alias("label"), F.first("base").alias("base"), F.max("n_pairs").alias("n_pairs"),
-        F.least(F.sum("votes"), F.max("n_pairs")).alias("votes"), F.min(F.col("diagonal") + F.col("from")).alias("start"), F.max(F.col("diagonal") + F.col("to") + 2).alias("end"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"), F.min(F.col("diagonal") + F.col("from")).alias("start"), F.max(F.col("diagonal") + F.col("to") + 2).alias("end"),
     )
     share = F.try_divide("votes", "n_pairs")
-    ok = F.when(F.col("base"), F.col("votes") == F.col("n_pairs")).otherwise((share >= LEAST) & (F.col("end") - F.col("start") <= 2 * (F.col("n_pairs") + 1)))
+    ok = F.when(F.col("base"), F.col("votes") == F.col("n_pairs")).otherwise((share >= LEAST) & (F.col("end") - F.col("start") <= F.col("n_pairs") + 1 + 2 * SLACK))
     regions = regions.withColumn("_ok", F.coalesce((F.col("template") >= 0) & ok, F.lit(False))).withColumn("score", F.when(F.col("_ok"), share).otherwise(0.0))
     base = F.col("_ok") & F.col("base")
     span = F.struct("label", "base", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "score")
