@@ -67,6 +67,14 @@ class Rounds:
                 self.drop(t)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back, for as long as the session."""
+    r = Rounds(df.sparkSession)
+    out = r.settled(df)
+    r.close(out)
+    return out
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -290,3 +298,16 @@ def best_then_test(pairs: DataFrame, by: str, order: str, ok) -> DataFrame:
     """The best pair of each by (highest order, then least other), and only then the test: a worse pair never stands in."""
     w = W.partitionBy(by).orderBy(F.col(order).desc(), "other")
     return pairs.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k").where(ok)
+
+
+def snapped_points(points: DataFrame, on: list[str], tolerance: float) -> DataFrame:
+    """points (id, on, x, y) with sx, sy: the mean of all points of on that steps of at most tolerance connect with them. ids are unique longs."""
+    from . import spatial
+
+    near = points.select(F.col("id").alias("other"), *on, *[F.col(c).alias(f"{c}{n}") for c in "xy" for n in (0, 1)])
+    d2 = spatial.box_distance(*map(F.col, ("x", "y", "x0", "y0", "x1", "y1")))
+    pairs = spatial.points_in_boxes(points, near, on, 4 * tolerance, tolerance, (d2 <= tolerance * tolerance) & (F.col("id") < F.col("other")))
+    g = groups(pairs.select(F.col("id").alias("a"), F.col("other").alias("b")))
+    named = points.join(g.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mean = named.groupBy("root").agg(F.avg("x").alias("sx"), F.avg("y").alias("sy"))
+    return named.join(mean.hint("merge"), "root").drop("root")

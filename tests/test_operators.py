@@ -166,3 +166,9 @@ def test_diagnostics(spark):
     assert f.count() == 3 and dg.unknown(f).isEmpty() and not dg.verdict(f).first()["ok"]
     with pytest.raises(KeyError):
         dg.finding(df, F.col("id") > 6, "WARNING", "NO_SUCH_CODE", F.col("id"))
+
+
+def test_ends_snap_along_chains(spark):
+    points = spark.createDataFrame([(1, "a", 0.0, 0.0), (2, "a", 3.0, 4.0), (3, "a", 6.0, 8.0), (4, "a", 50.0, 0.0), (5, "b", 0.0, 0.0)], "id long, k string, x double, y double")
+    got = rows(mt.snapped_points(points, ["k"], 5), "id", "sx", "sy")
+    assert got == [(1, 3, 4), (2, 3, 4), (3, 3, 4), (4, 50, 0), (5, 0, 0)]
