@@ -87,12 +87,12 @@ def settle(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[n
     return p, open_
 
 
-def spread(rows: DataFrame, times: str, nth: str) -> DataFrame:
-    """rows, each as often as its column times says (at least once), numbered nth from 0; large numbers are dealt over tasks."""
+def spread(rows: DataFrame, times: str, nth: str, most: int) -> DataFrame:
+    """rows, each as often as its column times says (at least once, most times at most), numbered nth from 0; large numbers are dealt over tasks."""
     part = free("part", rows.columns)
     last = F.col(times) - 1
     parts = rows.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / SPREAD))))
-    if not rows.where(F.col(times) > SPREAD).isEmpty():
+    if most > SPREAD:
         parts = parts.repartition(F.xxhash64(*parts.columns))
     from_ = F.col(part) * SPREAD
     return parts.withColumn(nth, F.explode(F.sequence(from_, F.least(last, from_ + SPREAD - 1)))).drop(part)
@@ -131,7 +131,7 @@ def _settled(docs: DataFrame, weights: Sequence[float], share: float, most: floa
     found = aim.agg(F.count("*"), F.max("n"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()
     small = found[0] * 64 + found[2] <= BROADCAST_BYTES
     aim = F.broadcast(aim) if small else aim.hint("merge")
-    rows = spread(known, "rows", "nth").join(aim.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = spread(known, "rows", "nth", known.agg(F.max("rows")).first()[0] or 0).join(aim.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     rows = rows.withColumn("whole", F.floor(rate).cast("int")).withColumn("p", F.when(F.col("size") > 0, rate - F.col("whole")).otherwise(0.0))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "h", "nth"), F.ceil(F.col("n") / LEAF)).cast("long")).withColumn("open", F.col("p") > 0)
@@ -171,6 +171,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     """
     plan = _settled(docs, weights, share, most, seed).groupBy("doc_id", "source", "size", "h").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     plan = written(plan.where("copies > 0 and size > 0"), "copies").leave()
+    most_copies = plan.agg(F.max("copies")).first()[0] or 0
     names = {c: free(f"mix_{c}", docs.columns) for c in (*plan.columns, "nth", "row")}
     plan = plan.select([F.col(c).alias(names[c]) for c in plan.columns])
     same = F.col("doc_id").eqNullSafe(F.col(names["doc_id"])) & F.col("source").cast("string").eqNullSafe(F.col(names["source"])) & (F.xxhash64(F.col("text").cast("string")) == F.col(names["h"]))
@@ -180,4 +181,4 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share
         row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
         one = docs.join(several.hint("merge"), same).groupBy(*[names[c] for c in ("doc_id", "source", "size", "h", "copies")]).agg(F.min_by(row, F.to_json(row)).alias(names["row"]))
         rows = rows.unionByName(one.select(f"{names['row']}.*", names["copies"]))
-    return spread(rows, names["copies"], names["nth"]).select(docs.columns)
+    return spread(rows, names["copies"], names["nth"], most_copies).select(docs.columns)
