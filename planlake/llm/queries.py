@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path
 
-from . import chat, decontaminate, langid, licenses, mixing, repeats, simhash, tokenfiles, topk, urlfilter
+from . import chat, decontaminate, langid, lexical, licenses, merkle, mixing, repeats, sharding, simhash, tokenfiles, topk, urlfilter
 from ._io import table
 
 
@@ -60,13 +60,26 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
+def op11_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_chat_windows, op3_source_mix, op4_url_filter, op5_repeated_spans,
     op6_license_scan, op7_simhash_groups, op8_exact_top5, op9_benchmark_leaks, op10_token_ids,
+    op11_feistel_shards, op12_lexical_top10, op13_merkle_manifest,
 )}
 
 SQL = {
-    "op4_url_filter": urlfilter.ORACLE_SQL,
+    "op4_url_filter": urlfilter.ORACLE_SQL, "op11_feistel_shards": sharding.oracle_sql(), "op12_lexical_top10": lexical.ORACLE_SQL, "op13_merkle_manifest": merkle.oracle_sql(),
     "op8_exact_top5": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
