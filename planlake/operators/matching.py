@@ -12,6 +12,8 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -138,37 +140,146 @@ def _in_order(left: DataFrame, r: Rounds) -> tuple[DataFrame, DataFrame]:
     return small, large
 
 
-def ordered_keep(rows: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """id, kept of a pass over rows (id) in ascending id that keeps a row unless an earlier kept one conflicts with it.
+#: Pairs of a block: what one task of an ordered pass goes through at a time.
+BLOCK = 200_000
 
-    conflicts: pairs (early, late), early < late.
+
+def _blocked(rows: DataFrame, on: list[str], order: list[str], r: Rounds, size: int) -> DataFrame:
+    """rows with _block: 0 in groups of on of at most size rows; larger groups are cut into ranges of order of about size rows, numbered in that order.
+
+    Rows alike in order stay together.
     """
-    r = Rounds(rows.sparkSession)
-    live, c, out = r.settled(rows.select("id").distinct()), r.settled(conflicts.select("early", "late").distinct()), []
-    while not live.isEmpty():
-        blocked = c.select(F.col("late").alias("id")).distinct()
-        free = live.join(blocked.hint("merge"), "id", "left_anti").withColumn("kept", F.lit(True))
-        free = r.settled(free)
-        lost = c.join(free.select(F.col("id").alias("early")).hint("merge"), "early", "left_semi").select(F.col("late").alias("id")).distinct().withColumn("kept", F.lit(False))
-        lost = r.settled(lost)
-        out += [free, lost]
-        gone = free.unionByName(lost).select("id")
-        rest = r.settled(live.join(gone.hint("merge"), "id", "left_anti"))
-        open_ = c.join(gone.select(F.col("id").alias("early")).hint("merge"), "early", "left_anti").join(gone.select(F.col("id").alias("late")).hint("merge"), "late", "left_anti")
-        open_ = r.settled(open_.select("early", "late"))
-        r.drop(live, c)
-        live, c = rest, open_
-    if not out:
-        r.close(live)
-        return live.withColumn("kept", F.lit(True))
+    n = rows.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > size)
+    large = n.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    if not large:
+        return r.settled(rows.withColumn("_block", F.lit(0)))
+    cut = lambda t: t.repartitionByRange(-(-large // size), *on, *order).withColumn("_block", F.spark_partition_id())
+    if not on:
+        return r.settled(cut(rows))
+    n = n.select(*on).hint("merge")
+    return r.settled(cut(rows.join(n, on, "left_semi")).unionByName(rows.join(n, on, "left_anti").withColumn("_block", F.lit(0))))
+
+
+def settled_in_order(pairs: DataFrame, known: DataFrame, on: list[str], order: list[str], decide: Callable[[pa.Table], Iterable[tuple]], state: dict[str, str], size: int = BLOCK) -> DataFrame:
+    """late and its state for every late of pairs, each decided from what was decided of its earlies before it.
+
+    pairs: late, early and what else decide needs; known: early and the state of those that are no late.
+    No pair reaches from one group of on into another. Groups, or blocks of about size pairs of larger ones (ranges
+    of order, whose columns must say which late a row is of), go through their lates one by one. decide gets a block with the state of the earlies that are known by now and
+    yields late and state of those it can tell; a late that hangs on an early of another block waits for the
+    next round. So rounds grow with the number of blocks that a chain of dependence passes through, not
+    with the chain, and no task holds more than a block.
+    """
+    r = Rounds(pairs.sparkSession)
+    names = list(state)
+    left = _blocked(pairs, on, order, r, size)
+    kind = pairs.schema["late"].dataType.simpleString()
+    shape = ", ".join([f"late {kind}", *(f"{n} {state[n]}" for n in names)])
+    left_of = lambda t, seen: t.join(seen.withColumnsRenamed({n: f"_new_{n}" for n in names}).hint("merge"), "early", "left")
+    now = r.settled(left_of(left, known).withColumnsRenamed({f"_new_{n}": n for n in names}))
+    r.drop(left)
+
+    def run(t: pa.Table) -> pa.Table:
+        out = list(decide(t))
+        cols = list(zip(*out)) if out else [()] * (1 + len(names))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, [t.schema.field("late"), *(t.schema.field(n) for n in names)])], names=["late", *names])
+
+    out = []
+    while not now.isEmpty():
+        new = r.settled(now.groupBy(*on, "_block").applyInArrow(run, shape))
+        out.append(new)
+        rest = now.join(new.select("late").hint("merge"), "late", "left_anti")
+        rest = left_of(rest, new.withColumnRenamed("late", "early"))
+        nxt = r.settled(rest.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in names else c for c in now.columns]))
+        r.drop(now)
+        now = nxt
+    out = out or [now.select("late", *names)]
     r.close(*out)
     return _union(out)
 
 
-def groups(edges: DataFrame) -> DataFrame:
-    """node, root: the least node that edges (a, b) connect each node with. Labels spread and jump until a round changes none, so rounds grow with the logarithm of a path's length."""
+def ordered_keep(rows: DataFrame, conflicts: DataFrame, size: int = BLOCK) -> DataFrame:
+    """id, kept of a pass over rows (id) in ascending id that keeps a row unless an earlier kept one conflicts with it.
+
+    conflicts: pairs (early, late), early < late.
+    """
+    rows, c = kept(rows.select("id").distinct()), kept(conflicts.select("early", "late").distinct())
+    late = c.select(F.col("late").alias("id")).distinct()
+    free = rows.join(late.hint("merge"), "id", "left_anti").withColumn("kept", F.lit(True))
+
+    def decide(t: pa.Table) -> Iterator[tuple]:
+        by: dict = {}
+        for late, early, state in zip(t["late"].to_pylist(), t["early"].to_pylist(), t["kept"].to_pylist()):
+            by.setdefault(late, []).append((early, state))
+        known: dict = {}
+        for late in sorted(by):
+            states = [known.get(e) if s is None else s for e, s in by[late]]
+            if True in states:
+                known[late] = False
+            elif None not in states:
+                known[late] = True
+        yield from known.items()
+
+    done = settled_in_order(c, free.withColumnRenamed("id", "early"), [], ["late"], decide, {"kept": "boolean"}, size)
+    return free.unionByName(rows.join(done.withColumnRenamed("late", "id").hint("merge"), "id"))
+
+
+#: Edges whose groups one task finds by itself.
+LOCAL = 2_000_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """node and least node of the groups that the edges of some batches make."""
+    root: dict = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for b in batches:
+        for a, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            a, z = (tuple(x.items()) if isinstance(x, dict) else x for x in (a, z))
+            low, high = find(root.setdefault(a, a)), find(root.setdefault(z, z))
+            if low != high:
+                low, high = (low, high) if _order(low) < _order(high) else (high, low)
+                root[high] = low
+    return ((x, find(x)) for x in root)
+
+
+def _order(node):
+    return tuple(v for _, v in node) if isinstance(node, tuple) else node
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first = next(batches, None)
+    if first is None:
+        return
+    kind = first.schema.field(0).type
+    plain = lambda x: dict(x) if isinstance(x, tuple) else x
+    rows = list(_forest(b for part in ([first], batches) for b in part))
+    for at in range(0, len(rows), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array([plain(r[k]) for r in rows[at : at + 50_000]], kind) for k in (0, 1)], ["node", "root"])
+
+
+def groups(edges: DataFrame, local: int = LOCAL) -> DataFrame:
+    """node, root: the least node that edges (a, b) connect each node with.
+
+    Up to local edges are one task's. More are first contracted to forests part by part; then labels spread
+    and jump until a round changes none, so rounds grow with the logarithm of a path's length.
+    """
     r = Rounds(edges.sparkSession)
-    both = r.settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    edges = r.settled(edges.select("a", "b").distinct())
+    kind = edges.schema["a"].dataType.simpleString()
+    shape = f"node {kind}, root {kind}"
+    few = edges.count() <= local
+    forest = r.settled((edges.coalesce(1) if few else edges).mapInArrow(_contracted, shape))
+    if few:
+        r.close(forest)
+        return forest
+    edges = forest.withColumnsRenamed({"node": "a", "root": "b"})
+    both = r.settled(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = r.settled(both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "root").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("r"))
@@ -183,21 +294,51 @@ def groups(edges: DataFrame) -> DataFrame:
             return label
 
 
-def pairs_in_turn(pairs: DataFrame) -> DataFrame:
+def pairs_in_turn(pairs: DataFrame, on: list[str] = [], size: int = BLOCK) -> DataFrame:  # noqa: B006
     """a, b, score of what a pass over b in the order of turn takes: each b its best a (highest score, then least a) that is still free.
 
     pairs: a, b, turn, score, ok. The best pair is taken only if it is ok; if it is not, b goes without
-    and a stays free. A b is settled when no earlier one wants the same a any more.
+    and a stays free. on: what a and b of a pair have in common, so that groups of it do not matter to each other.
+    Groups larger than size pairs are cut into ranges of turn of about that size. A block goes through its b in order; a b
+    whose best a may still go to an earlier one of another block, or to one that waits itself, waits for the
+    next round. As blocks follow the order, only earlier blocks can make one wait.
     """
     r = Rounds(pairs.sparkSession)
-    left, out = r.settled(pairs.select("a", "b", "turn", "score", "ok")), []
+    left, out = _blocked(pairs.select(*on, "a", "b", "turn", "score", "ok"), on, ["turn", "b"], r, size), []
+    kinds = {c: left.schema[c].dataType.simpleString() for c in ("a", "b", "score")}
+
+    def run(t: pa.Table) -> pa.Table:
+        by: dict = {}
+        for row in zip(*(t[c].to_pylist() for c in ("b", "a", "score", "ok", "_early", "_place"))):
+            by.setdefault((row[5], row[0]), []).append((-row[2], row[1], row[3], row[4]))
+        used, unsure, rows = set(), set(), []
+        for (_, b), wanted in sorted(by.items()):
+            for score, a, ok, early in sorted(wanted):
+                if a in used:
+                    continue
+                if early or a in unsure:
+                    unsure.update(w[1] for w in wanted)
+                else:
+                    rows.append((a, b, -score, ok))
+                    if ok:
+                        used.add(a)
+                break
+            else:
+                rows.append((None, b, None, False))
+        cols = list(zip(*rows)) if rows else [()] * 4
+        return pa.Table.from_arrays([pa.array(c, t.schema.field(n).type) for c, n in zip(cols, ("a", "b", "score", "ok"))], names=["a", "b", "score", "ok"])
+
+    place = W.partitionBy(*on, "_block").orderBy("turn", "b")
+    first = True
     while not left.isEmpty():
-        first = left.groupBy("a").agg(F.min(F.struct("turn", "b")).alias("first"))
-        best = left.groupBy("b").agg(F.max(F.struct("score", (-F.col("a")).alias("_a"), "a", "turn", "ok")).alias("m")).select("b", "m.*")
-        sure = r.settled(best.join(first.hint("merge"), "a").where(F.col("first") == F.struct("turn", "b")).select("a", "b", "score", "ok"))
+        earliest = left.groupBy("a").agg(F.min("_block").alias("_first"))
+        ready = left.join(earliest.hint("merge"), "a").withColumn("_early", F.col("_first") < F.col("_block")).drop("_first")
+        if first:
+            ready, first = ready.withColumn("_place", F.dense_rank().over(place)).drop("turn"), False
+        sure = r.settled(ready.groupBy(*on, "_block").applyInArrow(run, f"a {kinds['a']}, b {kinds['b']}, score {kinds['score']}, ok boolean"))
         out.append(sure)
-        rest = left.join(sure.select("b").hint("merge"), "b", "left_anti").join(sure.where("ok").select("a").hint("merge"), "a", "left_anti")
-        rest = r.settled(rest.select("a", "b", "turn", "score", "ok"))
+        rest = ready.join(sure.select("b").hint("merge"), "b", "left_anti").join(sure.where("ok").select("a").hint("merge"), "a", "left_anti")
+        rest = r.settled(rest.drop("_early"))
         r.drop(left)
         left = rest
     if not out:
@@ -212,7 +353,7 @@ def shared_out(tags: list[tuple[int, int, int, float, bool]], longest: int = 6)
 
     A tag inside an element is that element's (of the least score, which orders those). The others take, by
     (score, tag, element), an element that has none of their kind; those left take their best. Then each
-    element that has candidates of a kind and none of it looks for one along a chain of at most longest
+    element that has candidates of a kind and none of it looks for one along a shortest chain of at most longest
     further elements, each of which gives a tag up for another; tags inside an element never move. At last
     an element with several of a kind gives those up that a neighbour without one can take.
     """
@@ -237,34 +378,52 @@ def shared_out(tags: list[tuple[int, int, int, float, bool]], longest: int = 6)
             if tag not in owner and (crowded or not holds.get((element, kind[tag]))):
                 give(tag, element)
     wanted: dict[tuple[int, int], list[int]] = {}
+    choices: dict[int, list[int]] = {}
     for _, tag, element in free:
         wanted.setdefault((element, kind[tag]), []).append(tag)
-
-    def feed(slot: tuple[int, int], seen: set[int], left: int) -> bool:
-        for tag in wanted.get(slot, ()):
-            if left < 0:
-                return False
-            if tag in seen:
-                continue
-            seen.add(tag)
-            now = (owner[tag], slot[1])
-            if len(holds[now]) > 1 or (now != slot and feed(now, seen, left - 1)):
-                give(tag, slot[0])
-                return True
-        return False
+        choices.setdefault(tag, []).append(element)
 
     for slot in sorted(wanted):
         if not holds.get(slot):
-            feed(slot, set(), longest)
+            for tag, to in _chain(slot, wanted, owner, holds, longest):
+                give(tag, to)
     for slot in sorted(holds):
         for tag in sorted(holds[slot]):
             if len(holds[slot]) > 1 and tag not in inside:
-                other = next((e for _, t, e in free if t == tag and e != slot[0] and not holds.get((e, slot[1]))), None)
+                other = next((e for e in choices[tag] if e != slot[0] and not holds.get((e, slot[1]))), None)
                 if other is not None:
                     give(tag, other)
     return owner
 
 
+def _chain(start: tuple[int, int], wanted: dict, owner: dict, holds: dict, longest: int) -> list[tuple[int, int]]:
+    """Moves (tag, element) along a shortest chain that gives start a tag: the last element of it has one to spare. Empty if none has.
+
+    A breadth-first search over (element, kind) slots; of chains alike in length the one whose tags come first in
+    the orders of the slots wins.
+    """
+    came: dict[tuple[int, int], tuple[tuple[int, int], int]] = {}
+    steps = {start: 0}
+    queue = deque([start])
+    while queue:
+        slot = queue.popleft()
+        for tag in wanted.get(slot, ()):
+            giver = (owner[tag], slot[1])
+            if giver in steps:
+                continue
+            steps[giver] = steps[slot] + 1
+            came[giver] = (slot, tag)
+            if len(holds[giver]) > 1:
+                moves = []
+                while giver != start:
+                    giver, tag = came[giver]
+                    moves.append((tag, giver[0]))
+                return moves[::-1]
+            if steps[giver] <= longest:
+                queue.append(giver)
+    return []
+
+
 def share_tags(pairs: DataFrame, longest: int = 6) -> DataFrame:
     """tag, element of candidate pairs (tag, kind, element, score, inside), shared out so that few elements go without (see shared_out).
 
@@ -294,12 +453,6 @@ def chain_floors(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     return e.join(g.hint("merge"), F.col("_key") == F.col("node"), "left").select("id", "floor_no", F.coalesce(F.col("root.id"), F.col("id")).alias("stack"))
 
 
-def best_then_test(pairs: DataFrame, by: str, order: str, ok) -> DataFrame:
-    """The best pair of each by (highest order, then least other), and only then the test: a worse pair never stands in."""
-    w = W.partitionBy(by).orderBy(F.col(order).desc(), "other")
-    return pairs.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k").where(ok)
-
-
 def snapped_points(points: DataFrame, on: list[str], tolerance: float) -> DataFrame:
     """points (id, on, x, y) with sx, sy: the mean of all points of on that steps of at most tolerance connect with them. ids are unique longs."""
     from . import spatial

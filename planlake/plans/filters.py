@@ -86,7 +86,7 @@ def b18_drawable(spark, sf):
     return view(spark, sf, "orders").select("o_orderkey", sel.drawable(category, kind, outline, F.nullif(F.col("o_custkey") % 2, F.lit(0)), F.col("o_orderstatus") != "F").alias("drawable"))
 
 
-@query("select rect_id, x0, y0, case when rect_id % 4 in (0, 1, 2) or w % 7 <= 4 then 'high' else 'medium' end as confidence from {vR} r where rect_id % 4 < 4")
+@query("select rect_id, x0, y0, case when rect_id % 4 in (0, 1, 2) or w % 7 <= 4 then 'high' else 'medium' end as confidence from {vR} r")
 def b22_confidence(spark, sf):
     """Confidence by what an element was drawn as: shapes, or lines paired of few parts."""
     kind = F.get(F.array(*map(F.lit, ("polyline", "circle", "hatch", "paired_lines"))), (F.col("rect_id") % 4).cast("int"))
@@ -117,7 +117,7 @@ _SECTION = "cast(regexp_extract(mark, '(\\d+)X(\\d+)$', {0}) as bigint)"
 
 
 @query(f"""with m as {_MARKED}, d as {_REDRAWN}, p as (select m.id, m.floor_id, m.mark as was, d.mark as now from m join d on m.id = d.id and m.floor_id = d.floor_id),
-s as (select *, least(w, d) as lo, greatest(w, d) as hi, {_SECTION.format(1)} as a, {_SECTION.format(2)} as b, trim(regexp_extract(mark, '^(C\d+)', 1)) as base from d where mark <> ''),
+s as (select *, least(w, d) as lo, greatest(w, d) as hi, {_SECTION.format(1)} as a, {_SECTION.format(2)} as b, trim(regexp_extract(mark, '^(C\\d+)', 1)) as base from d where mark <> ''),
 q as (select *, lag(lo) over (partition by floor_id, base order by id) as plo, lag(hi) over (partition by floor_id, base order by id) as phi from s)
 select 'RT_FLOOR_MISSING' as code, floor_id, null as element_id from m group by floor_id having floor_id not in (select floor_id from d)
 union all select 'RT_COUNT', coalesce(a.floor_id, b.floor_id), null from (select floor_id, count(*) as n from m group by 1) a full join (select floor_id, count(*) as n from d group by 1) b on a.floor_id = b.floor_id where coalesce(a.n, 0) <> coalesce(b.n, 0)

@@ -55,8 +55,8 @@ def j04_stacks(spark, sf):
     side = lambda lo, hi: F.greatest(F.least(f"{hi}", f"b_{hi}") - F.greatest(f"{lo}", f"b_{lo}"), F.lit(0))
     over = side("x0", "x1") * side("y0", "y1")
     score = F.round(over / (sp.area() + sp.area("b_") - over) + (1 - F.least(d, F.lit(tol)) / tol) * 0.5, 6)
-    p = p.where((d <= tol) | (over > 0)).select(F.col("id").alias("a"), F.col("b_id").alias("b"), F.struct("b_cx", "b_cy").alias("turn"), score.alias("score"), ((score >= least) | (d <= tol)).alias("ok"))
-    taken = mt.pairs_in_turn(p.where("score > 0")).select(F.col("a").alias("low"), F.col("b").alias("high"))
+    p = p.where((d <= tol) | (over > 0)).select("up", F.col("id").alias("a"), F.col("b_id").alias("b"), F.struct("b_cx", "b_cy").alias("turn"), score.alias("score"), ((score >= least) | (d <= tol)).alias("ok"))
+    taken = mt.pairs_in_turn(p.where("score > 0"), ["up"]).select(F.col("a").alias("low"), F.col("b").alias("high"))
     out = mt.chain_floors(taken, r.select("id", "floor_no")).join(r.select("id", "floor_no", "cx", "cy").hint("merge"), ["id", "floor_no"])
     foot = r.select(F.col("id").alias("stack"), F.col("cx").alias("fx"), F.col("cy").alias("fy"))
     out = out.join(foot.hint("merge"), "stack").withColumn("jump", F.hypot(F.col("cx") - F.col("fx"), F.col("cy") - F.col("fy")) > tol / 2)

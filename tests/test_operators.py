@@ -172,3 +172,31 @@ def test_ends_snap_along_chains(spark):
     points = spark.createDataFrame([(1, "a", 0.0, 0.0), (2, "a", 3.0, 4.0), (3, "a", 6.0, 8.0), (4, "a", 50.0, 0.0), (5, "b", 0.0, 0.0)], "id long, k string, x double, y double")
     got = rows(mt.snapped_points(points, ["k"], 5), "id", "sx", "sy")
     assert got == [(1, 3, 4), (2, 3, 4), (3, 3, 4), (4, 50, 0), (5, 0, 0)]
+
+
+def test_blocks_of_ordered_passes_are_bounded_and_do_not_matter(spark, monkeypatch):
+    """Passes cut into small blocks give what one block gives, and no task gets a larger one."""
+    rng = random.Random(4)
+    boxes = [(i, rng.randrange(2), x := rng.randrange(3000), y := rng.randrange(3000), x + rng.randrange(120, 700), y + rng.randrange(120, 300)) for i in range(220)]
+    frame = spark.createDataFrame(boxes, "id long, f int, x0 long, y0 long, x1 long, y1 long")
+    cols = ("f", "id", "x0", "y0", "x1", "y1", "trimmed")
+    seen, real = [], mt._blocked
+    monkeypatch.setattr(mt, "_blocked", lambda *a: seen.append(real(*a)) or seen[-1])
+    monkeypatch.setattr(mt.Rounds, "drop", lambda *a: None)
+    assert rows(faces.trim_junctions(frame, "id", ["f"], 500, size=60), *cols) == rows(faces.trim_junctions(frame, "id", ["f"], 500), *cols)
+    small, whole = ({(r["f"], r["_block"]): r["n"] for r in t.groupBy("f", "_block").agg(F.count("*").alias("n")).collect()} for t in seen)
+    assert len(whole) == 2 and len(small) > 6 and max(small.values()) <= 3 * 60
+    clash = sorted({tuple(sorted(rng.sample(range(90), 2))) for _ in range(400)})
+    c = spark.createDataFrame(clash, "early long, late long")
+    assert rows(mt.ordered_keep(spark.range(90), c, 40), "id", "kept") == rows(mt.ordered_keep(spark.range(90), c), "id", "kept")
+    pairs = {(rng.randrange(60), rng.randrange(60)): (rng.randrange(6), rng.random() < 0.8) for _ in range(500)}
+    p = spark.createDataFrame([(b % 2, a * 2 + b % 2, b, rng.random() if False else (b * 7919) % 61, s, ok) for (a, b), (s, ok) in pairs.items()], "g int, a int, b int, turn int, score int, ok boolean")
+    assert rows(mt.pairs_in_turn(p, ["g"], 30), "a", "b") == rows(mt.pairs_in_turn(p), "a", "b")
+
+
+def test_groups_beyond_one_task(spark):
+    rng = random.Random(6)
+    e = spark.createDataFrame([(a, a + 1) for a in range(0, 200) if a % 9] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)], "a int, b int")
+    assert rows(mt.groups(e, 10), "node", "root") == rows(mt.groups(e), "node", "root")
+    named = e.selectExpr("struct(a % 3 as k, a as id) a", "struct(a % 3 as k, b as id) b")
+    assert sorted(map(str, mt.groups(named, 10).collect())) == sorted(map(str, mt.groups(named).collect()))

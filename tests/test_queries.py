@@ -1,6 +1,7 @@
 """Every query with an SQL twin against it on the smallest data, the rest for rows; and at other partition counts."""
 
 import math
+import random
 
 import duckdb
 import pytest
@@ -51,8 +52,46 @@ def plain_greedy(spark, sf):
     return out
 
 
+def shared_naively(tags, longest=6):
+    """The passes of shared_tags over plain lists; chains are tried length by length, in the order of the tags."""
+    owner, kind = {}, {t[0]: t[1] for t in tags}
+    for score, element, tag in sorted((t[3], t[2], t[0]) for t in tags if t[4]):
+        owner.setdefault(tag, element)
+    fixed = set(owner)
+    free = [(tag, e) for _, tag, e in sorted((t[3], t[0], t[2]) for t in tags if t[0] not in fixed)]
+    held = lambda e, k: [t for t, x in owner.items() if x == e and kind[t] == k]
+    for tag, e in free:
+        if tag not in owner and not held(e, kind[tag]):
+            owner[tag] = e
+    for tag, e in free:
+        owner.setdefault(tag, e)
+
+    def chain(e, k, steps, seen):
+        for tag, at in free:
+            giver = owner[tag]
+            if at == e and kind[tag] == k and giver not in seen:
+                if steps == 1 and len(held(giver, k)) > 1:
+                    return [(tag, e)]
+                rest = chain(giver, k, steps - 1, seen | {giver}) if steps > 1 else None
+                if rest:
+                    return [(tag, e)] + rest
+        return None
+
+    for e, k in sorted({(e, kind[t]) for t, e in free}):
+        if not held(e, k):
+            owner.update(next(filter(None, (chain(e, k, n, {e}) for n in range(1, longest + 2))), []))
+    for e, k in sorted({(e, kind[t]) for t, e in owner.items()}):
+        for tag in sorted(held(e, k)):
+            if tag not in fixed and len(held(e, k)) > 1:
+                for t, other in free:
+                    if t == tag and other != e and not held(other, k):
+                        owner[tag] = other
+                        break
+    return owner
+
+
 def plain_shared(spark, sf):
-    """All tags in one pass, where the query goes by connected group."""
+    """All tags of the table in one pass, where the query goes by connected group."""
     r = least_boxes(spark, sf, "column")
     tags = []
     for n in view(spark, sf, "vN").collect():
@@ -60,7 +99,14 @@ def plain_shared(spark, sf):
             d2 = max(x0 - n["x"], 0, n["x"] - x1) ** 2 + max(y0 - n["y"], 0, n["y"] - y1) ** 2
             if floor == n["floor_id"] and d2 <= 900 * 900:
                 tags.append((n["note_id"], n["note_id"] % 2, e, round(math.sqrt(d2), 3), d2 == 0))
-    return mt.shared_out(tags).items()
+    return shared_naively(tags).items()
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_shared_tags_equal_a_naive_pass(seed):
+    rng = random.Random(seed)
+    tags = [(t, t % 2, e, round(rng.random(), 2), rng.random() < 0.1) for t in range(rng.randrange(3, 24)) for e in rng.sample(range(9), rng.randrange(1, 5))]
+    assert mt.shared_out(tags) == shared_naively(tags)
 
 
 def plain_keep(spark, sf):
