@@ -52,6 +52,14 @@ def centroid(ring: Column) -> Column:
     return F.struct(at("x").alias("x"), at("y").alias("y"))
 
 
+def holds(ring: Column, x: Column, y: Column) -> Column:
+    """Whether a point is inside a ring (edges left of it are crossed an odd number of times)."""
+    a, b = (lambda e: e["a"]), (lambda e: e["b"])
+    at = lambda e: a(e)["x"] + (y - a(e)["y"]) / (b(e)["y"] - a(e)["y"]) * (b(e)["x"] - a(e)["x"])
+    crossed = F.filter(_edges(ring), lambda e: F.when((a(e)["y"] > y) != (b(e)["y"] > y), at(e) > x).otherwise(False))
+    return F.size(crossed) % 2 == 1
+
+
 def bounds(ring: Column) -> Column:
     of = lambda f, k: f(F.transform(ring, lambda p: p[k]))
     return F.struct(of(F.array_min, "x").alias("x0"), of(F.array_min, "y").alias("y0"), of(F.array_max, "x").alias("x1"), of(F.array_max, "y").alias("y1"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from planlake.functions import diagnostics as dg, rules, text as tx
-from planlake.operators import faces, intervals as iv, matching as mt, numbering as nb, spatial as sp
+from planlake.operators import faces, intervals as iv, loops, matching as mt, numbering as nb, spatial as sp
 from planlake.sources import drawings as dw
 from planlake.sources.proxies import view
 
@@ -92,6 +92,21 @@ def j07_panels(spark, sf):
     return faces.panels(flat.unionByName(up), ["drawing"], 1e5, 1e8)
 
 
+def loose_lines(spark, sf):
+    """Loose lines of drawings, forty pieces each: level and upright ones."""
+    s = view(spark, sf, "vS").withColumn("drawing", F.expr("seg_id div 40"))
+    long, row, column = F.col("t2") - F.col("t1"), F.col("seg_id") * 613 % 60000, F.col("seg_id") * 211 % 100000
+    flat = s.select("drawing", (F.col("seg_id") * 2).alias("id"), F.col("t1").alias("x0"), row.alias("y0"), (F.col("t1") + 8 * long).alias("x1"), row.alias("y1"))
+    return flat.unionByName(s.select("drawing", (F.col("seg_id") * 2 + 1).alias("id"), column.alias("x0"), F.expr("t1 div 2").alias("y0"), column.alias("x1"), (F.expr("t1 div 2") + 16 * long).alias("y1")))
+
+
+@query()
+def j06_closed_faces(spark, sf):
+    """Faces that the loose lines of a drawing close, with the number of their lines and holes."""
+    f = loops.faces(loose_lines(spark, sf), ["drawing"], 1.0, 8000)
+    return f.select("drawing", "x0", "y0", "x1", "y1", "area", F.size("lines").alias("n_lines"), F.size("holes").alias("n_holes"))
+
+
 @query()
 def j08_trimmed_junctions(spark, sf):
     """Wall legs cut back where they meet larger ones."""

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from planlake.functions import diagnostics as dg
-from planlake.operators import faces, intervals as iv, matching as mt, numbering as nb, spatial as sp
+from planlake.operators import faces, intervals as iv, loops, matching as mt, numbering as nb, spatial as sp
 from pyspark.sql import functions as F
 
 
@@ -200,3 +200,34 @@ def test_groups_beyond_one_task(spark):
     assert rows(mt.groups(e, 10), "node", "root") == rows(mt.groups(e), "node", "root")
     named = e.selectExpr("struct(a % 3 as k, a as id) a", "struct(a % 3 as k, b as id) b")
     assert sorted(map(str, mt.groups(named, 10).collect())) == sorted(map(str, mt.groups(named).collect()))
+
+
+def test_faces_of_loose_lines(spark):
+    """Gaps close, crossings and holes are found, loose ends and bridges do not matter, groups stay apart."""
+    square = lambda x, y, a: [(x, y, x + a, y), (x + a, y, x + a, y + a), (x + a, y + a, x, y + a), (x, y + a, x, y)]
+    gap = [(0, 0, 1000, 0), (1000, 0.6, 1000, 1000), (1000, 1000, 0, 1000), (0.4, 999.5, 0, 0)]
+    crossed = square(0, 0, 600) + [(0, 0, 600, 600), (0, 600, 600, 0), (600, 600, 900, 900)]
+    ring = square(0, 0, 1000) + square(300, 300, 200) + square(350, 350, 50) + [(1000, 500, 1400, 500), (0, 0, 300, 300)]
+    overlaid = square(0, 0, 500) + [(200, 0, 800, 0), (800, 0, 800, 500), (800, 500, 500, 500)]
+    apart = square(0, 0, 1000) + square(300, 300, 200) + square(2000, 0, 100)
+    turned = [tuple(round(v * math.cos(0.4) - w * math.sin(0.4) if k % 2 == 0 else u * math.sin(0.4) + v * math.cos(0.4), 6) for k, (u, v, w) in enumerate(((0, l[0], l[1]), (l[0], l[1], 0), (0, l[2], l[3]), (l[2], l[3], 0)))) for l in square(0, 0, 8000) + [(4000, -5, 4000, 8005)]]  # noqa: E741
+    soups = {"gap": gap, "crossed": crossed, "ring": ring, "overlaid": overlaid, "apart": apart, "turned": turned, "none": [(0, 0, 5, 0), (9, 9, 9, 9)]}
+    lines, n = [], 0
+    for k, soup in soups.items():
+        for line in soup:
+            lines.append((n, k, *map(float, line)))
+            n += 1
+    out = loops.faces(spark.createDataFrame(lines, "id long, k string, x0 double, y0 double, x1 double, y1 double"), ["k"], 1.0, 700).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r["k"], []).append((round(r["area"]), len(r["ring"]), len(r["holes"])))
+    got = {k: sorted(v) for k, v in got.items()}
+    assert got["gap"] == [(10**6, 4, 0)]
+    assert got["crossed"] == [(90000, 3, 0)] * 4
+    assert got["overlaid"] == [(150000, 4, 0), (250000, 4, 0)]
+    assert got["apart"] == [(10000, 4, 0), (40000, 4, 0), (960000, 4, 1)]
+    assert [a for a, _, _ in got["ring"]] == [2500, 37500, 960000]
+    assert [(abs(a - 32e6) < 2e4, n) for a, n, _ in got["turned"]] == [(True, 4)] * 2
+    assert "none" not in got
+    hole = next(r for r in out if r["k"] == "apart" and r["holes"])
+    assert len(hole["lines"]) == 8 and {(p["x"], p["y"]) for p in hole["holes"][0]} == {(300, 300), (500, 300), (500, 500), (300, 500)}

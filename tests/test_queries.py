@@ -183,6 +183,37 @@ def plain_panels(spark, sf):
     return out
 
 
+def plain_faces(spark, sf):
+    """Flood fill from outside over the grid of all coordinates, with lines as walls between cells."""
+    drawings, out = {}, []
+    for s in view(spark, sf, "vS").collect():
+        i, t1, long = s["seg_id"], s["t1"], s["t2"] - s["t1"]
+        y, x = i * 613 % 60000, i * 211 % 100000
+        drawings.setdefault(i // 40, []).extend([(t1, y, t1 + 8 * long, y), (x, t1 // 2, x, t1 // 2 + 16 * long)])
+    for key, lines in drawings.items():
+        xs, ys = (sorted({b[k] for b in lines for k in (c, c + 2)}) for c in (0, 1))
+        at_x, at_y = {x: i for i, x in enumerate(xs)}, {y: i for i, y in enumerate(ys)}
+        level, upright = set(), set()
+        for x0, y0, x1, y1 in lines:
+            level |= {(i, at_y[y0]) for i in range(at_x[x0], at_x[x1])}
+            upright |= {(at_x[x0], j) for j in range(at_y[y0], at_y[y1])} if x0 == x1 else set()
+        cells = {(i, j) for i in range(-1, len(xs)) for j in range(-1, len(ys))}
+        while cells:
+            part, todo = set(), [cells.pop()]
+            while todo:
+                i, j = todo.pop()
+                part.add((i, j))
+                for c, wall in (((i + 1, j), (i + 1, j) in upright), ((i - 1, j), (i, j) in upright), ((i, j + 1), (i, j + 1) in level), ((i, j - 1), (i, j) in level)):
+                    if c in cells and not wall:
+                        cells.discard(c)
+                        todo.append(c)
+            if (-1, -1) in part:
+                continue
+            area = sum((xs[i + 1] - xs[i]) * (ys[j + 1] - ys[j]) for i, j in part)
+            out.append((key, *(float(v) for v in (xs[min(i for i, _ in part)], ys[min(j for _, j in part)], xs[max(i for i, _ in part) + 1], ys[max(j for _, j in part) + 1], area))))
+    return out
+
+
 def plain_trimmed(spark, sf):
     """Floor by floor in one pass, where the query goes by connected group."""
     done, out = {}, []
@@ -210,6 +241,7 @@ def plain_extract(spark, sf):
 PLAIN = {
     "j01_greedy_match": (("a", "b", "score"), plain_greedy), "j02_shared_tags": (("tag", "element"), plain_shared), "j03_ordered_keep": (("id", "kept"), plain_keep),
     "j04_stacks": (("id", "floor_no", "stack", "jump", "orphan"), plain_stacks), "j05_groups": (("node", "root"), plain_groups), "j07_panels": (("drawing", "x0", "y0", "area", "oversize"), plain_panels),
+    "j06_closed_faces": (("drawing", "x0", "y0", "x1", "y1", "area"), plain_faces),
     "j08_trimmed_junctions": (("rect_id", "floor_id", "x0", "y0", "x1", "y1", "trimmed"), plain_trimmed), "l01_extract": (("rect_id", "floor_id", "note_id", "number"), plain_extract),
 }
 
