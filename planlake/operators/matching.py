@@ -193,7 +193,9 @@ def settled_in_order(pairs: DataFrame, known: DataFrame, on: list[str], order: l
         nxt = r.settled(rest.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in names else c for c in now.columns]))
         r.drop(now)
         now = nxt
-    out = out or [now.select("late", *names)]
+    if not out:
+        r.close(now)
+        return now.select("late", *names)
     r.close(*out)
     return _union(out)
 

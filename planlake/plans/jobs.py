@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from planlake.functions import diagnostics as dg, rules, text as tx
-from planlake.operators import faces, intervals as iv, loops, matching as mt, numbering as nb, spatial as sp
+from planlake.functions import diagnostics as dg, geom as g, rules, text as tx
+from planlake.operators import faces, intervals as iv, loops, matching as mt, numbering as nb, outlines as ol, spatial as sp
 from planlake.sources import drawings as dw
 from planlake.sources.proxies import view
 
@@ -107,6 +107,34 @@ def j06_closed_faces(spark, sf):
     return f.select("drawing", "x0", "y0", "x1", "y1", "area", F.size("lines").alias("n_lines"), F.size("holes").alias("n_holes"))
 
 
+def drawn_shapes(spark, sf):
+    """Outlines drawn in six ways, some twice or nearly, some within an enclosure: handle, kind, layer, floor_id, ring."""
+    r = view(spark, sf, "vR").groupBy("rect_id", "floor_id").agg(*[F.min(c).cast("double").alias(c) for c in ("x0", "y0", "w", "h")])
+    x0, y0, x1, y1 = F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h")
+    k, floor = F.col("rect_id") % 6, F.col("floor_id")
+    ell = F.array(g.point(x0, y0), g.point(x1, y0), g.point(x1, y0 + 100), g.point(x0 + 100, y0 + 100), g.point(x0 + 100, y1), g.point(x0, y1))
+    box = lambda by: g.ring_of_box(x0 + by, y0 + by, x1 + by, y1 + by)
+    row = lambda when, kind, ring, n: r.where(when).select(F.concat_ws("-", "rect_id", F.lit(n)).alias("handle"), F.lit(kind).alias("kind"), F.concat(F.lit("S-"), F.col("rect_id") % 97).alias("layer"), floor.alias("floor_id"), ring.alias("ring"))
+    side = lambda i: F.array(F.element_at(box(0), i + 1), F.element_at(box(0), (i + 1) % 4 + 1))
+    out = row(k == 0, "polygon", ell, 0).unionByName(row(k == 0, "hatch", box(5), 1))
+    out = out.unionByName(row(k == 1, "polyline", F.concat(box(0), F.array(g.point(x0, y0 + 3))), 0)).unionByName(row(k == 1, "generic_hatch", box(0), 1))
+    for i in range(4):
+        out = out.unionByName(row(k == 2, "line", side(i), i))
+    out = out.unionByName(row(k == 3, "hatch", box(0), 0)).unionByName(row(k == 3, "solid", box(20), 1))
+    wide = g.ring_of_box(x0 - 60, y0 - 60, x1 + x1 - x0 + 100, y1 + 60)
+    for i in range(4):
+        out = out.unionByName(row(k == 4, "line", F.array(F.element_at(wide, i + 1), F.element_at(wide, (i + 1) % 4 + 1)), 5 + i))
+    out = out.unionByName(row(k == 4, "polygon", box(0), 1)).unionByName(row(k == 4, "solid", g.ring_of_box(x1 + 30, y0, x1 + F.col("w") + 30, y1), 2))
+    return out.unionByName(row(k == 5, "polyline", F.concat(F.slice(box(0), 1, 3), F.array(g.point(x0, y1), g.point(x0, y0 + 90))), 0)).unionByName(row(k == 5, "generic_hatch", box(400), 1))
+
+
+@query()
+def j10_outlines(spark, sf):
+    """Outlines of shapes, near-closed polylines, hatches and loose lines; near duplicates merged, enclosures gone."""
+    o = ol.collected(drawn_shapes(spark, sf), ["floor_id"], 90, 4000, 20000, 1e7)
+    return o.select("floor_id", "layer", "source_kind", F.array_join("handles", ",").alias("handles"), F.array_join("merged", ",").alias("merged"), F.round("area", 3).alias("area"), "x0", "y0", "x1", "y1")
+
+
 @query()
 def j08_trimmed_junctions(spark, sf):
     """Wall legs cut back where they meet larger ones."""

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from planlake.functions import diagnostics as dg
-from planlake.operators import faces, intervals as iv, loops, matching as mt, numbering as nb, spatial as sp
+from planlake.operators import faces, intervals as iv, loops, matching as mt, numbering as nb, outlines as ol, spatial as sp
 from pyspark.sql import functions as F
 
 
@@ -231,3 +231,37 @@ def test_faces_of_loose_lines(spark):
     assert "none" not in got
     hole = next(r for r in out if r["k"] == "apart" and r["holes"])
     assert len(hole["lines"]) == 8 and {(p["x"], p["y"]) for p in hole["holes"][0]} == {(300, 300), (500, 300), (500, 500), (300, 500)}
+
+
+def test_shared_areas_of_turned_and_hollowed_outlines():
+    turn = lambda pts, a, dx=0, dy=0: [(x * math.cos(a) - y * math.sin(a) + dx, x * math.sin(a) + y * math.cos(a) + dy) for x, y in pts]
+    square = [(-100.0, -100.0), (100.0, -100.0), (100.0, 100.0), (-100.0, 100.0)]
+    ell = [(0.0, 0.0), (300.0, 0.0), (300.0, 100.0), (100.0, 100.0), (100.0, 300.0), (0.0, 300.0)]
+    # a square and itself turned by 45 degrees share a regular octagon of inradius 100; by 30: eight triangles less
+    assert math.isclose(ol.shared_area(square, turn(square, math.pi / 4)), 8 * 100**2 * math.tan(math.pi / 8))
+    h = lambda a: 200 / (1 + math.cos(a) + math.sin(a))
+    assert math.isclose(ol.shared_area(square, turn(square, math.pi / 6)), 40000 - 4 * h(math.pi / 6) ** 2 * math.sin(math.pi / 6) * math.cos(math.pi / 6) / 2)
+    for a in (0.0, math.pi / 6, 2.0):
+        for flip in (1, -1):
+            at = lambda pts: turn(pts, a, 1e6, -3e5)[::flip]  # noqa: B023, E731
+            assert math.isclose(ol.shared_area(at(ell), at(ell)), 50000, rel_tol=1e-6)
+            assert math.isclose(ol.shared_area(at(ell), at([(50.0, 50.0), (250.0, 50.0), (250.0, 250.0), (50.0, 250.0)])), 50 * 200 + 50 * 150, rel_tol=1e-6)
+            assert ol.shared_area(at(ell), at([(110.0, 110.0), (300.0, 110.0), (300.0, 300.0)])) < 1e-3
+
+
+def test_outlines_of_a_floor(spark):
+    p = lambda *pts: [{"x": float(x), "y": float(y)} for x, y in pts]
+    box = lambda x, y, a, b: p((x, y), (x + a, y), (x + a, y + b), (x, y + b))
+    turned = lambda a, by=0.0: p(*[(5000 + by + a * math.cos(t), a * math.sin(t)) for t in (0.5, 0.5 + math.pi / 2, 0.5 + math.pi, 0.5 + 1.5 * math.pi)])
+    rows = [
+        ("a", "polygon", "L", "F", box(0, 0, 300, 600)), ("b", "hatch", "H", "F", box(4, 0, 300, 600)), ("c", "generic_hatch", "H", "F", box(0, 0, 300, 600)), ("d", "generic_hatch", "H", "F", box(1500, 0, 300, 300)),
+        ("e", "polyline", "L", "F", p((1000, 0), (1300, 0), (1300, 300), (1000, 300), (1000, 40))), ("f", "polyline", "L", "F", p((2000, 0), (2300, 0), (2300, 300), (2000, 300), (2000, 90))), ("g", "line", "L", "F", p((2000, 90), (2000, 0))),
+        ("h", "polygon", "L", "F", turned(300)), ("i", "solid", "L", "F", turned(300, 20)), ("j", "solid", "L", "F", turned(300, 900)),
+        *((f"k{i}", "line", "K", f, p(*[((-50, -50), (1350, -50), (1350, 700), (-50, 700), (-50, -50))[i + j] for j in (0, 1)])) for i in range(4) for f in "FG"), ("l", "polygon", "L", "F", box(0, 9000, 20, 600)), ("m", None, "L", "F", box(0, 0, 9, 9)), ("n", "polygon", "L", "F", None), ("o", "line", "L", "F", []),
+        ("a", "polygon", "L", "G", box(0, 0, 300, 600)), ("b", "solid", "L", "G", box(100, 100, 100, 400)),
+    ]
+    t = spark.createDataFrame(rows, f"handle string, kind string, layer string, floor string, ring array<struct<x:double,y:double>>")
+    got = sorted((r["floor"], r["source_kind"], *r["handles"], "+", *r["merged"]) for r in ol.collected(t, ["floor"], 90, 3000, 20000, 5e6).collect())
+    assert got == [("F", "lines", "f", "g", "+"), ("F", "polygon", "a", "+", "b", "c"), ("F", "polygon", "h", "+", "i"), ("F", "polyline", "e", "+"), ("F", "solid", "j", "+"), ("G", "lines", "k0", "k1", "k2", "k3", "+"), ("G", "polygon", "a", "+", "b")]
+    assert [r["element_id"] for r in ol.closed_by_hand(t, 50, 1, F.col("floor")).collect()] == ["e"]
+    assert ol.collected(t.limit(0), ["floor"], 90, 3000, 20000, 5e6).isEmpty()

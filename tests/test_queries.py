@@ -183,6 +183,53 @@ def plain_panels(spark, sf):
     return out
 
 
+def plain_outlines(spark, sf):
+    """One pass over each floor's outlines; their rings are level, so boxes between their coordinates make up what they share."""
+    from planlake.plans.jobs import drawn_shapes
+
+    def cells(ring):
+        xs, ys = (sorted({p[k] for p in ring}) for k in (0, 1))
+        for x0, x1 in zip(xs, xs[1:]):
+            for y0, y1 in zip(ys, ys[1:]):
+                x, y = (x0 + x1) / 2, (y0 + y1) / 2
+                if sum(1 for (ax, ay), (_, by) in zip(ring, ring[1:] + ring[:1]) if (ay > y) != (by > y) and ax > x) % 2:
+                    yield x0, y0, x1, y1
+
+    floors, lines = {}, {}
+    for s in drawn_shapes(spark, sf).collect():
+        ring = [(p["x"], p["y"]) for p in s["ring"]]
+        kind, handles = s["kind"], [s["handle"]]
+        if kind == "line" or (kind == "polyline" and math.dist(ring[0], ring[-1]) > 50):
+            lines.setdefault((s["floor_id"], s["layer"], s["handle"].split("-")[0]), []).append((s["handle"], ring))
+            continue
+        if kind == "polyline" and math.dist(ring[0], ring[-1]) <= 1:
+            ring = ring[:-1]
+        floors.setdefault(s["floor_id"], []).append((kind, s["layer"], handles, ring))
+    for (floor, layer, _), parts in lines.items():
+        if len(parts) == 4:
+            floors[floor].append(("lines", layer, sorted(h for h, _ in parts), [p[1][0] for p in sorted(parts)]))
+    rank, out = {"polygon": 0, "polyline": 0, "solid": 1, "hatch": 2, "lines": 3, "generic_hatch": 4}, []
+    for floor, shapes in floors.items():
+        rows = []
+        for kind, layer, handles, ring in shapes:
+            parts = list(cells(ring))
+            area, b = sum(map(size, parts)), (min(p[0] for p in ring), min(p[1] for p in ring), max(p[0] for p in ring), max(p[1] for p in ring))
+            if 20000 <= area <= 1e7 and min(b[2] - b[0], b[3] - b[1]) >= 90 and max(b[2] - b[0], b[3] - b[1]) <= 4000:
+                rows.append((rank[kind], -area, handles, kind, layer, parts, b, []))
+        kept = []
+        for r in sorted(rows, key=lambda r: r[:3]):
+            shared = lambda o: sum(overlap(p, q) for p in o[5] for q in r[5]) if overlap(o[6], r[6]) else 0  # noqa: B023, E731
+            same = next((o for o in kept if (v := shared(o)) and (v >= 0.6 * (-o[1] - r[1] - v) or v >= 0.8 * -r[1])), None)
+            if same:
+                same[7].extend(r[2])
+            elif r[3] != "generic_hatch":
+                kept.append(r)
+        inner = lambda r: sum(1 for o in kept if o is not r and overlap(o[6], r[6]) and abs(sum(overlap(p, q) for p in o[5] for q in r[5]) + o[1]) < 1e-3)  # noqa: B023, E731
+        drop = [r for r in kept if len(kept) > 2 and r[3] in ("lines", "polyline") and inner(r) >= 2]
+        out += [(floor, r[4], r[3], ",".join(r[2]), ",".join(sorted(r[7])), round(-r[1], 3), *r[6]) for r in kept if r not in drop]
+    return out
+
+
 def plain_faces(spark, sf):
     """Flood fill from outside over the grid of all coordinates, with lines as walls between cells."""
     drawings, out = {}, []
@@ -242,6 +289,7 @@ PLAIN = {
     "j01_greedy_match": (("a", "b", "score"), plain_greedy), "j02_shared_tags": (("tag", "element"), plain_shared), "j03_ordered_keep": (("id", "kept"), plain_keep),
     "j04_stacks": (("id", "floor_no", "stack", "jump", "orphan"), plain_stacks), "j05_groups": (("node", "root"), plain_groups), "j07_panels": (("drawing", "x0", "y0", "area", "oversize"), plain_panels),
     "j06_closed_faces": (("drawing", "x0", "y0", "x1", "y1", "area"), plain_faces),
+    "j10_outlines": (("floor_id", "layer", "source_kind", "handles", "merged", "area", "x0", "y0", "x1", "y1"), plain_outlines),
     "j08_trimmed_junctions": (("rect_id", "floor_id", "x0", "y0", "x1", "y1", "trimmed"), plain_trimmed), "l01_extract": (("rect_id", "floor_id", "note_id", "number"), plain_extract),
 }
 
