@@ -60,6 +60,35 @@ def holds(ring: Column, x: Column, y: Column) -> Column:
     return F.size(crossed) % 2 == 1
 
 
+def interval(ring: Column, angle: Column) -> Column:
+    """t1, t2 of a ring's projection on an axis."""
+    t = F.transform(ring, lambda p: along(p["x"], p["y"], angle))
+    return F.struct(F.array_min(t).alias("t1"), F.array_max(t).alias("t2"))
+
+
+def inside_point(ring: Column, digits: int = 3) -> Column:
+    """A point inside a ring: its centroid (rounded), or else the middle of the widest span that the ring has half way up its box."""
+    middle = lambda r: (bounds(r)["y0"] + bounds(r)["y1"]) / 2
+
+    def widest(r: Column) -> Column:
+        # a scan line on a vertex would meet it twice or never, so it runs half way to the next vertex above
+        above = F.array_min(F.filter(F.transform(r, lambda p: p["y"]), lambda y: y > middle(r)))
+        touched = F.exists(r, lambda p: p["y"] == middle(r))
+        return _bound(F.when(touched, (middle(r) + above) / 2).otherwise(middle(r)), lambda y: _span(r, y))
+
+    def _span(r: Column, y: Column) -> Column:
+        met = F.filter(_edges(r), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
+        xs = F.array_sort(F.transform(met, lambda e: e["a"]["x"] + (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"])))
+        return _bound(xs, lambda x: _best_of(x, y))
+
+    def _best_of(x: Column, y: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - 1, F.lit(1)), F.lit(2)), lambda i: F.struct((F.element_at(x, i + 1) - F.element_at(x, i)).alias("w"), ((F.element_at(x, i) + F.element_at(x, i + 1)) / 2).alias("x")))
+        return F.struct(F.array_max(pairs)["x"].alias("x"), y.alias("y"))
+
+    c = _bound(centroid(ring), lambda p: F.struct(F.round(p["x"], digits).alias("x"), F.round(p["y"], digits).alias("y")))
+    return _bound(c, lambda p: F.when(holds(ring, p["x"], p["y"]), p).otherwise(widest(ring)))
+
+
 def bounds(ring: Column) -> Column:
     of = lambda f, k: f(F.transform(ring, lambda p: p[k]))
     return F.struct(of(F.array_min, "x").alias("x0"), of(F.array_min, "y").alias("y0"), of(F.array_max, "x").alias("x1"), of(F.array_max, "y").alias("y1"))
@@ -74,8 +103,13 @@ def gap(ring: Column) -> Column:
 def cleaned(ring: Column, tolerance: float) -> Column:
     """Points without repeats (within tolerance), the closing point too; null if fewer than three are left or the area is none."""
     keep = F.aggregate(ring, F.array().cast(f"array<{POINT}>"), lambda acc, p: F.when((F.size(acc) > 0) & (F.hypot(F.try_element_at(acc, F.lit(-1))["x"] - p["x"], F.try_element_at(acc, F.lit(-1))["y"] - p["y"]) <= tolerance), acc).otherwise(F.concat(acc, F.array(p))))
-    open_ = F.when((F.size(keep) > 1) & (gap(keep) <= tolerance), F.slice(keep, 1, F.size(keep) - 1)).otherwise(keep)
-    return F.when((F.size(open_) >= 3) & (area(open_) > 0), open_)
+    # values that are used more than once are bound by a transform of one item, so they are computed once
+    open_ = _bound(keep, lambda k: F.when((F.size(k) > 1) & (gap(k) <= tolerance), F.slice(k, 1, F.size(k) - 1)).otherwise(k))
+    return _bound(open_, lambda k: F.when((F.size(k) >= 3) & (area(k) > 0), k))
+
+
+def _bound(value: Column, use) -> Column:
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def counter_clockwise(ring: Column) -> Column:

@@ -226,6 +226,44 @@ def ordered_keep(rows: DataFrame, conflicts: DataFrame, size: int = BLOCK) -> Da
     return free.unionByName(rows.join(done.withColumnRenamed("late", "id").hint("merge"), "id"))
 
 
+def edge_pairs(pairs: DataFrame, on: list[str], free: float = 0.5, size: int = BLOCK) -> DataFrame:
+    """The pairs of edges (on, a, b, t1, t2, score and more) that a pass by (score, a, b) takes.
+
+    A pair is taken if its interval is free to a share of at least free on both edges: what pairs taken
+    before have of it counts against it, as often as they have it. Intervals of no length are not taken. A pair
+    hangs only on the one before it on each of its edges, which hands on the intervals taken so far.
+    """
+    p = kept(pairs.where("t2 > t1").withColumn("_pair", F.monotonically_increasing_id()))
+    sides = [p.select(*on, F.col(c).alias("_edge"), F.lit(c == "a").alias("_own"), "_pair", "score", "a", "b", "t1", "t2") for c in ("a", "b")]
+    line = W.partitionBy(*on, "_edge").orderBy("score", "a", "b", "_pair")
+    before = F.lag(F.struct(F.col("_pair").alias("pair"), F.col("_own").alias("own"))).over(line)
+    steps = sides[0].unionByName(sides[1]).withColumn("_b", before)
+    steps = kept(steps.select(*on, F.col("_pair").alias("late"), F.col("_b.pair").alias("early"), F.col("_b.own").alias("_early_own"), "_own", "score", "a", "b", "t1", "t2"))
+    spans = "array<struct<t1:double,t2:double>>"
+    state = {"taken": "boolean", "on_a": spans, "on_b": spans}
+
+    def decide(t: pa.Table) -> Iterator[tuple]:
+        by: dict = {}
+        for r in zip(*(t[c].to_pylist() for c in ("score", "a", "b", "late", "_own", "early", "_early_own", "t1", "t2", "taken", "on_a", "on_b"))):
+            by.setdefault((*r[:4], r[7], r[8]), []).append((r[4], r[5], r[6], r[9:]))
+        done: dict = {}
+        for (_, _, _, late, t1, t2), rows in sorted(by.items()):
+            held = {}
+            for own, early, early_own, known in rows:
+                known = known if known[0] is not None else done.get(early)
+                held[own] = [] if early is None else known and known[1 if early_own else 2]
+            if None in held.values():
+                continue
+            least = min(1 - sum(max(0.0, min(i["t2"], t2) - max(i["t1"], t1)) for i in spans) / (t2 - t1) for spans in held.values())
+            more = [{"t1": float(t1), "t2": float(t2)}] if least >= free else []
+            done[late] = (bool(more), held[True] + more, held[False] + more)
+            yield late, *done[late]
+
+    none = steps.where("false").select("early", *[F.lit(None).cast(k).alias(c) for c, k in state.items()])
+    found = settled_in_order(steps, none, on, ["score", "late"], decide, state, size)
+    return p.join(found.where("taken").select(F.col("late").alias("_pair")).hint("merge"), "_pair", "left_semi").drop("_pair")
+
+
 #: Edges whose groups one task finds by itself.
 LOCAL = 2_000_000
 

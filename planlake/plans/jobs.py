@@ -30,6 +30,19 @@ def j03_ordered_keep(spark, sf):
     return mt.ordered_keep(r.select(F.col("rect_id").alias("id")), p.select(F.col("rect_id").alias("early"), F.col("b_rect_id").alias("late")))
 
 
+def crowded_pairs(spark, sf):
+    """Candidate pairs of parallel edges that lie close together."""
+    t1, long = F.col("t1") % 12000, F.col("t2") - F.col("t1")
+    lines = view(spark, sf, "vS").select("seg_id", (F.expr("seg_id div 500")).alias("drawing"), (F.col("seg_id") * 613 % 9000).alias("offset"), t1.alias("t1"), (t1 + long).alias("t2"))
+    return iv.parallel_pairs(lines, ["drawing"], "seg_id", 100, 1500, 300).withColumnsRenamed({"seg_id": "a", "b_seg_id": "b"})
+
+
+@query()
+def j03_edge_pairs(spark, sf):
+    """Parallel edges paired by score, as far as at least half of the shared length is still free on both."""
+    return mt.edge_pairs(crowded_pairs(spark, sf), ["drawing"]).select("drawing", "a", "b", "t1", "t2", "width", "score")
+
+
 @query()
 def j02_shared_tags(spark, sf):
     """Tags to columns so that few columns go without one of a kind; kinds are whether a note's number is even."""

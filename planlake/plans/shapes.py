@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from planlake.functions import geom as g
-from planlake.operators import spatial as sp
+from planlake.operators import arcs, spatial as sp
 from planlake.sources import drawings as dw
 from planlake.sources.proxies import view
 
@@ -80,13 +80,14 @@ def d07_project(spark, sf):
     return view(spark, sf, "vS").select("seg_id", F.round(g.along(x, y, a), 3).alias("t"), F.round(g.across(x, y, a), 3).alias("o"))
 
 
-@query("select rect_id, x0, y0, round(x0 * cos(radians(20)) + y0 * sin(radians(20)), 3) as t1, round((x0 + w) * cos(radians(20)) + case when rect_id % 3 = 0 then y0 + 100 else y0 + h end * sin(radians(20)), 3) as corner from {vR} r where rect_id % 3 <> 0 or h >= 100")
+_T = lambda x, y: f"({x}) * cos(radians(20)) + ({y}) * sin(radians(20))"
+
+
+@query(f"""select rect_id, x0, y0, round({_T('x0', 'y0')}, 3) as t1, round(case when rect_id % 3 = 0 then greatest({_T('x0 + w', 'y0 + 100')}, {_T('x0 + 100', 'y0 + h')}) else {_T('x0 + w', 'y0 + h')} end, 3) as t2 from {{vR}} r""")
 def d08_interval(spark, sf):
-    """Interval of a ring on an axis: for boxes from the lower left to the upper right corner."""
-    t = F.transform("ring", lambda p: g.along(p["x"], p["y"], F.lit(20.0)))
-    ell = g.along(F.col("x0") + F.col("w"), F.col("y0") + 100, F.lit(20.0))
-    r = rings(spark, sf)
-    return r.select("rect_id", "x0", "y0", F.round(F.array_min(t), 3).alias("t1"), F.round(F.when(F.col("rect_id") % 3 == 0, ell).otherwise(F.array_max(t)), 3).alias("corner"))
+    """Interval of every ring on an axis: from the lower left corner to the farthest."""
+    t = g.interval(F.col("ring"), F.lit(20.0))
+    return rings(spark, sf).select("rect_id", "x0", "y0", F.round(t["t1"], 3).alias("t1"), F.round(t["t2"], 3).alias("t2"))
 
 
 @query(r"select tag_id, round(length(text) * 125 * 0.7, 3) as box_w, cast(125 as double) as box_h, round(x + length(text) * 125 * 0.35, 3) as cx from {vT} t")
@@ -95,11 +96,16 @@ def d09_text_boxes(spark, sf):
     return view(spark, sf, "vT").select("tag_id", F.round(b["box_w"], 3).alias("box_w"), b["box_h"].cast("double").alias("box_h"), F.round(F.col("x") + b["box_w"] / 2, 3).alias("cx"))
 
 
-@query("select rect_id, x0, y0, x0 + w / 2.0 as px, y0 + h / 2.0 as py from {vR} r where rect_id % 3 <> 0")
+_CX = f"round((w * 100 * (x0 + w / 2.0) + (h - 100) * 100 * (x0 + 50)) / ({_AREA}), 3)"
+_CY = f"round((w * 100 * (y0 + 50) + (h - 100) * 100 * (y0 + 100 + (h - 100) / 2.0)) / ({_AREA}), 3)"
+
+
+@query(f"""select rect_id, x0, y0, case when rect_id % 3 <> 0 then x0 + w / 2.0 when {_CX} < x0 + 100 or {_CY} < y0 + 100 then {_CX} else x0 + 50.0 end as px,
+ case when rect_id % 3 <> 0 then y0 + h / 2.0 when {_CX} < x0 + 100 or {_CY} < y0 + 100 then {_CY} else y0 + h / 2.0 end as py from {{vR}} r""")
 def d10_representative_point(spark, sf):
-    """The centroid, which convex shapes hold."""
-    c = g.centroid(F.col("ring"))
-    return rings(spark, sf).where("rect_id % 3 <> 0").select("rect_id", "x0", "y0", F.round(c["x"], 3).alias("px"), F.round(c["y"], 3).alias("py"))
+    """A point in every outline: the centroid if the outline holds it, else the middle of its widest span half way up."""
+    p = g.inside_point(F.col("ring"))
+    return rings(spark, sf).select("rect_id", "x0", "y0", F.round(p["x"], 3).alias("px"), F.round(p["y"], 3).alias("py"))
 
 
 @query("select rect_id, x0, y0, case when 6 * 50 * 0.6 <= w and 50 <= h then 50.0 when 6 * 40 * 0.6 <= w and 40 <= h then 40.0 when 6 * 30 * 0.6 <= w and 30 <= h then 30.0 when 6 * 20 * 0.6 <= w and 20 <= h then 20.0 else 10.0 end::double as height from (select rect_id, x0, y0, w // 4 as w, h from {vR} r) r")
@@ -317,3 +323,19 @@ def b19_size_source(spark, sf):
 def b20_wall_like(spark, sf):
     w, h = F.col("w"), F.col("h")
     return view(spark, sf, "vR").select("rect_id", "x0", "y0", g.wall_like(w, h, 3, 900).alias("wall_like"), ((F.least(w, h) < 230) | (F.greatest(w, h) > 950)).alias("odd_size"))
+
+
+@query("""select rect_id, floor_id, 6 as n_points, 1 as n_arcs, round(tan(radians(90 + rect_id % 7 * 15) / 4), 6) as bulge, least(w, h) / 4.0 as radius from (select distinct rect_id, floor_id, min(w) as w, min(h) as h from {vR} r group by 1, 2) r""")
+def d18_arcs(spark, sf):
+    """Rings with a run of vertices on a known circle get one arc for it, the rest of the ring stays."""
+    r = view(spark, sf, "vR").groupBy("rect_id", "floor_id").agg(*[F.min(c).cast("double").alias(c) for c in ("x0", "y0", "w", "h")])
+    radius, sweep = F.least("w", "h") / 4, 90 + F.col("rect_id") % 7 * 15
+    # a corner of the outline is rounded by twelve steps of an arc round a point far off the others
+    cx, cy = F.col("x0") + 10 * F.col("w"), F.col("y0") + 10 * F.col("h")
+    arc = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i: g.point(cx + radius * F.cos(F.radians(sweep * i / 12)), cy + radius * F.sin(F.radians(sweep * i / 12))))
+    ring = F.concat(F.array(g.point(F.col("x0"), cy), g.point(F.col("x0"), F.col("y0")), g.point(cx, F.col("y0"))), arc, F.array(g.point(F.col("x0"), cy + 50)))
+    turned = F.concat(F.slice(ring, F.lit(1) + (F.col("rect_id") % 17).cast("int"), F.lit(17)), F.slice(ring, F.lit(1), (F.col("rect_id") % 17).cast("int")))
+    circles = F.array(F.struct(cx.alias("x"), cy.alias("y"), radius.alias("r")))
+    out = arcs.fitted(r.select("rect_id", "floor_id", turned.alias("ring"), circles.alias("circles"), radius.alias("radius")), 0.5)
+    bulges = F.filter("bulges", lambda b: b != 0)
+    return out.select("rect_id", "floor_id", F.size("ring").alias("n_points"), F.size(bulges).alias("n_arcs"), F.round(F.element_at(bulges, 1), 6).alias("bulge"), "radius")

@@ -6,7 +6,8 @@ import random
 import pytest
 
 from planlake.functions import diagnostics as dg
-from planlake.operators import faces, intervals as iv, loops, matching as mt, numbering as nb, outlines as ol, spatial as sp
+from planlake.functions import geom as g
+from planlake.operators import arcs, faces, intervals as iv, loops, matching as mt, numbering as nb, outlines as ol, spatial as sp
 from pyspark.sql import functions as F
 
 
@@ -265,3 +266,51 @@ def test_outlines_of_a_floor(spark):
     assert got == [("F", "lines", "f", "g", "+"), ("F", "polygon", "a", "+", "b", "c"), ("F", "polygon", "h", "+", "i"), ("F", "polyline", "e", "+"), ("F", "solid", "j", "+"), ("G", "lines", "k0", "k1", "k2", "k3", "+"), ("G", "polygon", "a", "+", "b")]
     assert [r["element_id"] for r in ol.closed_by_hand(t, 50, 1, F.col("floor")).collect()] == ["e"]
     assert ol.collected(t.limit(0), ["floor"], 90, 3000, 20000, 5e6).isEmpty()
+
+
+def test_arcs_of_known_circles(spark):
+    at = lambda r, *angles, x=0.0, y=0.0: [(x + r * math.cos(math.radians(a)), y + r * math.sin(math.radians(a))) for a in angles]
+    quarter = [(0.0, 0.0), *at(100, 0, 30, 60, 90)]
+    pts, bulges = arcs.with_bulges(quarter, [(0, 0, 100)], 0.1)
+    assert pts == [quarter[0], quarter[1], quarter[4]] and [round(b, 9) for b in bulges] == [0, round(math.tan(math.pi / 8), 9), 0]
+    for k in range(5):  # wherever the ring begins
+        p, b = arcs.with_bulges(quarter[k:] + quarter[:k], [(0, 0, 100)], 0.1)
+        assert set(p) == set(pts) and sorted(b) == sorted(bulges)
+    back, b = arcs.with_bulges(quarter[::-1], [(0, 0, 100)], 0.1)
+    assert sorted(round(x, 9) for x in b) == [round(-math.tan(math.pi / 8), 9), 0, 0]
+    long = [(0.0, 0.0), *at(100, *range(0, 271, 30))]
+    assert math.isclose(max(arcs.with_bulges(long, [(0, 0, 100)], 0.1)[1]), math.tan(math.radians(270) / 4))
+    full = at(50, *range(0, 360, 20), x=7, y=9)
+    assert arcs.with_bulges(full, [(7, 9, 50)], 0.1) == ([full[0], full[9]], [1.0, 1.0])
+    assert arcs.with_bulges(full[::-1], [(7, 9, 50)], 0.1)[1] == [-1.0, -1.0]
+    two = [*at(100, -60, 0, 60), *at(100, 120, 180, 240, x=0)]
+    assert arcs.with_bulges(two, [(0, 0, 100)], 0.1)[1] == [1.0, 1.0]
+    lens = [*at(100, -40, 0, 40), *at(100, 140, 180, 220, x=400)]
+    assert [round(b, 6) for b in arcs.with_bulges(lens, [(0, 0, 100), (400, 0, 100)], 0.1)[1]] == [round(math.tan(math.radians(20)), 6), 0, round(math.tan(math.radians(20)), 6), 0]
+    assert arcs.with_bulges(quarter, [], 0.1) == (quarter, [0.0] * 5) and arcs.with_bulges([], [(0, 0, 1)], 1) == ([], [])
+    t = spark.createDataFrame([(1, None, [(0.0, 0.0, 1.0)]), (2, quarter, None)], "id int, ring array<struct<x:double,y:double>>, circles array<struct<x:double,y:double,r:double>>")
+    assert sorted((r["id"], r["ring"] and len(r["ring"]), r["bulges"]) for r in arcs.fitted(t, 1).collect()) == [(1, None, None), (2, 5, [0.0] * 5)]
+
+
+def test_points_inside_hollowed_outlines(spark):
+    ring = lambda *pts: [(float(x), float(y)) for x, y in pts]
+    shapes = [
+        ring((0, 0), (10, 0), (10, 10), (0, 10)), ring((0, 0), (100, 0), (100, 10), (10, 10), (10, 100), (0, 100)), ring((0, 0), (100, 0), (100, 100), (90, 100), (90, 10), (30, 10), (30, 100), (0, 100)),
+        ring((0, 0), (100, 0), (100, 60), (90, 60), (90, 50), (80, 50), (80, 10), (10, 10), (10, 100), (0, 100)),
+    ]
+    t = spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in r]) for i, r in enumerate(shapes)], "id int, ring array<struct<x:double,y:double>>").withColumn("p", g.inside_point(F.col("ring")))
+    got = {r["id"]: tuple(r["p"]) for r in t.collect()}
+    assert got[0] == (5, 5) and got[1] == (5, 50) and got[2] == (15, 50) and t.where(~g.holds(F.col("ring"), F.col("p.x"), F.col("p.y"))).isEmpty()
+
+
+def test_edge_pairs_in_small_blocks(spark):
+    rng = random.Random(8)
+    pairs = [(0, a, b, t1 := rng.randrange(50), t1 + rng.randrange(0, 40), rng.randrange(9)) for a in range(12) for b in range(12, 20) if rng.random() < 0.6]
+    t = spark.createDataFrame(pairs, "k int, a int, b int, t1 int, t2 int, score int")
+    given, want = {}, []
+    for _, a, b, t1, t2, s in sorted(pairs, key=lambda p: (p[5], p[1], p[2])):
+        if t2 > t1 and all(sum(max(0, min(z, t2) - max(x, t1)) for x, z in given.get(e, [])) <= 0.5 * (t2 - t1) for e in (a, b)):
+            for e in (a, b):
+                given.setdefault(e, []).append((t1, t2))
+            want.append((a, b))
+    assert rows(mt.edge_pairs(t, ["k"]), "a", "b") == rows(mt.edge_pairs(t, ["k"], size=9), "a", "b") == sorted(want)

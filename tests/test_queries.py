@@ -8,7 +8,7 @@ import pytest
 
 from planlake.operators import faces, matching as mt
 from planlake.plans import catalog
-from planlake.plans.jobs import boxes, candidates, compare, snapshots
+from planlake.plans.jobs import boxes, candidates, compare, crowded_pairs, snapshots
 from planlake.sources.proxies import view
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -116,6 +116,18 @@ def plain_keep(spark, sf):
     return [(i, k) for i, _, _, k in kept]
 
 
+def plain_edges(spark, sf):
+    """Pair by pair in order, with the intervals that each edge has given away."""
+    given, out = {}, []
+    for r in sorted(crowded_pairs(spark, sf).collect(), key=lambda r: (r["score"], r["a"], r["b"])):
+        a, b, t1, t2 = r["a"], r["b"], r["t1"], r["t2"]
+        if all(sum(max(0, min(z, t2) - max(x, t1)) for x, z in given.get(e, [])) <= 0.5 * (t2 - t1) for e in (a, b)):
+            for e in (a, b):
+                given.setdefault(e, []).append((t1, t2))
+            out.append((a, b, t1, t2))
+    return out
+
+
 def plain_stacks(spark, sf, tol=600.0):
     """Floor by floor, column by column."""
     by_floor, centre = {}, lambda b: ((b[0] + b[2]) / 2, (b[1] + b[3]) / 2)
@@ -288,6 +300,7 @@ def plain_extract(spark, sf):
 PLAIN = {
     "j01_greedy_match": (("a", "b", "score"), plain_greedy), "j02_shared_tags": (("tag", "element"), plain_shared), "j03_ordered_keep": (("id", "kept"), plain_keep),
     "j04_stacks": (("id", "floor_no", "stack", "jump", "orphan"), plain_stacks), "j05_groups": (("node", "root"), plain_groups), "j07_panels": (("drawing", "x0", "y0", "area", "oversize"), plain_panels),
+    "j03_edge_pairs": (("a", "b", "t1", "t2"), plain_edges),
     "j06_closed_faces": (("drawing", "x0", "y0", "x1", "y1", "area"), plain_faces),
     "j10_outlines": (("floor_id", "layer", "source_kind", "handles", "merged", "area", "x0", "y0", "x1", "y1"), plain_outlines),
     "j08_trimmed_junctions": (("rect_id", "floor_id", "x0", "y0", "x1", "y1", "trimmed"), plain_trimmed), "l01_extract": (("rect_id", "floor_id", "note_id", "number"), plain_extract),
