@@ -126,19 +126,23 @@ def train(texts: list[str], langs: list[str], seed: int = 11, epochs: int = 12,
 def training_rows(docs: DataFrame) -> DataFrame:
     """text, lang of the bounded sample: of every label the same number of documents, those of least hash, each cut to SAMPLE_CHARS.
 
-    A label's count sets a threshold on the hash that some four times as many documents as wanted
-    pass (60 more, so that none is left out by chance), so however common a label is, few of its rows are moved and ranked.
+    A label's number of different doc_ids (estimated) sets a threshold on their hash that some four times as many as wanted pass, 60 more,
+    and the least hash always; so however common a label is, few of its rows are moved and ranked, and no label is left
+    out. Rows that share doc_id and label are one for the sample, that of least text.
     """
     known = docs.where("text is not null and lang is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
-    counts = written(known.groupBy(F.col("lang").cast("string").alias("_lang")).agg(F.count("*").alias("_n")), "labels").leave()
+    known = known.withColumn("_h", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)))
+    counts = known.groupBy(F.col("lang").cast("string").alias("_lang")).agg(F.approx_count_distinct("doc_id", 0.02).alias("_n"), F.min("_h").alias("_least"))
+    counts = written(counts, "labels").leave()
     labels = counts.count()
     each = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // max(1, labels)))
     counts = F.broadcast(counts) if labels <= SAMPLE_ALL else counts.hint("merge")
     from_, size = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)), F.lit(SAMPLE_CHARS)
     cut = F.substring(F.col("text"), (from_ + 1).cast("int"), size)
-    rows = known.select(F.col("lang").cast("string").alias("lang"), "doc_id", cut.alias("text"), F.xxhash64("doc_id", F.xxhash64("text"), F.lit(1)).alias("_h"))
-    rows = rows.join(counts, F.col("lang") == F.col("_lang")).where(F.pmod("_h", F.lit(1 << 30)) * F.col("_n") <= F.lit(float((4 * each + 60) << 30)))
-    order = W.partitionBy("lang").orderBy("_h", "doc_id", "text")
+    rows = known.select(F.col("lang").cast("string").alias("lang"), "doc_id", cut.alias("text"), "_h").join(counts, F.col("lang") == F.col("_lang"))
+    rows = rows.where((F.col("_h") * F.col("_n") <= F.lit(float((4 * each + 60) << 30))) | (F.col("_h") == F.col("_least")))
+    rows = rows.groupBy("lang", "_h", "doc_id").agg(F.min("text").alias("text"))
+    order = W.partitionBy("lang").orderBy("_h", "doc_id")
     return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= each).orderBy("lang", "_k").select("text", "lang")
 
 

@@ -75,3 +75,12 @@ def test_training_never_sees_held_out_or_unlabelled(spark):
     docs = spark.createDataFrame([(i, f"text {i}", "en" if i % 2 else None) for i in range(60)], "doc_id long, text string, lang string")
     seen = {r["text"] for r in langid.training_rows(docs).collect()}
     assert seen == {f"text {i}" for i in range(60) if i % 2 and zlib.crc32(str(i).encode()) % 3 != 1}
+
+
+def test_repeated_rows_leave_no_label_out(spark):
+    rows = [(k, f"lang{k}", f"text {k}") for k in range(30) for _ in range(300)] + [(1000 + i, "common", f"w{i}") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = [r["lang"] for r in langid.training_rows(docs).collect()]
+    held = {f"lang{k}" for k in range(30) if zlib.crc32(str(k).encode()) % 3 == 1}
+    assert set(got) == {f"lang{k}" for k in range(30)} - held | {"common"} and all(got.count(x) == 1 for x in set(got) - {"common"})
+    assert got.count("common") == langid.SAMPLE_DOCS
