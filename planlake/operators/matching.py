@@ -34,6 +34,14 @@ def _folder(spark: SparkSession) -> str:
     return path or _own_folder()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one, deleted with the session."""
+    name = f"{_folder(spark)}/planlake/{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return name
+
+
 class Rounds:
     """Tables written for rounds of one pass."""
 

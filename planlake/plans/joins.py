@@ -273,8 +273,9 @@ def e20_stair_labels(spark, sf):
 
 
 @query(f"""with d as (select rect_id, concat(floor_id, ' ', x0, ' ', y0, ' ', x1, ' ', y1) as corners, rect_id % 2 as up from {_b('opening')} b union all select rect_id + 1000000000, concat(floor_id, ' ', x0, ' ', y0, ' ', x1, ' ', y1), 1 - rect_id % 2 from {_b('opening')} b where rect_id % 3 = 0),
-u as (select corners, rect_id from d where up = 1), v as (select corners, rect_id from d where up = 0)
-select least(u.rect_id, v.rect_id) as first_id, greatest(u.rect_id, v.rect_id) as second_id from u join v on u.corners = v.corners""")
+g as (select corners, list(rect_id) filter (where up = 1) as us, list(rect_id) filter (where up = 0) as vs from d group by corners),
+u as (select unnest(us) as a, vs from g where us is not null and vs is not null), v as (select a, unnest(vs) as b from u)
+select least(a, b) as first_id, greatest(a, b) as second_id from v""")
 def e21_crosses(spark, sf):
     """Pairs of diagonals, one rising and one falling, of one box: an equi-join on its corners."""
     b = boxes(spark, sf, "opening")

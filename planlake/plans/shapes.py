@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from planlake.functions import geom as g
-from planlake.operators import arcs, spatial as sp
+from planlake.operators import arcs, matching as mt, spatial as sp
 from planlake.sources import drawings as dw
 from planlake.sources.proxies import view
 
@@ -196,10 +196,12 @@ def a03_read_projects(spark, sf):
 
 @query("select o_custkey % 50 as drawing_id, cast(count(*) as integer) as n_elements, min(o_orderkey) as first_id from orders group by 1")
 def a04_write_projects(spark, sf):
+    """Project documents written as files and read back."""
     o = view(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("drawing_id"), F.col("o_orderkey").alias("element_id"))
-    d = dw.project_documents(o, "drawing_id", ["element_id"])
-    n = F.get_json_object("document", "$.elements[0].element_id").cast("bigint")
-    return d.select("drawing_id", F.size(F.from_json(F.get_json_object("document", "$.elements"), "array<struct<element_id:bigint>>")).alias("n_elements"), n.alias("first_id"))
+    folder = mt.scratch(spark)
+    dw.write_projects(dw.project_documents(o, "drawing_id", ["element_id"]), folder)
+    back = dw.load_projects(spark, folder, "drawing_id bigint, elements array<struct<element_id:bigint>>")
+    return back.groupBy("drawing_id").agg(F.count("*").cast("int").alias("n_elements"), F.min("element_id").alias("first_id"))
 
 
 @query("select n_nationkey, case when n_nationkey % 3 <> 0 then n_nationkey * 100.5 end::double as elevation_mm from nation where n_nationkey % 7 <> 0")

@@ -8,6 +8,7 @@ import pytest
 from planlake.functions import diagnostics as dg
 from planlake.functions import geom as g
 from planlake.operators import arcs, faces, intervals as iv, loops, matching as mt, numbering as nb, outlines as ol, spatial as sp
+from planlake.sources import drawings as dw, profiles
 from pyspark.sql import functions as F
 
 
@@ -314,3 +315,21 @@ def test_edge_pairs_in_small_blocks(spark):
                 given.setdefault(e, []).append((t1, t2))
             want.append((a, b))
     assert rows(mt.edge_pairs(t, ["k"]), "a", "b") == rows(mt.edge_pairs(t, ["k"], size=9), "a", "b") == sorted(want)
+
+
+def test_entities_are_read_with_their_schema(spark, tmp_path):
+    pts = "array(named_struct('x', 1.0D, 'y', 2.0D))"
+    spark.sql(f"select 'd' drawing_id, 'p' prim_id, 'line' kind, '0' layer, 'h' handle, 'LINE' dxftype, {pts} pts, false closed").write.parquet(str(tmp_path / "e"))
+    got = dw.read_entities(spark, str(tmp_path / "e"))
+    assert got.columns == [c.split()[0] for c in dw.ENTITIES.split(", ")] and got.first()["pts"][0]["y"] == 2.0 and got.first()["block_layers"] is None
+
+
+def test_profiles_are_saved_and_loaded(spark):
+    text = """{"name": "p", "units_override": "mm", "layers": {"S-COLS": {"role": "COLUMN", "text_role": "COLUMN_TAG", "confidence": "high", "modifiers": ["stop"]}},
+      "tolerances": {"ring_close": 75.0}, "size_sources": {"column": "outline"}}"""
+    p = profiles.load_profile(text)
+    assert p.tolerances.ring_close == 75 and p.tolerances.grid_ref == 600 and p.size_sources.column == "outline" and p.size_sources.beam == "tag"
+    assert profiles.load_profile(profiles.save_profile(p)) == p and [tuple(r) for r in p.rules(spark).collect()] == [("S-COLS", "COLUMN", "COLUMN_TAG", "high", ["stop"])]
+    for bad in ('{"nam": 1}', '{"tolerances": {"x": 1}}', '{"size_sources": {"beam": "guess"}}'):
+        with pytest.raises(ValueError):
+            profiles.load_profile(bad)
