@@ -7,8 +7,8 @@ import pytest
 
 from planlake.functions import diagnostics as dg
 from planlake.functions import geom as g
-from planlake.operators import arcs, faces, intervals as iv, loops, matching as mt, numbering as nb, outlines as ol, spatial as sp
-from planlake.sources import drawings as dw, profiles
+from planlake.operators import arcs, buildplan, faces, intervals as iv, loops, matching as mt, numbering as nb, outlines as ol, spatial as sp
+from planlake.sources import drawings as dw, mapping, profiles
 from pyspark.sql import functions as F
 
 
@@ -333,3 +333,41 @@ def test_profiles_are_saved_and_loaded(spark):
     for bad in ('{"nam": 1}', '{"tolerances": {"x": 1}}', '{"size_sources": {"beam": "guess"}}'):
         with pytest.raises(ValueError):
             profiles.load_profile(bad)
+
+
+def test_build_plan_of_a_small_drawing(spark):
+    """Levels, the fan-out over them, sizes that are missing, a round column, and a drawing without levels."""
+    place = "drawing string, element_id string, floor_id string, cx double, cy double"
+    columns = spark.createDataFrame(
+        [("a", "c1", "F1", 10.0, 20.0, "rect", 301.0, 448.0, None), ("a", "c2", "F1", 0.0, 0.0, "circle", None, None, 512.5), ("a", "c3", "F2", 0.0, 0.0, "rect", 300.0, None, None), ("b", "c4", "F1", 0.0, 0.0, "rect", 300.0, 300.0, None)],
+        f"{place}, shape string, width_mm double, depth_mm double, diameter_mm double",
+    )
+    piles = spark.createDataFrame([("a", "p1", "F1", 1.0, 2.0, 600.0), ("a", "p2", "F1", 1.0, 2.0, None)], f"{place}, diameter_mm double")
+    levels = spark.createDataFrame([("a", "L1", 0.0, "F1"), ("a", "L2", 3000.0, "F1"), ("a", "L3", 6000.0, "F2")], "drawing string, level_id string, elevation_mm double, floor_id string")
+    floors = spark.createDataFrame([("a", "F1", 100.0, 0.0), ("a", "F2", 0.0, 0.0), ("a", "F3", 0.0, 0.0), ("b", "F1", 0.0, 0.0)], "drawing string, floor_id string, ox double, oy double")
+    acts, found = buildplan.build_plan({"columns": columns, "piles": piles}, levels, floors, mapping.Mapping(), ["drawing"])
+    rows = {r["action_id"]: r for r in acts.collect()}
+    assert sorted(rows) == ["c1@L1", "c1@L2", "c2@L1", "c2@L2", "p1"]
+    c = rows["c1@L2"]
+    assert (c["type_name"], c["params"], c["top_level_id"], c["points"][0]["x"]) == ("300 x 450mm", {"b": 300.0, "h": 450.0}, "L3", 110.0)
+    assert rows["c2@L1"]["type_name"] == "510mm" and rows["p1"]["level_id"] == "L1"  # 102.5 steps: the even one
+    got = sorted((r["code"], r["element_id"] or r["floor_id"]) for r in found.collect())
+    assert got == [("REVIT_COLUMN_NO_TOP", "c3"), ("REVIT_FLOOR_NO_LEVEL", "F3"), ("REVIT_NO_LEVELS", "b")]
+    types = {(r["type_name"], r["n"]) for r in buildplan.types_to_create(acts, ["drawing"]).collect()}
+    assert types == {("300 x 450mm", 2), ("510mm", 2), ("600mm", 1)}
+    none, nothing = buildplan.build_plan({"columns": columns.limit(0)}, levels.limit(0), floors.limit(0), mapping.Mapping(), ["drawing"])
+    assert none.count() == 0 and nothing.count() == 0
+
+
+def test_mappings_are_loaded_and_refused(spark):
+    usual = mapping.load_mapping("")
+    assert usual == mapping.Mapping() == mapping.load_mapping(mapping.save_mapping(usual))
+    m = mapping.load_mapping('{"beam": {"family": "X"}, "build": {"walls": false}, "shaft_from": ["PIT"]}')
+    assert m.rules["beam"].family == "X" and m.rules["beam"].width_param == "b" and not m.build["walls"] and m.build["beams"] and m.shaft_from == ("PIT",)
+    for bad in ('{"beem": {}}', '{"beam": {"famly": "X"}}', '{"build": {"roofs": true}}', '{"round_sizes_to_mm": 0}'):
+        with pytest.raises(ValueError):
+            mapping.load_mapping(bad)
+    v = {"w": F.lit(300.0), "d": F.lit(None).cast("double")}
+    texts = ["{w:.0f} x {d:.0f}", "{w}", "{z}", "{z:.0f}", "{w", "100%", "{w:.1f}{{}}"]
+    got = spark.range(1).select(*[buildplan.type_text(t, v).alias(str(i)) for i, t in enumerate(texts)]).first()
+    assert list(got) == ["300 x 0", "300.0", "?", "{z:.0f}", "{w", "100%", "300.0{}"]
