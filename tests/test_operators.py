@@ -7,7 +7,7 @@ import pytest
 
 from planlake.functions import diagnostics as dg
 from planlake.functions import geom as g
-from planlake.operators import arcs, buildplan, faces, intervals as iv, loops, matching as mt, numbering as nb, outlines as ol, spatial as sp
+from planlake.operators import arcs, buildplan, faces, intervals as iv, loops, matching as mt, numbering as nb, outlines as ol, reread, spatial as sp
 from planlake.sources import drawings as dw, mapping, profiles
 from pyspark.sql import functions as F
 
@@ -371,3 +371,42 @@ def test_mappings_are_loaded_and_refused(spark):
     texts = ["{w:.0f} x {d:.0f}", "{w}", "{z}", "{z:.0f}", "{w", "100%", "{w:.1f}{{}}"]
     got = spark.range(1).select(*[buildplan.type_text(t, v).alias(str(i)) for i, t in enumerate(texts)]).first()
     assert list(got) == ["300 x 0", "300.0", "?", "{z:.0f}", "{w", "100%", "300.0{}"]
+
+
+def test_template_drawings_are_read_again(spark):
+    """Two floors and an elevation: ids, hand-drawn rows, marks by id and by place, circles, a turned beam, lean concrete, cut-outs, grids, levels."""
+    box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    turned = [(20000 + x * math.cos(math.pi / 6) - y * math.sin(math.pi / 6), 20000 + x * math.sin(math.pi / 6) + y * math.cos(math.pi / 6)) for x, y in box(-2000, -150, 2000, 150)]
+    L, n = reread.LAYERS, iter(range(1000))
+    row = lambda key, kind, pts, text=None, identity=None, radius=None, height=None: ("d", f"H{next(n):03d}", L.get(key, key), kind, [tuple(map(float, p)) for p in pts], radius, text, height, 0.0, identity)
+    data = [
+        row("boundary", "polygon", box(0, 0, 50000, 50000), identity="floor=F1;name=GROUND"), row("origin", "point", [(1000, 1000)]), row("text", "text", [(5, 5)], "PLAN - FIRST LEVEL", height=500.0), row("text", "text", [(5, 5)], " 1) CLEAR COVER 40", "kind=note", height=200.0),
+        row("boundary", "polygon", box(60000, 0, 110000, 50000)), row("text", "text", [(60005, 5)], "PLAN - FIRST LEVEL", height=500.0),
+        row("boundary", "polygon", box(200000, 0, 230000, 50000)), row("level", "line", [(201000, 0), (210000, 0)], identity="plan=F1"), row("level", "line", [(201000, 3000), (210000, 3000)]), row("level_mark", "text", [(201500, 3010)], "ROOF"),
+        row("column", "polygon", box(5000, 5000, 5300, 5900), identity="id=C7;stack=1"), row("column_mark", "text", [(9000, 9000)], "C12", "id=C7;mark=C12-300X900"),
+        row("column", "polygon", box(7000, 5000, 7300, 5900)), row("column_mark", "text", [(7200, 5950)], "C13-300X900"), row("column", "circle", [(65000, 5000)], radius=300.0, identity="id=C8"),
+        row("column_mark", "text", [(40000, 40000)], "C99"), row("beam", "polygon", turned, identity="id=B1"), row("beam_mark", "text", [(20000, 20000)], "B1-300X600"),
+        row("slab", "polygon", box(10000, 10000, 30000, 30000), identity="id=S1"), row("slab", "polygon", box(12000, 12000, 16000, 16000), identity="id=S2"), row("slab_mark", "text", [(14000, 14000)], "CS2-200THK"), row("cutout", "polygon", box(13000, 13000, 13500, 13500), identity="id=O1;label=LIFT"),
+        row("footing", "polygon", box(31000, 31000, 33000, 33000), identity="id=F1"), row("footing_mark", "text", [(31500, 31500)], "PC1-900THK"), row("pcc", "polygon", box(30900, 30900, 33100, 33100), identity="id=F1;thk=75"), row("pile", "circle", [(31500, 31500)], radius=250.0, identity="id=P1;cap=F1"),
+        row("grid", "line", [(5000, 500), (5000, 49000)]), row("grid_mark", "text", [(5000, 300)], " A "), row("nobody's layer", "polygon", box(0, 0, 5, 5)), row("column", "polygon", box(0, 0, 0, 9)), row("column", "polygon", box(150000, 0, 150300, 300)),
+    ]
+    kind = "drawing string, handle string, layer string, kind string, pts array<struct<x:double,y:double>>, radius double, text string, text_height double, rotation double, identity string"
+    r = reread.read_template(spark.createDataFrame(data, kind), ["drawing"])
+    floors = {f["floor_id"]: f for f in r.floors.collect()}
+    assert sorted(floors) == ["F1", "L02"] and (floors["F1"]["ox"], floors["F1"]["name"], floors["F1"]["notes"]) == (1000, "GROUND", ["CLEAR COVER 40"])
+    assert (floors["L02"]["ox"], floors["L02"]["name"], floors["L02"]["title"]) == (60000, "FIRST LVL.", "PLAN - FIRST LEVEL")
+    e = {x["element_id"]: x for x in r.elements.collect()}
+    assert sorted(e) == ["B1", "C7", "C8", "F1", "F1-CNEW-H012", "O1", "P1", "S1", "S2"]
+    assert (e["C7"]["mark"], e["C7"]["width_mm"], e["C7"]["depth_mm"], e["C7"]["cx"]) == ("C12-300X900", 300, 900, 4150)
+    assert (e["F1-CNEW-H012"]["mark"], e["F1-CNEW-H012"]["is_new"]) == ("C13-300X900", True)
+    assert (e["C8"]["floor_id"], e["C8"]["shape"], e["C8"]["diameter"], e["C8"]["cx"], e["C8"]["mark"]) == ("L02", "circle", 600, 5000, None)
+    b = e["B1"]
+    assert (b["shape"], b["width"], b["depth"], b["rotation"], b["width_mm"]) == ("rect", 300, 4000, 30, 300) and math.isclose(b["start"]["x"], 19000 - 2000 * math.cos(math.pi / 6), abs_tol=0.02)
+    assert (e["S2"]["kind"], e["S2"]["thickness_mm"], e["S1"]["kind"], e["O1"]["panel_id"], e["O1"]["label"]) == ("cantilever", 200, "cantilever", "S2", "LIFT")
+    assert (e["F1"]["kind"], e["F1"]["lean_mm"], e["F1"]["lean_outline"][0]["x"], e["P1"]["pilecap_id"], e["P1"]["diameter"]) == ("pilecap", 75, 29900, "F1", 500)
+    assert [(x["label"], x["axis"], x["offset_mm"]) for x in r.grids.collect()] == [("A", "X", 4000)]
+    assert sorted((x["level_id"], x["name"], x["elevation_mm"], x["floor_to_floor_mm"], x["plan_floor_id"]) for x in r.levels.collect()) == [("LV00", "ROOF", 0, 3000, "F1"), ("LV01", "ROOF", 3000, None, None)]
+    found = sorted((x["code"], x["floor_id"] or "", x["element_id"] or "") for x in r.findings.collect())
+    assert found == [("RT_FLOOR_NO_ORIGIN", "L02", ""), ("RT_LEVELS_RELATIVE", "", "d"), ("RT_NO_ID", "", "H030"), ("RT_NO_ID", "F1", "H012"), ("RT_ORPHAN_MARK", "F1", "H015")]
+    empty = reread.read_template(spark.createDataFrame([], kind), ["drawing"])
+    assert empty.elements.count() == empty.findings.count() == empty.levels.count() == 0
