@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from planlake.functions import text as tx
-from planlake.operators import spatial as sp
+from planlake.operators import spatial as sp, tagging as tg
 from planlake.sources.proxies import view
 
 from .registry import query
@@ -127,6 +127,25 @@ def e07_mutual_nearest(spark, sf):
     return a.join(b.hint("merge"), (F.col("best_size") == F.col("other")) & (F.col("best_mark") == F.col("note_id"))).select(F.col("note_id").alias("mark_id"), F.col("other").alias("size_id"))
 
 
+def stacked_texts(spark, sf):
+    """Notes of drawings of a thousand orders, with heights and rotations."""
+    n = view(spark, sf, "vN").select(F.expr("note_id div 1000").alias("drawing_id"), F.col("note_id").alias("id"), "text", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), (125 + 25.0 * (F.col("note_id") % 3)).alias("text_height"), F.when(F.col("note_id") % 5 == 0, 90.0).otherwise(0.0).alias("rotation"))
+    return n
+
+
+@query("""with n as (select note_id as id, note_id // 1000 as drawing, note_id % 12 as m, text, x::double as x, y::double as y, 125 + 25.0 * (note_id % 3) as h, case when note_id % 5 = 0 then 90 else 0 end as r from {vN} n),
+t as (select *, case m when 0 then id % 30 when 3 then 75 + 25 * (id % 4) end::double as thk, case when m = 9 then 'H0' when m = 10 then concat('B', id % 50) end as mark from n),
+c as (select a.id as a, b.id as b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d from t a join t b on a.drawing = b.drawing and a.m = 10 and b.m in (0, 3) and a.r = b.r and abs(a.x - b.x) <= 3 * a.h and abs(a.y - b.y) <= 3 * a.h where d <= 3 * a.h),
+p as (select a, arg_min(b, row(d, b)) as b from c group by a intersect select arg_min(a, row(d, a)), b from c group by b)
+select t.id, s.id as size_id, case when s.id is not null or t.m in (0, 3, 9) then 'size' when t.m = 10 then 'mark' else 'other' end as kind, case when s.id is not null then concat(t.text, ' | ', s.text) else t.text end as text, t.mark, case when t.m = 9 then 200 + 50 * (t.id % 3) end::double as width_mm,
+ case when t.m = 9 then 400 end::double as depth_mm, cast(null as double) as diameter_mm, coalesce(t.thk, s.thk) as thickness_mm, case when s.id is not null then (t.x + s.x) / 2 else t.x end as x, case when s.id is not null then (t.y + s.y) / 2 else t.y end as y, greatest(t.h, s.h)::double as text_height
+from t left join p on t.id = p.a left join t s on s.id = p.b where t.id not in (select b from p)""")
+def e07_paired_tags(spark, sf):
+    """All notes as tags: marks with the size beside them, one to one, the rest as they are."""
+    t = tg.paired_tags(stacked_texts(spark, sf), ["drawing_id"])
+    return t.select("id", "size_id", "kind", "text", "mark", "width_mm", "depth_mm", "diameter_mm", "thickness_mm", "x", "y", "text_height")
+
+
 @query(f"""with c as ({CAND_SQL}), wide as (select p.note_id, b.rect_id, {_D2} as d2 from {{vN}} p join {_b("column")} b on p.floor_id = b.floor_id and {_D2} <= 6.25 * {_R} * {_R})
 select note_id, arg_min(rect_id, row(d2, rect_id)) as rect_id from wide where note_id not in (select note_id from c) group by note_id""")
 def e08_orphans_nearest(spark, sf):

@@ -7,7 +7,7 @@ import pytest
 
 from planlake.functions import diagnostics as dg
 from planlake.functions import geom as g
-from planlake.operators import arcs, buildplan, faces, intervals as iv, loops, matching as mt, numbering as nb, outlines as ol, reread, spatial as sp
+from planlake.operators import arcs, buildplan, faces, intervals as iv, loops, matching as mt, numbering as nb, outlines as ol, reread, spatial as sp, tagging
 from planlake.sources import drawings as dw, mapping, profiles
 from pyspark.sql import functions as F
 
@@ -410,3 +410,24 @@ def test_template_drawings_are_read_again(spark):
     assert found == [("RT_FLOOR_NO_ORIGIN", "L02", ""), ("RT_LEVELS_RELATIVE", "", "d"), ("RT_NO_ID", "", "H030"), ("RT_NO_ID", "F1", "H012"), ("RT_ORPHAN_MARK", "F1", "H015")]
     empty = reread.read_template(spark.createDataFrame([], kind), ["drawing"])
     assert empty.elements.count() == empty.findings.count() == empty.levels.count() == 0
+
+
+def test_marks_take_the_nearest_free_size(spark):
+    """Contested sizes against a plain greedy pass; texts that are turned, without a place or alike."""
+    r = random.Random(4)
+    kind = "drawing int, id long, text string, x double, y double, text_height double, rotation double"
+    data = [(r.randrange(2), i, r.choice(["C%d" % (i + 1), "B%d" % (i + 1), "300X600", "150 THK", "C5-200X300", "", None]), float(r.randrange(0, 3000, 50)), float(r.randrange(0, 1000, 50)), float(r.choice([100, 125])), float(r.choice([0, 3, 178, 90]))) for i in range(400)]
+    data += [(0, 1000, "C1", None, None, 125.0, 0.0), (0, 1001, "300X600", 0.0, 0.0, None, None)]
+    got = {x["id"]: x for x in tagging.paired_tags(spark.createDataFrame(data, kind), ["drawing"], factor=2).collect()}
+    bare, sizes = [d for d in data if d[2] and d[2][0] in "CB" and "-" not in d[2] and d[3] is not None], [d for d in data if d[2] in ("300X600", "150 THK") and d[6] is not None]
+    turn = lambda a, b: min((a - b) % 180, (b - a) % 180)
+    pairs = sorted((round(math.hypot(m[3] - s[3], m[4] - s[4]), 6), m[1], s[1]) for m in bare for s in sizes if m[0] == s[0] and turn(m[6], s[6]) <= 5 and math.hypot(m[3] - s[3], m[4] - s[4]) <= 2 * m[5])
+    taken, used = {}, set()
+    for _d, m, s in pairs:
+        if m not in taken and s not in used:
+            taken[m] = s
+            used.add(s)
+    assert {k: x["size_id"] for k, x in got.items() if x["size_id"] is not None} == taken and len(taken) > 20 and len(pairs) > 2 * len(taken)
+    assert set(got) == {d[1] for d in data} - used
+    m, s = next(iter(taken.items()))
+    assert got[m]["kind"] == "size" and got[m]["text"] == f"{data[m][2]} | {data[s][2]}" and got[m]["x"] == (data[m][3] + data[s][3]) / 2
