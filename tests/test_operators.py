@@ -7,7 +7,7 @@ import pytest
 
 from planlake.functions import diagnostics as dg
 from planlake.functions import geom as g
-from planlake.operators import arcs, buildplan, faces, intervals as iv, loops, matching as mt, numbering as nb, outlines as ol, reread, spatial as sp, tagging
+from planlake.operators import arcs, buildplan, faces, intervals as iv, loops, matching as mt, numbering as nb, outlines as ol, reports, reread, spatial as sp, tagging
 from planlake.sources import drawings as dw, mapping, profiles
 from pyspark.sql import functions as F
 
@@ -431,3 +431,21 @@ def test_marks_take_the_nearest_free_size(spark):
     assert set(got) == {d[1] for d in data} - used
     m, s = next(iter(taken.items()))
     assert got[m]["kind"] == "size" and got[m]["text"] == f"{data[m][2]} | {data[s][2]}" and got[m]["x"] == (data[m][3] + data[s][3]) / 2
+
+
+def test_reports(spark):
+    """Headers that are broken or there twice, hints that share words equally or not at all, floors without elements, the first findings in order."""
+    kind = "drawing string, handle string, kind string, layer string, attribs map<string,string>"
+    e = spark.createDataFrame([("a", "2", "header", "0", {"$INSUNITS": "6"}), ("a", "1", "header", "0", {"$INSUNITS": "4", "$EXTMIN": "1,2", "$EXTMAX": "x"}), ("a", "3", "line", "L", None), ("b", "1", "text", None, None), ("c", None, "header", "0", {})], kind)
+    got = {r["drawing"]: (r["units_code"], r["x0"], r["y0"], r["x1"], r["n_entities"], r["n_layers"]) for r in reports.headers(e, ["drawing"]).collect()}
+    assert got == {"a": (4, 1, 2, None, 1, 1), "b": (None, None, None, None, 1, 0), "c": (None, None, None, None, 0, 0)}
+    floors = spark.createDataFrame([("d", "1", "Second Floor Plan", None), ("d", "2", "Terrace level", None), ("d", "3", "2ND LVL.", 3000.0), ("d", "4", None, None)], "drawing string, floor_id string, name string, elevation_mm double")
+    hints = spark.createDataFrame([("d", 5, "SECOND FLOOR", 6000.0, "t5"), ("d", 4, "SECOND LVL. AT", 5000.0, "t4"), ("x", 1, "TERRACE", 9000.0, "t1")], "drawing string, hint_id int, name string, elevation_mm double, text string")
+    rows_ = {r["floor_id"]: (r["elevation_mm"], r["note"]) for r in reports.level_template(floors, hints, ["drawing"]).collect()}
+    assert rows_ == {"1": (5000, "from text 't4', to be confirmed"), "2": (None, "elevation_mm is to be filled in"), "3": (3000, ""), "4": (None, "elevation_mm is to be filled in")}
+    f = spark.createDataFrame([("INFO", "RT_NO_ID", "F1", "1"), ("WARNING", "RT_MOVED", "F2", "2"), ("ERROR", "RT_MISSING", None, "9"), ("WARNING", "RT_MOVED", "F1", "3")], "severity string, code string, floor_id string, element_id string")
+    assert [r["element_id"] for r in reports.first_findings(f, 3).collect()] == ["9", "3", "2"]
+    table = {r["floor_id"]: (r["beam"], r["errors"], r["warnings"]) for r in reports.floor_table(spark.createDataFrame([("F1", "beam"), ("F3", "beam")], "floor_id string, kind string"), f.where("floor_id is not null"), ["beam"], ["floor_id"]).collect()}
+    assert table == {"F1": (1, 0, 1), "F2": (0, 0, 1), "F3": (1, 0, 0)}
+    assert {(r["floor_id"], r["ok"]) for r in reports.verification(f, ["floor_id"]).collect()} == {("F1", False), ("F2", False), (None, False)}
+    assert reports.by_code(f.limit(0)).count() == 0
