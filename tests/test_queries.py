@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import duckdb
 import pytest
@@ -9,6 +10,7 @@ import pytest
 from planlake.operators import faces, matching as mt
 from planlake.plans import catalog
 from planlake.plans.jobs import boxes, candidates, compare, crowded_pairs, snapshots
+from planlake.plans.reporting import drawing_entities
 from planlake.sources.proxies import view
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -297,7 +299,81 @@ def plain_extract(spark, sf):
 
 
 #: Queries that SQL cannot say: the columns looked at, and a plain sequential version.
+def plain_whole_extract(spark, sf):
+    """Elements and findings of drawings by loops over every floor."""
+    shapes, texts, lines, frames, rules = (df.collect() for df in drawing_entities(spark, sf))
+    role = {r["layer"]: r["role"] for r in rules}
+    floors = {}
+    for f in frames:
+        floors.setdefault(f["drawing_id"], []).append((f["nth"], f["floor_id"], [(p["x"], p["y"]) for p in f["ring"]]))
+
+    def owner(d, x, y):
+        return next((name for _n, name, ring in sorted(floors.get(d, [])) if ring[0][0] <= x < ring[2][0] and ring[0][1] <= y < ring[2][1]), None)
+
+    groups, found, size_of = {}, [], {}
+    for e in sorted(shapes, key=lambda e: e["id"]):
+        b = (e["ring"][0]["x"], e["ring"][0]["y"], e["ring"][2]["x"], e["ring"][2]["y"])
+        f = owner(e["drawing_id"], (b[0] + b[2]) / 2, (b[1] + b[3]) / 2)
+        if f is None:
+            found.append(("ELEMENT_OUTSIDE_FLOORS", e["id"], -1))
+            continue
+        kept = groups.setdefault((e["drawing_id"], f, role[e["layer"]]), {})
+        if any(overlap(b, k) / (size(b) + size(k) - overlap(b, k)) >= 0.9 for k in kept.values()):
+            found.append(("DUPLICATE_ENTITY", e["id"], f))
+        else:
+            kept[e["id"]] = b
+    tags, pairs = {}, []
+    for t in texts:
+        f = owner(t["drawing_id"], t["x"], t["y"])
+        if f is None or role[t["layer"]] == "GRID":
+            continue
+        if t["text"] == "??":
+            found.append(("TAG_UNPARSED", t["id"], f))
+            continue
+        base, rest = re.match(r"(\w+)[- ](.*)", t["text"]).groups()
+        n = [float(v) for v in re.findall(r"\d+", rest)]
+        tags[t["id"]] = (f, base, *((n[0], n[1], -1) if "X" in rest else (-1, -1, n[0])))
+        for k, b in groups.get((t["drawing_id"], f, role[t["layer"]]), {}).items():
+            least, factor = {"COLUMN": (600, 1.5), "BEAM": (600, 0), "SLAB": (0, 0), "FOOTING": (600, 0)}[role[t["layer"]]]
+            d = math.hypot(max(b[0] - t["x"], 0, t["x"] - b[2]), max(b[1] - t["y"], 0, t["y"] - b[3]))
+            if d <= max(least, factor * max(b[2] - b[0], b[3] - b[1])):
+                pairs.append((round(d, 6), t["id"], k))
+    used = {}
+    for _d, t, k in sorted(pairs, key=lambda p: (p[0], p[1], p[2] + "|size")):
+        if t not in used and k not in used.values():
+            used[t], size_of[k] = k, tags[t][1:]
+    found += [("TAG_UNASSIGNED", t, v[0]) for t, v in tags.items() if t not in used]
+    out, half = [], lambda v: math.floor(v / 250 + 0.5)
+    for (_d, f, kind), kept in groups.items():
+        for n, (k, b) in enumerate(sorted(kept.items(), key=lambda kb: (half(kb[1][1]), half(kb[1][0]), kb[0])), 1):
+            base, w, d, thk = size_of.get(k, (-1, -1, -1, -1))
+            code, lacks = {"COLUMN": ("COLUMN_NO_SIZE", w), "BEAM": ("BEAM_NO_DEPTH", d), "SLAB": ("SLAB_NO_THICKNESS", thk), "FOOTING": ("FOOTING_NO_SIZE", thk)}[kind]
+            if lacks == -1:
+                found.append((code, k, f))
+            dx, dy = b[2] - b[0], b[3] - b[1]
+            if kind == "COLUMN" and w != -1 and (abs(min(w, d) - min(dx, dy)) > 26 or abs(max(w, d) - max(dx, dy)) > 26):
+                found.append(("COLUMN_SIZE_MISMATCH", k, f))
+            w, d = (dx, dy) if kind == "COLUMN" and w == -1 else (w, d)
+            out.append((k, f, kind, n, base, w, d, thk, 1 if k in size_of else 0))
+    grids, seen = {}, set()
+    for g in lines:
+        f = owner(g["drawing_id"], g["ax"], (g["ay"] + g["by"]) / 2)
+        if f is None:
+            continue
+        seen.add((g["drawing_id"], f))
+        near = [(h["x"] - g["ax"]) ** 2 + min(abs(h["y"] - g[c]) for c in ("ay", "by")) ** 2 for h in texts]
+        best = min(((d, h["id"], h["text"]) for d, h in zip(near, texts) if role[h["layer"]] == "GRID" and h["drawing_id"] == g["drawing_id"] and d <= 1200**2), default=None)
+        if best is None:
+            found.append(("GRID_NO_LABEL", g["id"], f))
+        else:
+            grids.setdefault((g["drawing_id"], f, best[2]), []).append(g["id"])
+    found += [("GRID_DUPLICATE_LABEL", f"X {label}", f) for (_d, f, label), v in grids.items() if len(v) > 1]
+    return out, found + [("NO_GRIDS", -1, f) for d, fs in floors.items() for _n, f, _r in fs if (d, f) not in seen]
+
+
 PLAIN = {
+    "l01_all_kinds": (("id", "floor_id", "role", "number", "mark", "width_mm", "depth_mm", "thickness_mm", "n_tags"), lambda *a: plain_whole_extract(*a)[0]),
+    "l01_findings": (("code", "element_id", "floor_id"), lambda *a: plain_whole_extract(*a)[1]),
     "j01_greedy_match": (("a", "b", "score"), plain_greedy), "j02_shared_tags": (("tag", "element"), plain_shared), "j03_ordered_keep": (("id", "kept"), plain_keep),
     "j04_stacks": (("id", "floor_no", "stack", "jump", "orphan"), plain_stacks), "j05_groups": (("node", "root"), plain_groups), "j07_panels": (("drawing", "x0", "y0", "area", "oversize"), plain_panels),
     "j03_edge_pairs": (("a", "b", "t1", "t2"), plain_edges),
