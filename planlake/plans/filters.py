@@ -147,7 +147,7 @@ def compare_marks(m, d, m_levels, d_levels, tolerance: float = 26):
     """
     from pyspark.sql import Window as W
 
-    col, true, none = F.col, F.lit(True), F.lit(None).cast("string")
+    col, none = F.col, F.lit(None).cast("string")
     named = lambda t: t.withColumn("mark", F.btrim(F.coalesce("mark", F.lit(""))))
     m, d = named(m), named(d)
     counts = m.groupBy("floor_id").agg(F.count("*").alias("n")).join(d.groupBy("floor_id").agg(F.count("*").alias("n_d")).hint("merge"), "floor_id", "full")
@@ -173,4 +173,4 @@ def compare_marks(m, d, m_levels, d_levels, tolerance: float = 26):
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.where(true)
+    return out

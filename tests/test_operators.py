@@ -7,7 +7,7 @@ import pytest
 
 from planlake.functions import diagnostics as dg
 from planlake.functions import geom as g
-from planlake.operators import arcs, buildplan, faces, intervals as iv, loops, matching as mt, numbering as nb, outlines as ol, reports, reread, spatial as sp, tagging
+from planlake.operators import arcs, buildplan, extract, faces, intervals as iv, loops, matching as mt, numbering as nb, outlines as ol, reports, reread, spatial as sp, tagging
 from planlake.sources import drawings as dw, mapping, profiles
 from pyspark.sql import functions as F
 
@@ -449,3 +449,22 @@ def test_reports(spark):
     assert table == {"F1": (1, 0, 1), "F2": (0, 0, 1), "F3": (1, 0, 0)}
     assert {(r["floor_id"], r["ok"]) for r in reports.verification(f, ["floor_id"]).collect()} == {("F1", False), ("F2", False), (None, False)}
     assert reports.by_code(f.limit(0)).count() == 0
+
+
+def test_extraction_of_nothing_and_of_odd_rows(spark):
+    """Empty tables; entities without a rule, a place, a text or a ring; a shape outside of all floors; a column that names its own clashing columns."""
+    on = "drawing string"
+    ring = "ring array<struct<x:double,y:double>>"
+    shapes = f"{on}, id string, layer string, kind string, {ring}, role string, x double"
+    texts = f"{on}, id string, layer string, text string, x double, y double, text_height double, rotation double, floor_id string"
+    lines, frames, rules = f"{on}, id string, layer string, ax double, ay double, bx double, by double", f"{on}, floor_id string, nth int, {ring}", "layer string, role string, text_role string, modifiers array<string>"
+    none = [spark.createDataFrame([], k) for k in (shapes, texts, lines, frames, rules)]
+    x = extract.extract(*none, ["drawing"])
+    assert x.elements.count() == x.findings.count() == x.grids.count() == 0
+    box = lambda x0, y0, w, h: [(x0, y0), (x0 + w, y0), (x0 + w, y0 + h), (x0, y0 + h)]
+    s = [("d", "c1", "COL", "polygon", box(100.0, 100.0, 300.0, 600.0), "?", 1.0), ("d", "c2", "COL", "polygon", box(9e6, 0.0, 300.0, 300.0), None, None), ("d", "c3", "COL", "polygon", None, None, None), ("d", "c4", None, "polygon", box(0.0, 0.0, 300.0, 300.0), None, None)]
+    t = [("d", "t1", "COL", "C1-300X600", 110.0, 110.0, 50.0, 0.0, "F9"), ("d", "t2", "COL", None, 110.0, 110.0, None, None, None), ("d", "t3", "COL", "C2", None, None, 50.0, 0.0, None), ("d", "t4", "COL", "C1-300X600", 110.0, 110.0, 50.0, 0.0, "F9")]
+    data = [s, t, [("d", "g1", "GRID", 5.0, 0.0, 5.0, 900.0)], [("d", "F1", 1, box(0.0, 0.0, 50000.0, 50000.0))], [("COL", "COLUMN", "COLUMN_TAG", []), ("GRID", "GRID", "GRID_TAG", None)]]
+    x = extract.extract(*[spark.createDataFrame(d, k) for d, k in zip(data, (shapes, texts, lines, frames, rules))], ["drawing"])
+    assert rows(x.elements, "id", "floor_id", "number", "mark", "width_mm", "size_source", "n_tags") == [("c1", "F1", 1, "C1", 300.0, "tag", 1)]
+    assert rows(x.findings, "code", "element_id") == [("ELEMENT_OUTSIDE_FLOORS", "c2"), ("GRID_NO_LABEL", "g1"), ("TAG_UNASSIGNED", "t4"), ("TAG_UNPARSED", "t2")]
