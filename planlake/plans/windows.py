@@ -263,7 +263,7 @@ def i02_near_duplicates(spark, sf):
     """Later outlines that an earlier one overlaps too much, with the first such one."""
     r = boxes(spark, sf, "column", 6).groupBy("rect_id", "floor_id").agg(*[F.min(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
     pairs = sp.overlaps(r, r, ["floor_id"], 4000).where("rect_id < b_rect_id")
-    much = (F.col("overlap") / (sp.area() + sp.area("b_") - F.col("overlap")) >= 0.2) | (10 * F.col("overlap") >= 4 * sp.area("b_"))
+    much = (sp.share() >= 0.2) | (10 * F.col("overlap") >= 4 * sp.area("b_"))
     return pairs.where(much).groupBy(F.col("b_rect_id").alias("later")).agg(F.min("rect_id").alias("kept_by"), F.count("*").alias("n"))
 
 
