@@ -496,3 +496,21 @@ def test_queries_on_columns_apart_by_as_much_as_their_areas(spark, tmp_path):
     small = written("small", (104, 100, 300), (112, 712, 1100))
     for name in ("e38_model_drawing", "l03_diff", "a12_verification", "a12_verdicts", "a12_first_findings"):
         assert catalog.QUERIES[name](spark, small).collect() is not None
+
+
+def test_least_takes_pairs_as_they_come(spark):
+    rng = random.Random(5)
+    sizes = [0, 1, 2**28, 2**29, 2**33 - 1, 2**33, 2**40, 2**61 - 1]
+    data = [(rng.randrange(40), rng.choice([-1, 1]) * rng.choice(sizes), rng.choice([-1, 1, 1]) * rng.choice([*sizes, 2**63 - 1])) for _ in range(400)] + [(99, None, None)]
+    df = spark.createDataFrame(data, "k long, a long, b long")
+    got = {r.k: (r["first"], r["second"], r.n) for r in sp.least(df, ["k"], F.col("a"), F.col("b"), n=F.count("*")).collect()}
+    want = {k: (*min((a, b) for x, a, b in data if x == k and a is not None), sum(x == k for x, _, _ in data)) for k in {r[0] for r in data} - {99}}
+    assert got == want | {99: (None, None, 1)}
+
+
+def test_nearest_queries_do_not_sort_their_pairs(spark, sf):
+    from planlake.plans import catalog
+
+    for name in ("e42_grid_labels", "e05_smallest_container", "e08_orphans_nearest", "e13_legend_swatch", "e22_ramp_line", "e32_wall_top", "e33_touching_support", "e40_mark_of"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan, name
