@@ -521,3 +521,28 @@ def test_slab_tags_are_counted_by_numbers(spark, sf):
 
     plan = catalog.QUERIES["e17_slab_tags"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert "keys=[slab_id" not in plan and "keys=[coalesce" not in plan
+
+
+def test_greedy_in_steps_is_the_greedy_pass(spark):
+    rng = random.Random(8)
+    pairs = {(rng.randrange(150), rng.randrange(90)): float(rng.randrange(60)) for _ in range(1500)}
+    p = spark.createDataFrame([(a, b, s) for (a, b), s in pairs.items()], "a long, b long, score double")
+    asked = []
+
+    def candidates(a, b, most):
+        c = p.join(a, "a", "left_semi").join(b, "b", "left_semi")
+        asked.append((most, (c if most is None else c.where(F.col("score") <= most)).count()))
+        return c if most is None else c.where(F.col("score") <= most)
+
+    used_a, used_b, want = set(), set(), []
+    for (a, b), s in sorted(pairs.items(), key=lambda r: (r[1], *r[0])):
+        if a not in used_a and b not in used_b:
+            used_a.add(a)
+            used_b.add(b)
+            want.append((a, b, s))
+    for few in (100, 10**6):
+        del asked[:]
+        got = mt.greedy_in_steps(p.select("a").distinct(), p.select("b").distinct(), candidates, [5.0, 20.0], few)
+        assert rows(got, "a", "b", "score") == sorted(want)
+        assert [m for m, _ in asked] == ([None, 5.0, 20.0, None] if few == 100 else [None, None])
+        assert few > 100 or max(n for _, n in asked[1:]) < len(pairs) / 2
