@@ -9,6 +9,7 @@ from planlake.functions import diagnostics as dg
 from planlake.functions import geom as g
 from planlake.operators import arcs, buildplan, extract, faces, intervals as iv, loops, matching as mt, numbering as nb, outlines as ol, reports, reread, spatial as sp, tagging
 from planlake.sources import drawings as dw, mapping, profiles
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -33,6 +34,25 @@ def test_parallel_pairs(spark):
     assert rows(iv.parallel_pairs(lines, ["b"], "id", 100, 1500, 300), "id", "b_id", "width") == [(1, 2, 230.0)]
 
 
+def test_parallel_pairs_meet_by_stretches(spark):
+    """Against all pairs, with lines far longer than most; and a key besides the band, so that lines far apart never meet."""
+    rng = random.Random(5)
+    data = [(i, i % 2, rng.randrange(-4000, 4000), t := rng.randrange(-20000, 20000), t + (rng.randrange(100, 900) if i % 50 else 30000)) for i in range(600)] + [(900, 0, 100, 50, 50), (901, 0, 300, 80, 20), (902, 0, None, 5, 900)]
+    lines = spark.createDataFrame(data, "id long, b int, offset long, t1 long, t2 long")
+    lap = lambda p, q: min(p[4], q[4]) - max(p[3], q[3])
+    full = [d for d in data if d[2] is not None and d[4] >= d[3]]
+    for least in (300, 0, -50):
+        want = sorted((p[0], q[0], lap(p, q)) for p in full for q in full if p[0] != q[0] and p[1] == q[1] and 100 <= q[2] - p[2] <= 1500 and lap(p, q) >= least)
+        p = iv.parallel_pairs(lines, ["b"], "id", 100, 1500, least)
+        assert sorted((r["id"], r["b_id"], r["t2"] - r["t1"]) for r in p.collect()) == want
+    join = next(x for x in p._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin" in x)
+    assert join.count("_at") >= 2
+    placed = iv.parallel_pairs(lines, ["b"], "id", 100, 1500, 300, ["_band", "_at"]).withColumn("n", F.row_number().over(W.partitionBy("b", "_band", "_at", "id").orderBy("score", "b_id")))
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2  # those of the two sides
+
+
+
 def test_fill_numbers(spark):
     rng = random.Random(1)
     data = [(g, i, rng.choice([None, None, rng.randrange(1, 40)])) for g in range(5) for i in range(30)]
