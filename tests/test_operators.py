@@ -566,3 +566,39 @@ def test_greedy_in_steps_is_the_greedy_pass(spark):
         assert rows(got, "a", "b", "score") == sorted(want)
         assert [m for m, _ in asked] == ([None, 5.0, 20.0, None] if few == 100 else [None, None])
         assert few > 100 or max(n for _, n in asked[1:]) < len(pairs) / 2
+
+
+def test_groups_within_a_drawing_need_no_rounds(spark, monkeypatch):
+    """Groups that no drawing shares are found by the task of their drawing, however many edges there are in all; batches are contracted as they come."""
+    e = [(d, d * 100 + i, d * 100 + (i + 7) % 30 + 30 * (i // 30)) for d in range(20) for i in range(60)]
+    edges = spark.createDataFrame(e, "d long, a long, b long")
+    want = sorted((a, a - a % 100 + 30 * (a % 100 // 30)) for _, a, _ in e)
+    written, real = [], mt.Rounds.settled
+    monkeypatch.setattr(mt.Rounds, "settled", lambda self, df: written.append(1) or real(self, df))
+    assert rows(mt.groups(edges, 60, within=["d"]), "node", "root") == want and len(written) == 2
+    assert rows(mt.groups(edges, 14, within=["d"]), "node", "root") == want  # a drawing is too large: rounds
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[1]]), pa.array([x[2]])], ["a", "b"]) for x in e]
+    assert sorted((r["node"], r["root"]) for b in mt._contracted(iter(batches), 50) for r in b.to_pylist()) == want
+
+
+def test_links_of_touching_boxes(spark):
+    """Links connect what all overlapping pairs connect, and boxes drawn over each other have few."""
+    rng = random.Random(8)
+    boxes = [(i, i % 2, x := rng.randrange(-3000, 3000), y := rng.randrange(-3000, 3000), x + rng.randrange(0, 600), y + rng.randrange(0, 400)) for i in range(150)]
+    boxes += [(i, 5, 10, 10, 450, 450) for i in range(200, 300)] + [(300, 5, 450, 10, 700, 450), (301, 5, 449, 449, 460, 460)]
+    frame = spark.createDataFrame(boxes, "id long, f int, x0 long, y0 long, x1 long, y1 long")
+    pairs = sp.overlaps(frame, frame, ["f"], 300).where("id < b_id").select(F.col("id").alias("a"), F.col("b_id").alias("b"))
+    links = sp.touching_links(frame, "id", ["f"], 100)
+    assert rows(mt.groups(links), "node", "root") == rows(mt.groups(pairs), "node", "root")
+    assert pairs.where("a >= 200").count() > 4950 and links.where("f = 5").count() < 120
+
+
+def test_ends_in_one_place_are_one_node(spark, monkeypatch):
+    points = spark.createDataFrame([(i, "a", float(i % 3 * 4), 0.0) for i in range(300)] + [(900, "a", None, 0.0)], "id long, k string, x double, y double")
+    edges, real = [], mt.groups
+    monkeypatch.setattr(mt, "groups", lambda e, *a, **k: edges.append(e.count()) or real(e, *a, **k))
+    got = {r["id"]: (r["sx"], r["sy"]) for r in mt.snapped_points(points, ["k"], 5).collect()}
+    assert len(got) == 301 and got[0] == got[299] == (4.0, 0.0) and got[900] == (None, 0.0)
+    assert edges == [2]  # not one for each pair of 300 points
