@@ -271,7 +271,7 @@ def i02_near_duplicates(spark, sf):
 @query(f"select a.rect_id, count(*) as n_inside from {_b('slab', 20)} a join {_b('column')} b on a.floor_id = b.floor_id and b.x0 >= a.x0 and b.x1 <= a.x1 and b.y0 >= a.y0 and b.y1 <= a.y1 group by a.rect_id having count(*) >= 2")
 def i03_enclosures(spark, sf):
     """Outlines that hold two or more others whole: to be dropped."""
-    pairs = sp.overlaps(boxes(spark, sf, "slab", 20), boxes(spark, sf, "column"), ["floor_id"], 10000).where(F.col("overlap") == sp.area("b_"))
+    pairs = sp.held_whole(boxes(spark, sf, "column"), boxes(spark, sf, "slab", 20), ["floor_id"], 4000)
     return pairs.groupBy("rect_id").agg(F.count("*").alias("n_inside")).where("n_inside >= 2")
 
 

@@ -602,3 +602,14 @@ def test_ends_in_one_place_are_one_node(spark, monkeypatch):
     got = {r["id"]: (r["sx"], r["sy"]) for r in mt.snapped_points(points, ["k"], 5).collect()}
     assert len(got) == 301 and got[0] == got[299] == (4.0, 0.0) and got[900] == (None, 0.0)
     assert edges == [2]  # not one for each pair of 300 points
+
+
+def test_boxes_held_whole(spark):
+    """Edges count, on cell borders too; the inner side is not spread over cells."""
+    rng = random.Random(9)
+    boxes = [(i, i % 2, x := rng.randrange(-20, 20) * 50, y := rng.randrange(-20, 20) * 50, x + rng.randrange(0, 12) * 50, y + rng.randrange(0, 12) * 50) for i in range(120)]
+    frame = spark.createDataFrame(boxes, "id long, f int, x0 long, y0 long, x1 long, y1 long")
+    want = sorted((a[0], b[0]) for a in boxes for b in boxes if a[1] == b[1] and a[2] >= b[2] and a[3] >= b[3] and a[4] <= b[4] and a[5] <= b[5])
+    pairs = sp.held_whole(frame, frame, ["f"], 100)
+    assert rows(pairs, "i_id", "id") == want
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 2  # x and y of the outer side
