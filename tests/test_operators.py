@@ -7,7 +7,7 @@ import pytest
 
 from planlake.functions import diagnostics as dg
 from planlake.functions import geom as g
-from planlake.operators import arcs, buildplan, extract, faces, intervals as iv, loops, matching as mt, numbering as nb, outlines as ol, reports, reread, spatial as sp, tagging
+from planlake.operators import arcs, buildplan, extract, faces, intervals as iv, loops, matching as mt, numbering as nb, outlines as ol, reports, reread, spatial as sp, tagging, sweeps
 from planlake.sources import drawings as dw, mapping, profiles
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -613,3 +613,32 @@ def test_boxes_held_whole(spark):
     pairs = sp.held_whole(frame, frame, ["f"], 100)
     assert rows(pairs, "i_id", "id") == want
     assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 2  # x and y of the outer side
+
+
+def _stacked_naively(boxes, tol, least):
+    out = []
+    middle = lambda b: ((b[2] + b[4]) / 2, (b[3] + b[5]) / 2)
+    for f in sorted({b[1] for b in boxes}):
+        used = set()
+        for b in sorted((b for b in boxes if b[1] == f), key=lambda b: (*middle(b), b[0])):
+            best = []
+            for a in boxes:
+                if a[1] == f - 1 and a[0] not in used:
+                    w, h = (max(0, min(a[4 + k], b[4 + k]) - max(a[2 + k], b[2 + k])) for k in (0, 1))
+                    d, size = math.dist(middle(a), middle(b)), lambda c: (c[4] - c[2]) * (c[5] - c[3])
+                    if d <= tol or w * h:
+                        best.append((-round(w * h / (size(a) + size(b) - w * h) + (1 - min(d, tol) / tol) / 2, 6), a[0], d))
+            if best and min(best)[0] < 0 and (-min(best)[0] >= least or min(best)[2] <= tol):
+                used.add(min(best)[1])
+                out.append((min(best)[1], b[0]))
+    return sorted(out)
+
+
+def test_stacks_in_strips_are_those_of_a_plain_pass(spark):
+    rng = random.Random(8)
+    boxes = [(i, 1 + i % 3, x := rng.randrange(3000), y := rng.randrange(1500), x + rng.randrange(120, 900), y + rng.randrange(120, 900)) for i in range(300)]
+    frame = spark.createDataFrame(boxes, "id long, f int, x0 long, y0 long, x1 long, y1 long")
+    want = _stacked_naively(boxes, 90.0, 0.25)
+    assert len(want) > 60
+    for size in (25, 200_000):
+        assert rows(sweeps.stacked(frame, "f", 90.0, 0.25, size), "low", "high") == want
