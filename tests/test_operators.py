@@ -642,3 +642,13 @@ def test_stacks_in_strips_are_those_of_a_plain_pass(spark):
     assert len(want) > 60
     for size in (25, 200_000):
         assert rows(sweeps.stacked(frame, "f", 90.0, 0.25, size), "low", "high") == want
+
+
+def test_crowded_stacks_and_junctions_make_no_pairs(spark, monkeypatch):
+    """A few million pairs overlap here; the passes get boxes."""
+    monkeypatch.setattr("planlake.operators.spatial.overlaps", lambda *a, **k: pytest.fail("all pairs are made"))
+    boxes = [(i, 1 + i % 2, i, 0, i + 4000, 900 + i % 7) for i in range(3000)]
+    frame = spark.createDataFrame(boxes, "id long, f int, x0 long, y0 long, x1 long, y1 long")
+    assert sweeps.stacked(frame, "f", 600.0, 0.25).count() > 1490
+    out = faces.trim_junctions(frame, "id", ["f"], 5000)
+    assert out.count() == 3000 and out.where("trimmed").count() > 2000
