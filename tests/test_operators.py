@@ -8,6 +8,7 @@ import pytest
 from planlake.functions import diagnostics as dg
 from planlake.functions import geom as g
 from planlake.operators import arcs, buildplan, extract, faces, intervals as iv, loops, matching as mt, numbering as nb, outlines as ol, reports, reread, spatial as sp, tagging, sweeps
+from planlake.plans import catalog
 from planlake.sources import drawings as dw, mapping, profiles
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -652,3 +653,23 @@ def test_crowded_stacks_and_junctions_make_no_pairs(spark, monkeypatch):
     assert sweeps.stacked(frame, "f", 600.0, 0.25).count() > 1490
     out = faces.trim_junctions(frame, "id", ["f"], 5000)
     assert out.count() == 3000 and out.where("trimmed").count() > 2000
+
+
+def test_boxes_get_their_points_without_rows_for_pairs(spark):
+    """Also boxes far larger than a cell, with the points strictly inside in order."""
+    rng = random.Random(9)
+    boxes = [(i, "a", x := rng.randrange(-500, 500), y := rng.randrange(-500, 500), x + rng.choice([3, 40, 300, 1000]), y + rng.choice([0, 7, 90, 1000])) for i in range(80)]
+    points = [(i, rng.choice("ab"), rng.randrange(-500, 900), rng.randrange(-500, 900)) for i in range(150)]
+    b, p = spark.createDataFrame(boxes, "id long, f string, x0 long, y0 long, x1 long, y1 long"), spark.createDataFrame(points, "n long, f string, x long, y long")
+    want = {i: [n for n, g, x, y in points if g == f and x0 < x < x1 and y0 < y < y1] for i, f, x0, y0, x1, y1 in boxes}
+    for how in ("left", "inner"):
+        out = sp.with_points(b, p, ["f"], 50, F.struct("n", "x", "y"), lambda r: (r["x"], r["y"]), how)
+        got = {r["id"]: [h["n"] for h in r["held"] or []] for r in out.collect()}
+        assert got == {i: w for i, w in want.items() if w or how == "left"}
+
+
+def test_labels_shuffle_no_pairs(spark, sf):
+    """Footings are not aggregated at all, openings only where an id has several boxes."""
+    plan = catalog.QUERIES["e27_footing_stacks"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("SortMergeJoin")]
+    assert "Aggregate" not in after and "Exchange" not in after
