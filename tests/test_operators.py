@@ -2,7 +2,9 @@
 
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 
 from planlake.functions import diagnostics as dg
@@ -692,3 +694,13 @@ def test_ordered_keep_in_steps_writes_few_pairs(spark, monkeypatch):
     out = mt.ordered_keep_in_steps(frame, conflicts, 40)
     assert sorted(r["id"] for r in out.where("kept").collect()) == want and out.count() == out.select("id").distinct().count() == 600
     assert len(seen) > 3 and sum(seen) < conflicts(frame, frame).count() / 20
+
+
+def test_free_cells_of_a_large_drawing_are_not_walked_one_by_one():
+    """Two million cells round 700 posts within a frame: one hole. A walk over the cells takes several seconds."""
+    n = 700
+    frame = [(-10, -10, 10 * n + 10, -5), (-10, 10 * n + 5, 10 * n + 10, 10 * n + 10), (-10, -10, -5, 10 * n + 10), (10 * n + 5, -10, 10 * n + 10, 10 * n + 10)]
+    boxes = np.array(frame + [(10 * i + 2, 10 * i + 2, 10 * i + 5, 10 * i + 5) for i in range(n)], float)
+    start = time.process_time()
+    assert faces.holes(boxes) == [(-5, -5, 10 * n + 5, 10 * n + 5, (10 * n + 10) ** 2 - 9 * n)]
+    assert time.process_time() - start < 2
