@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +20,12 @@ def with_bulges(ring: list[Point], circles: list[tuple[float, float, float]], to
     ring's end too, becomes its two ends; three or more tell by the middle one which way round it goes, two go the
     shorter way. A ring all on one circle becomes two half circles; one all on circles is turned to where the circle changes.
     """
+    return _reduced(ring, circles, [next((k for k, (x, y, r) in enumerate(circles) if abs(math.dist(p, (x, y)) - r) <= tolerance), None) for p in ring])
+
+
+def _reduced(ring: list[Point], circles: list[tuple[float, float, float]], on: list[int | None]) -> tuple[list[Point], list[float]]:
+    """with_bulges() of vertices whose circles are known."""
     n = len(ring)
-    on = [next((k for k, (x, y, r) in enumerate(circles) if abs(math.dist(p, (x, y)) - r) <= tolerance), None) for p in ring]
     if n < 3 or not any(k is not None for k in on):
         return list(ring), [0.0] * n
     starts = [i for i in range(n) if on[i] != on[i - 1] or on[i] is None]
@@ -32,11 +37,12 @@ def with_bulges(ring: list[Point], circles: list[tuple[float, float, float]], to
     bulges: list[float] = []
     for i, s in enumerate(starts):
         end = starts[(i + 1) % len(starts)]
-        run = [ring[(s + j) % n] for j in range((end - s) % n or n)]
-        if on[s] is None or len(run) == 1:
-            points.append(run[0])
+        many = (end - s) % n or n
+        if on[s] is None or many == 1:
+            points.append(ring[s])
             bulges.append(0.0)
             continue
+        run = (ring + ring)[s : s + many]
         x, y, _ = circles[on[s]]
         turn = lambda p: (math.atan2(p[1] - y, p[0] - x) - math.atan2(run[0][1] - y, run[0][0] - x)) % (2 * math.pi)  # noqa: B023, E731
         sweep = turn(run[-1])
@@ -53,17 +59,36 @@ def fitted(rings: DataFrame, tolerance: float) -> DataFrame:
     names = src.columns
     at = {c: names.index(c) for c in ("ring", "circles", "bulges")}
 
+    def flat(lists: pa.ListArray, fields: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Starts and ends of the lists (alike for null) and the fields of all their structs."""
+        at = lists.offsets.to_numpy()
+        ends = np.where(lists.is_null().to_numpy(zero_copy_only=False), at[:-1], at[1:])
+        return at[:-1], ends, [lists.values.field(f).to_numpy(zero_copy_only=False).astype(float) for f in fields]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out_r, out_b = [], []
-            for ring, circles in zip(b.column(at["ring"]).to_pylist(), b.column(at["circles"]).to_pylist()):
-                if ring is None:
-                    out_r.append(None), out_b.append(None)
-                    continue
-                pts, bulges = with_bulges([(p["x"], p["y"]) for p in ring], [(c["x"], c["y"], c["r"]) for c in circles or []], tolerance)
-                out_r.append([{"x": x, "y": y} for x, y in pts]), out_b.append(bulges)
+            rings = b.column(at["ring"])
+            (start, end, (x, y)), (first, last, circle) = flat(rings, "xy"), flat(b.column(at["circles"]), "xyr")
+            # the first circle that each vertex of the batch is on; -1 for none
+            of, on = np.repeat(np.arange(len(start)), end - start), np.full(len(x), -1)
+            place = np.repeat(start - np.cumsum(end - start) + end - start, end - start) + np.arange(len(of))
+            for k in range(int((last - first).max(initial=0))):
+                some = (first[of] + k < last[of]) & (on[place] < 0)
+                p, c = place[some], first[of[some]] + k
+                on[p[np.abs(np.hypot(x[p] - circle[0][c], y[p] - circle[1][c]) - circle[2][c]) <= tolerance]] = k
+            points, seen = list(zip(x.tolist(), y.tolist())), [k if k >= 0 else None for k in on.tolist()]
+            known, null = list(zip(*(c.tolist() for c in circle))), rings.is_null().to_numpy(zero_copy_only=False)
+            out_p, out_b, sizes = [], [], [0]
+            for i, j, f, t in zip(start.tolist(), end.tolist(), first.tolist(), last.tolist()):
+                pts, bulges = _reduced(points[i:j], known[f:t], seen[i:j])
+                out_p += pts
+                out_b += bulges
+                sizes.append(len(out_p))
+            sizes, mask = pa.array(sizes, pa.int32()), pa.array(null)
+            xy = np.array(out_p, float).reshape(-1, 2)
             cols = list(b.columns)
-            cols[at["ring"]], cols[at["bulges"]] = pa.array(out_r, b.schema.field(at["ring"]).type), pa.array(out_b, b.schema.field(at["bulges"]).type)
+            cols[at["ring"]] = pa.ListArray.from_arrays(sizes, pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["x", "y"]), mask=mask)
+            cols[at["bulges"]] = pa.ListArray.from_arrays(sizes, pa.array(out_b, pa.float64()), mask=mask)
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return src.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields))

@@ -704,3 +704,19 @@ def test_free_cells_of_a_large_drawing_are_not_walked_one_by_one():
     start = time.process_time()
     assert faces.holes(boxes) == [(-5, -5, 10 * n + 5, 10 * n + 5, (10 * n + 10) ** 2 - 9 * n)]
     assert time.process_time() - start < 2
+
+
+def test_arcs_of_a_table_are_those_of_each_ring(spark):
+    """Rings on none, one or several circles, null rings, null circles and empty ones, in one batch and in slices of it."""
+    rng, rows_ = random.Random(10), [(0, None, None), (1, [], []), (2, None, [(0.0, 0.0, 5.0)])]
+    for i in range(3, 60):
+        circles = [(float(rng.randrange(50)), float(rng.randrange(50)), 10.0) for _ in range(rng.randrange(4))]
+        ring = [(float(rng.randrange(90)), float(rng.randrange(90))) for _ in range(rng.randrange(6))]
+        for x, y, r in circles[: rng.randrange(4)]:
+            ring += [(x + r * math.cos(a / 3), y + r * math.sin(a / 3)) for a in range(rng.randrange(1, 8))]
+        rows_.append((i, ring, circles if i % 7 else None))
+    t = spark.createDataFrame(rows_, "id int, ring array<struct<x:double,y:double>>, circles array<struct<x:double,y:double,r:double>>").coalesce(1)
+    want = {i: (None, None) if ring is None else arcs.with_bulges(ring, circles or [], 0.01) for i, ring, circles in rows_}
+    for t in (t, t.where("id % 3 > 0").orderBy("id")):
+        got = {r["id"]: (r["ring"] and [tuple(p) for p in r["ring"]], r["bulges"]) for r in arcs.fitted(t, 0.01).collect()}
+        assert len(got) > 30 and got == {i: want[i] for i in got}
