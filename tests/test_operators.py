@@ -720,3 +720,17 @@ def test_arcs_of_a_table_are_those_of_each_ring(spark):
     for t in (t, t.where("id % 3 > 0").orderBy("id")):
         got = {r["id"]: (r["ring"] and [tuple(p) for p in r["ring"]], r["bulges"]) for r in arcs.fitted(t, 0.01).collect()}
         assert len(got) > 30 and got == {i: want[i] for i in got}
+
+
+def test_only_pairs_that_can_be_alike_are_clipped(spark):
+    """Bounds that share too little are left out before rings go to Python; what is left has the same areas."""
+    tri = lambda x, y, w: [(x, y), (x + w, y), (x, y + w)]
+    rows = [(i, "L01", tri(float(i * 37 % 400), float(i * 91 % 400), 100.0 + i % 3)) for i in range(60)] + [(60, "L01", tri(37.0, 91.0, 101.0))]
+    o = spark.createDataFrame([(i, f, [{"x": x, "y": y} for x, y in r]) for i, f, r in rows], "id long, floor string, ring array<struct<x:double,y:double>>")
+    o = ol._bounded(o)
+    share = F.col("overlap") >= 0.6 * (F.col("area") + F.col("b_area") - F.col("overlap"))
+    can = (F.col("id") < F.col("b_id")) & (F.col("overlap") * ol._ROUNDED >= 0.6 * (F.col("area") + F.col("b_area") - F.col("overlap")))
+    every, few = ol.ring_overlaps(o, o, ["floor"], 100), ol.ring_overlaps(o, o, ["floor"], 100, can)
+    key = lambda df: sorted((r["id"], r["b_id"], round(r["overlap"], 6)) for r in df.where(share & (F.col("id") < F.col("b_id"))).collect())
+    assert key(every) == key(few) and (1, 60, 5100.5) in key(few)
+    assert few.count() < every.count() / 4
