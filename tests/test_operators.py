@@ -767,3 +767,39 @@ def test_tags_in_one_place_are_shared_out_without_their_pairs(spark):
 def test_shared_tags_make_no_pairs_of_tags_that_lie_inside(spark, sf, monkeypatch):
     monkeypatch.setattr(mt, "share_tags", lambda *a, **k: pytest.fail("all pairs are made"))
     assert catalog.QUERIES["j02_shared_tags"](spark, sf).count() > 0
+
+
+def test_places_are_matched_as_all_their_tags_would_be(spark):
+    """Also where many pairs are alike in score, a pair has two scores, and the pass goes by steps."""
+    rng = random.Random(14)
+    for n in range(6):
+        places = [(i, "ab"[i % 2], sorted(rng.sample(range(1000 * i, 1000 * i + 900), rng.randrange(1, 5)))) for i in range(40)]
+        rng.shuffle(ids := list(range(40)))
+        places = [(i, f, [t + 50_000 * ids[i] % 7000 for t in tags]) for i, f, tags in places]
+        pairs = [(f, i, 2 * rng.randrange(25) + "ab".index(f), rng.randrange(8) / 2) for i, f, _ in places for _ in range(rng.randrange(9))]
+        used, want = set(), []
+        for s, a, b in sorted((s, a, b) for _, i, b, s in pairs for a in places[i][2]):
+            if ("a", a) not in used and ("b", b) not in used:
+                used |= {("a", a), ("b", b)}
+                want.append((a, b, s))
+        if len({t for p in places for t in p[2]}) < sum(len(p[2]) for p in places):
+            continue  # a tag is in one place
+        p = spark.createDataFrame(pairs, "f string, place long, b long, score double")
+        t = spark.createDataFrame(places, "place long, f string, tags array<long>")
+        b = p.select("f", "b").distinct()
+        near = lambda t, b, most: (q := p.join(t.select("place"), "place", "left_semi").join(b.select("b"), "b", "left_semi"), q if most is None else q.where(F.col("score") <= most))[1]
+        for few in (10, 10**6) if n < 2 else (10**6,):
+            assert rows(mt.greedy_places(t, b, near, ["f"], [0.0, 1.0], few), "a", "b", "score") == sorted(want)
+
+
+def test_one_place_has_its_pairs_once(spark, sf, monkeypatch):
+    """Notes in one place do not bring their pairs each."""
+    from planlake.plans import joins
+
+    seen, real = [], joins.scored
+    monkeypatch.setattr(joins, "scored", lambda n, *a, **k: seen.append(n) or real(n, *a, **k))
+    n = joins.notes(spark, sf)
+    more = n.unionByName(n.withColumn("note_id", F.col("note_id") + 6_000_000))
+    monkeypatch.setattr(joins, "notes", lambda *a: more)
+    joins.greedy_candidates(spark, sf)
+    assert seen and seen[0].count() == n.select("floor_id", "x", "y", F.col("note_id") % 6).distinct().count()
