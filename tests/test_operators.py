@@ -803,3 +803,12 @@ def test_one_place_has_its_pairs_once(spark, sf, monkeypatch):
     monkeypatch.setattr(joins, "notes", lambda *a: more)
     joins.greedy_candidates(spark, sf)
     assert seen and seen[0].count() == n.select("floor_id", "x", "y", F.col("note_id") % 6).distinct().count()
+
+
+def test_only_matched_notes_are_parsed(spark, sf, monkeypatch):
+    from planlake.plans import jobs
+
+    seen, real = [], jobs.tx.parse_tags
+    monkeypatch.setattr(jobs.tx, "parse_tags", lambda df, *a, **k: seen.append(df.count()) or real(df, *a, **k))
+    sized = catalog.QUERIES["l01_extract"](spark, sf).where("note_id is not null").select("note_id").distinct().count()
+    assert 0 < sized <= seen[0] < jobs.view(spark, sf, "vN").count() / 2
