@@ -812,3 +812,25 @@ def test_only_matched_notes_are_parsed(spark, sf, monkeypatch):
     monkeypatch.setattr(jobs.tx, "parse_tags", lambda df, *a, **k: seen.append(df.count()) or real(df, *a, **k))
     sized = catalog.QUERIES["l01_extract"](spark, sf).where("note_id is not null").select("note_id").distinct().count()
     assert 0 < sized <= seen[0] < jobs.view(spark, sf, "vN").count() / 2
+
+
+def test_smallest_boxes_around_places(spark):
+    """Also of boxes that reach beyond all places, on edges, alike, on floors without places, and of more places than are told."""
+    rng = random.Random(15)
+    points = [("ab"[rng.randrange(2)], rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(70)]
+    boxes = [("abc"[rng.randrange(3)], i // 2, x := rng.randrange(-90, 90), y := rng.randrange(-90, 90), x + rng.choice([0, 3, 30, 200]), y + rng.choice([1, 9, 90, 300])) for i in range(120)]
+    p, b = spark.createDataFrame(points, "f string, x long, y long"), spark.createDataFrame(boxes, "f string, i long, x0 long, y0 long, x1 long, y1 long")
+    want = []
+    for f, x, y in set(points):
+        held = [((x1 - x0) * (y1 - y0), i) for g, i, x0, y0, x1, y1 in boxes if g == f and x0 < x < x1 and y0 < y < y1]
+        if held:
+            want.append((f, x, y, *min(held), len(held)))
+    assert len(want) > 40
+    assert rows(sweeps.smallest_around(p, b, "f", "i"), "f", "x", "y", "area", "id", "n") == sorted(want)
+    assert sweeps.smallest_around(p, b, "f", "i", 20) is None
+    assert sweeps.smallest_around(p, b.withColumn("x1", F.col("x1") + 2**31), "f", "i") is None
+
+
+def test_smallest_container_shuffles_no_boxes(spark, sf):
+    plan = catalog.QUERIES["e05_smallest_container"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" in plan and "_cx" not in plan
