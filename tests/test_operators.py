@@ -834,3 +834,21 @@ def test_smallest_boxes_around_places(spark):
 def test_smallest_container_shuffles_no_boxes(spark, sf):
     plan = catalog.QUERIES["e05_smallest_container"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert "MapInArrow" in plan and "_cx" not in plan
+
+
+def test_boxes_held_whole_are_counted_without_their_pairs(spark, monkeypatch):
+    """Edges included, also of boxes smaller than an inner one, alike, on several floors and in many strips."""
+    monkeypatch.setattr(sp, "held_whole", lambda *a: pytest.fail("all pairs are made"))
+    rng = random.Random(16)
+    box = lambda most: (x := rng.randrange(-40, 80), y := rng.randrange(-40, 80), x + rng.randrange(most), y + rng.randrange(most))
+    inner = [("ab"[i % 2], *box(12)) for i in range(250)]
+    outer = [("abc"[i % 3], i // 2, *box(rng.choice([8, 60]))) for i in range(200)]
+    want = []
+    for f, i, x0, y0, x1, y1 in outer:
+        n = sum(g == f and x0 <= a0 and y0 <= b0 and a1 <= x1 and b1 <= y1 for g, a0, b0, a1, b1 in inner)
+        want += [(i, n)] if n else []
+    assert len(want) > 50
+    a, b = spark.createDataFrame(inner, "f string, x0 long, y0 long, x1 long, y1 long"), spark.createDataFrame(outer, "f string, i long, x0 long, y0 long, x1 long, y1 long")
+    for size in (9, 10**6):
+        assert rows(sweeps.whole_counts(a, b, "i", "f", size), "i", "n") == sorted(want)
+    assert sweeps.whole_counts(a, b.where("false"), "i", "f").count() == 0
