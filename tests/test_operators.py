@@ -852,3 +852,25 @@ def test_boxes_held_whole_are_counted_without_their_pairs(spark, monkeypatch):
     for size in (9, 10**6):
         assert rows(sweeps.whole_counts(a, b, "i", "f", size), "i", "n") == sorted(want)
     assert sweeps.whole_counts(a, b.where("false"), "i", "f").count() == 0
+
+
+def test_notes_in_one_place_go_to_labels_together(spark, sf, monkeypatch):
+    """Notes that come again do so in labels, in order, also where two boxes of an id hold their place."""
+    from planlake.plans import joins
+
+    n = joins.notes(spark, sf)
+    more = n.unionByName(n.where("note_id % 3 = 0")).unionByName(n.withColumn("note_id", F.col("note_id") + 7_000_000))
+    b = joins.boxes(spark, sf, None).where("rect_id % 10 in (4, 5)").withColumns({"x1": F.col("x1") + 20_000, "y1": F.col("y1") + 20_000})
+    b = b.unionByName(b.where("rect_id % 3 = 0").withColumn("x0", F.col("x0") + 1000)).where("rect_id % 4 = 0").limit(60).cache()
+    monkeypatch.setattr(joins, "notes", lambda *a: more)
+    monkeypatch.setattr(joins, "boxes", lambda spark, sf, kind=None, wide=1: b)
+    seen, real = [], sp.with_points
+    monkeypatch.setattr(joins.sp, "with_points", lambda boxes, points, *a, **k: seen.append(points) or real(boxes, points, *a, **k))
+    points = [(r["floor_id"], r["x"], r["y"], r["note_id"]) for r in more.collect()]
+    held, want = {}, []
+    for r in b.collect():
+        inside = [(-y, x, i) for f, x, y, i in points if f == r["floor_id"] and r["x0"] < x < r["x1"] and r["y0"] < y < r["y1"]]
+        held.setdefault(r["rect_id"], []).extend(inside)
+    want = sorted((i, " ".join(str(p[2]) for p in sorted(v))) for i, v in held.items() if v)
+    assert len(want) > 10 and rows(catalog.QUERIES["e19_opening_labels"](spark, sf), "rect_id", "label") == want
+    assert seen[0].count() == n.select("floor_id", "x", "y").distinct().count()
