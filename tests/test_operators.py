@@ -874,3 +874,17 @@ def test_notes_in_one_place_go_to_labels_together(spark, sf, monkeypatch):
     want = sorted((i, " ".join(str(p[2]) for p in sorted(v))) for i, v in held.items() if v)
     assert len(want) > 10 and rows(catalog.QUERIES["e19_opening_labels"](spark, sf), "rect_id", "label") == want
     assert seen[0].count() == n.select("floor_id", "x", "y").distinct().count()
+
+
+def test_a_pass_over_boxes_holds_the_stretches_of_some_only(monkeypatch):
+    """What is near each box is looked up for some boxes at a time, and is the same."""
+    rng = np.random.default_rng(17)
+    x, y = rng.integers(0, 5000, 300).astype(float), rng.integers(0, 5000, 300).astype(float)
+    boxes = np.stack([x, y, x + rng.integers(1, 900, 300), y + rng.integers(1, 900, 300)], 1)
+    near, asked, real = sweeps.Near(boxes), [], sweeps.Near.stretches
+    monkeypatch.setattr(sweeps.Near, "stretches", lambda self, b, *a: asked.append(len(b)) or real(self, b, *a))
+    start, end = real(near, boxes)
+    found = {i: sorted(k for s, e in zip(*f) if s < e for k in near.order[s:e].tolist()) for i, _, f in near.each(boxes, 0.0, 70)}
+    assert max(asked) <= 70 and len(found) == 300
+    for i in range(300):
+        assert found[i] == sorted(k for s, e in zip(start[:, i], end[:, i]) if s < e for k in near.order[s:e].tolist())
