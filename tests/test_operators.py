@@ -888,3 +888,11 @@ def test_a_pass_over_boxes_holds_the_stretches_of_some_only(monkeypatch):
     assert max(asked) <= 70 and len(found) == 300
     for i in range(300):
         assert found[i] == sorted(k for s, e in zip(start[:, i], end[:, i]) if s < e for k in near.order[s:e].tolist())
+
+
+def test_overlaps_carry_the_sides_of_a_box_once(spark):
+    b = spark.createDataFrame([(1, 0, 0, 5, 5), (2, 4, 4, 9, 9), (3, 11, 4, 12, 5)], "id long, x0 long, y0 long, x1 long, y1 long")
+    out = sp.overlaps(b, b, [], 4, grow=3).where("id < b_id")
+    assert rows(out, "id", "b_id", "overlap") == [(1, 2, 16), (2, 3, 4)]  # the second is 1 by 4
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bx0" not in plan and "_by1" not in plan
