@@ -896,3 +896,8 @@ def test_overlaps_carry_the_sides_of_a_box_once(spark):
     assert rows(out, "id", "b_id", "overlap") == [(1, 2, 16), (2, 3, 4)]  # the second is 1 by 4
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "_bx0" not in plan and "_by1" not in plan
+
+
+def test_lines_that_come_again_shuffle_no_others(spark, sf):
+    plan = catalog.QUERIES["g09_pairs_without_barrier"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 1
