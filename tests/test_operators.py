@@ -901,3 +901,14 @@ def test_overlaps_carry_the_sides_of_a_box_once(spark):
 def test_lines_that_come_again_shuffle_no_others(spark, sf):
     plan = catalog.QUERIES["g09_pairs_without_barrier"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("SortMergeJoin") == 1
+
+
+def test_outlines_meet_without_their_names(spark, monkeypatch):
+    """What is compared is an outline's place and ring; layers, handles and what was merged are not shuffled to each cell."""
+    seen, real = [], ol.ring_overlaps
+    monkeypatch.setattr(ol, "ring_overlaps", lambda a, b, *r: seen.extend((a.columns, b.columns)) or real(a, b, *r))
+    box = lambda x, w: [{"x": float(p), "y": float(q)} for p, q in ((x, 0), (x + w, 0), (x + w, 500), (x, 500))]
+    shapes = [("a", "polygon", "S", "L01", box(0, 500)), ("b", "hatch", "S", "L01", box(10, 500)), ("c", "polygon", "T", "L01", box(2000, 300))]
+    out = ol.collected(spark.createDataFrame(shapes, "handle string, kind string, layer string, floor_id string, ring array<struct<x:double,y:double>>"), ["floor_id"], 90, 4000, 20000, 1e7)
+    assert sorted((r["layer"], *r["handles"], *r["merged"]) for r in out.collect()) == [("S", "a", "b"), ("T", "c")]
+    assert len(seen) == 4 and not any({"layer", "handles", "merged"} & set(c) for c in seen)
